@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings.
 
 A text is the mean of the learned vectors of its hashed words and hashed character n-grams; a softmax over the two
-labels reads that mean. Vectors and output weights are fitted by numpy stochastic gradient descent in one Spark task
+labels reads that mean. Of the word bigrams, those of two equal words share one feature of their own. Vectors and output weights are fitted by numpy stochastic gradient descent in one Spark task
 over a bounded sample of labelled rows (`sample_rows`, the rows of least hash); every text is then scored whole.
 As the output is linear in the mean, each feature shrinks to one number before scoring, so only that fixed-size
 table is broadcast.
@@ -10,6 +10,7 @@ table is broadcast.
 from __future__ import annotations
 
 import zlib
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -20,8 +21,11 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import id_crc, table, with_bytes
 
-BUCKETS, WIDTH, SAMPLE_ROWS, EPOCHS = 1 << 16, 16, 6000, 6
+BUCKETS, WIDTH, SAMPLE_ROWS, EPOCHS = 1 << 16, 16, 4000, 4
 NGRAMS = (2, 3, 4)
+#: Bucket of the word bigrams whose two words are alike, and so many blank features are added to every mean, so that a
+#: text of a few words is judged by little more than the share of the labels.
+SAME, BLANK = 0, 60
 #: Words remembered by a worker before it starts anew; has no effect on scores.
 CACHE = 400_000
 
@@ -33,19 +37,28 @@ def features(word: bytes) -> list[int]:
     out = [crc(w)]
     for n in NGRAMS:
         out += [crc(w[i : i + n], n) for i in range(len(w) - n + 1)]
-    return [x % BUCKETS for x in out]
+    return [1 + x % (BUCKETS - 1) for x in out]
 
 
-def _bag(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+def repeats(words: list[bytes]) -> int:
+    """How many words equal the one before."""
+    return sum(map(eq, words, words[1:]))
+
+
+def _bag(text: bytes, known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     seen: dict[bytes, int] = {}
-    for w in text.split():
+    words = text.split()
+    for w in words:
         seen[w] = seen.get(w, 0) + 1
-    ids = [features(w) for w in seen]
-    sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-    flat = np.fromiter((x for y in ids for x in y), np.int64, int(sizes.sum()))
+    for w in [w for w in seen if w not in known]:
+        known[w] = np.array(features(w), np.int32)
+    ids = [known[w] for w in seen]
+    sizes = [len(x) for x in ids]
+    flat = np.concatenate([np.zeros(0, np.int32), *ids])
     weight = np.bincount(flat, np.repeat(np.fromiter(seen.values(), float, len(seen)), sizes), minlength=1)
+    weight[SAME] = repeats(words)
     at = np.flatnonzero(weight)
-    return at, weight[at] / max(weight.sum(), 1)
+    return at, weight[at] / (weight.sum() + BLANK)
 
 
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -57,7 +70,8 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 1.0 / WIDTH, (BUCKETS, WIDTH))
     out = rng.normal(0, 0.1, (WIDTH, 2))
-    bags = [_bag(t) for t in texts]
+    known: dict[bytes, np.ndarray] = {}
+    bags = [_bag(t, known) for t in texts]
     total = EPOCHS * len(bags)
     step = 0
     for _ in range(EPOCHS):
@@ -134,12 +148,10 @@ def score_batches(weights: np.ndarray, bias: float):
                             sums.append(float(weights[f].sum()))
                             counts.append(len(f))
                         at.append(k)
-                n = 0
-                s = 0.0
-                if at:
-                    s = sum([sums[k] for k in at])
-                    n = sum([counts[k] for k in at])
-                scores[i] = 1 / (1 + np.exp(-np.clip(bias + s / max(n, 1), -50, 50)))
+                same = repeats(words)
+                s = sum([sums[k] for k in at]) + same * weights[SAME]
+                n = sum([counts[k] for k in at]) + same + BLANK
+                scores[i] = 1 / (1 + np.exp(-np.clip(bias + s / n, -50, 50)))
                 if len(sums) > CACHE:
                     known, sums, counts = {}, [], []
             yield pa.RecordBatch.from_arrays(
