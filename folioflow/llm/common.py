@@ -43,9 +43,13 @@ def id_crc(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
+#: Name of the added column of whole texts as bytes; unlikely to clash with a column of the input.
+BODY = "_text_as_bytes"
+
+
 def with_bytes(docs: DataFrame, *keep: str) -> DataFrame:
     """The kept columns and the whole text as bytes (null text: empty)."""
-    return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+    return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(BODY))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

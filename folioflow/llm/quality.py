@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import id_crc, table, with_bytes
+from folioflow.llm.common import BODY, id_crc, table, with_bytes
 
 BUCKETS, WIDTH, SAMPLE_ROWS, EPOCHS = 1 << 16, 16, 4000, 4
 NGRAMS = (2, 3, 4)
@@ -94,9 +94,9 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
 
 def _train(batches):
     frames = [b for b in batches if len(b)]
-    pdf = pd.concat(frames) if frames else pd.DataFrame({"doc_id": [], "body": [], "y": []})
-    pdf = pdf.sort_values(["doc_id", "body"], kind="stable")
-    weights, bias = fit(list(pdf["body"]), pdf["y"].to_numpy(np.int64))
+    pdf = pd.concat(frames) if frames else pd.DataFrame({"doc_id": [], BODY: [], "y": []})
+    pdf = pdf.sort_values(["doc_id", BODY], kind="stable")
+    weights, bias = fit(list(pdf[BODY]), pdf["y"].to_numpy(np.int64))
     yield pd.DataFrame({"weights": [weights.astype("<f8").tobytes()], "bias": [bias]})
 
 
@@ -117,7 +117,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     rows = (
         with_bytes(docs, "doc_id")
         .join(F.broadcast(taught), "doc_id")
-        .orderBy(F.xxhash64("doc_id"), "doc_id", "body")
+        .orderBy(F.xxhash64("doc_id"), "doc_id", BODY)
         .limit(sample_rows)
         .coalesce(1)
     )
@@ -132,7 +132,7 @@ def score_batches(weights: np.ndarray, bias: float):
         known: dict[bytes, int] = {}
         sums, counts = [], []
         for batch in batches:
-            bodies = batch.column("body")
+            bodies = batch.column(BODY)
             scores = np.empty(len(bodies))
             for i, body in enumerate(bodies):
                 words = body.as_py().split()
@@ -155,8 +155,8 @@ def score_batches(weights: np.ndarray, bias: float):
                 if len(sums) > CACHE:
                     known, sums, counts = {}, [], []
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in batch.schema.names if n != "body"), pa.array(scores)],
-                [*(n for n in batch.schema.names if n != "body"), "score"],
+                [*(batch.column(n) for n in batch.schema.names if n != BODY), pa.array(scores)],
+                [*(n for n in batch.schema.names if n != BODY), "score"],
             )
 
     return run
@@ -184,7 +184,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> Dat
     """The rows of docs whose text is not rejected, with all their columns."""
     weights, bias = train(docs, labels)
     names = docs.columns
-    kept = docs.select("*", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
+    kept = with_bytes(docs, "*")
     run = score_batches(weights, bias)
 
     def good(batches):

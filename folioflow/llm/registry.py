@@ -1,10 +1,10 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from folioflow.llm.packing import op5_packing
-from folioflow.llm.quality import op10_quality_classifier
+from folioflow.llm import decontamination, packing, quality
 
 QUERIES = {
-    "op5_packing": op5_packing,
-    "op10_quality_classifier": op10_quality_classifier,
+    "op2_decontamination": decontamination.op2_decontamination,
+    "op5_packing": packing.op5_packing,
+    "op10_quality_classifier": quality.op10_quality_classifier,
 }
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op2_decontamination": decontamination.SQL}
