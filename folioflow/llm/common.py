@@ -126,3 +126,47 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last[inner[inner > 0] - 1] = word[inner[inner > 0] - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     return span_hashes(_LOWER[buf], starts, ends), np.searchsorted(starts, off)
+
+
+def bit_filter(df: DataFrame, hashed: Column, log2_bits: int = 24) -> np.ndarray:
+    """A fixed-size membership filter (2**log2_bits bits) of a column of hashes; never misses a member.
+
+    Its size does not depend on the data, so it may be broadcast; what passes is checked exactly by a join.
+    """
+    at = hashed.bitwiseAND(F.lit((1 << log2_bits) - 1))
+    words = (
+        df.select(F.shiftright(at, 6).alias("w"), F.expr("1L").alias("one"), at.bitwiseAND(F.lit(63)).cast("int").alias("b"))
+        .groupBy("w")
+        .agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits"))
+        .toArrow()
+    )
+    out = np.zeros(1 << (log2_bits - 6), np.int64)
+    out[words["w"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def passes(bits: np.ndarray, hashed: np.ndarray) -> np.ndarray:
+    """Which of the hashes may be members."""
+    at = hashed.view(np.uint64) & np.uint64(len(bits) * 64 - 1)
+    return (bits[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1) == 1
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of the undirected edges (a, b); a component is named by its least node.
+
+    Rounds of least-neighbour labels followed by pointer jumping; each round is written to the shared folder.
+    """
+    both = materialize(edges.union(edges.select("b", "a")).toDF("node", "other").distinct())
+    labels = materialize(both.groupBy("node").agg(F.min("other").alias("m")).select("node", F.least("node", "m").alias("component")))
+    while True:
+        least = (
+            both.join(labels.withColumnRenamed("node", "other"), "other")
+            .groupBy("node")
+            .agg(F.min("component").alias("m"))
+        )
+        near = materialize(labels.join(least, "node").select("node", F.least("component", "m").alias("c"), F.col("component").alias("old")))
+        jump = near.select(F.col("node").alias("c"), F.col("c").alias("cc"))
+        new = materialize(near.join(jump, "c").select("node", F.least("c", "cc").alias("component"), (F.col("old") != F.least("c", "cc")).alias("moved")))
+        labels = new.select("node", "component")
+        if new.where("moved").isEmpty():
+            return labels

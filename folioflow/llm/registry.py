@@ -1,10 +1,14 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from folioflow.llm import decontamination, packing, quality
+from folioflow.llm import decontamination, jaccard, packing, quality
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
+    "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op5_packing": packing.op5_packing,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
-ORACLE: dict[str, str] = {"op2_decontamination": decontamination.SQL}
+ORACLE: dict[str, str] = {
+    "op2_decontamination": decontamination.SQL,
+    "op3_ngram_jaccard_join": jaccard.SQL,
+}
