@@ -1,11 +1,13 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from folioflow.llm import decontamination, jaccard, packing, quality
+from folioflow.llm import decontamination, jaccard, line_dedup, packing, quality, secrets
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op5_packing": packing.op5_packing,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {
