@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from folioflow.llm import decontamination, jaccard, line_dedup, packing, quality, secrets
+from folioflow.llm import decontamination, jaccard, line_dedup, packing, privacy, quality, secrets
 
 QUERIES = {
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op5_packing": packing.op5_packing,
+    "op6_pii_sanitisation": privacy.op6_pii_sanitisation,
     "op7_line_dedup": line_dedup.op7_line_dedup,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_classifier": quality.op10_quality_classifier,
