@@ -1,17 +1,21 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from folioflow.llm import decontamination, jaccard, line_dedup, packing, privacy, quality, secrets
+from folioflow.llm import decontamination, jaccard, line_dedup, packing, privacy, quality, secrets, topk, warc
 
 QUERIES = {
+    "op1_exact_top_k": topk.op1_exact_top_k,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
     "op5_packing": packing.op5_packing,
     "op6_pii_sanitisation": privacy.op6_pii_sanitisation,
     "op7_line_dedup": line_dedup.op7_line_dedup,
+    "op8_warc_revisits": warc.op8_warc_revisits,
     "op9_secret_scan": secrets.op9_secret_scan,
     "op10_quality_classifier": quality.op10_quality_classifier,
 }
 ORACLE: dict[str, str] = {
+    "op1_exact_top_k": topk.SQL,
     "op2_decontamination": decontamination.SQL,
     "op3_ngram_jaccard_join": jaccard.SQL,
+    "op8_warc_revisits": warc.SQL,
 }
