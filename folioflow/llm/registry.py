@@ -1,11 +1,12 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from folioflow.llm import decontamination, jaccard, line_dedup, packing, privacy, quality, secrets, topk, warc
+from folioflow.llm import decontamination, jaccard, language_model, line_dedup, packing, privacy, quality, secrets, topk, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
     "op2_decontamination": decontamination.op2_decontamination,
     "op3_ngram_jaccard_join": jaccard.op3_ngram_jaccard_join,
+    "op4_lm_scoring": language_model.op4_lm_scoring,
     "op5_packing": packing.op5_packing,
     "op6_pii_sanitisation": privacy.op6_pii_sanitisation,
     "op7_line_dedup": line_dedup.op7_line_dedup,
