@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folioflow.llm.common import materialize, table
 from folioflow.llm.decontamination import keep_clean
+from folioflow.llm.jaccard import keep_one
+from folioflow.llm.line_dedup import keep_fresh
 from folioflow.llm.packing import pack
 from folioflow.llm.quality import keep_good
 
@@ -15,6 +17,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the passages that stand in an earlier document; a document left without words goes."""
+    return keep_fresh(docs)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one of the least doc_id."""
+    return keep_one(docs)
+
+
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents a twentieth of whose words stand in benchmark windows."""
     return keep_clean(docs, table(spark, sf_dir, "benchmark"))
@@ -27,6 +39,8 @@ def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality_classifier", quality),
+    ("line_dedup", line_dedup),
+    ("ngram_jaccard_join", ngram_jaccard),
     ("decontamination", decontamination),
     ("packing", packing),
 ]
