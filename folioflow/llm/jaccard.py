@@ -4,12 +4,13 @@
    (one bit per hash slot, about as many bits as shingles).
 2. A first pass compares every node with the least node that shares one of its `BOTTOM` least hashes. Copies of
    one text thereby meet in stars, and the links found join them into components before any tile is formed.
-3. The complete pass takes each node's prefix in a global order, rare shingles first: nodes of a link must share a
-   prefix shingle. Tiles are (prefix shingle, size band); a tile whose nodes are one component already is left out,
-   and within the others only nodes of different components are paired, the members of the tile's largest component
+3. Each node's prefix is taken in a global order, rare shingles first: nodes of a link must share a prefix shingle.
+   Tiles are (prefix shingle, size band); those whose nodes are one component already are left out. `STARS` times,
+   the nodes of a tile are compared with one of them only, and components are joined by the links found.
+4. The complete pass pairs nodes of different components within a tile, the members of the tile's largest component
    only with the rest, so a group of copies never meets itself.
-4. For every candidate pair the sizes and the differing bits bound the overlap from above; what is left is decided by
-   intersecting the sorted arrays. Components of all links are the result.
+5. For every candidate pair the sizes and the differing bits bound the overlap from above, already inside the tile's
+   join; what is left is decided by intersecting the sorted arrays. Components of all links are the result.
 
 The order of shingles comes from counts in `BUCKETS` hash buckets over all texts: a fixed-size table.
 """
@@ -17,7 +18,9 @@ The order of shingles comes from counts in `BUCKETS` hash buckets over all texts
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +37,11 @@ from folioflow.llm.common import (
     word_hashes,
 )
 
-SHINGLE, BOTTOM, BUCKETS = 5, 3, 1 << 15
+SHINGLE, BOTTOM, BUCKETS = 5, 3, 1 << 20
+#: The counts travel in so many pieces; a group that is summed holds a piece from at most TEAM tasks or teams.
+PIECES, TEAM = 64, 64
+#: Slots of the parity bitmap that travels with the tiles, and how often tiles are joined as stars before the rest.
+SLOTS, STARS = 512, 2
 #: Unrelated odd factors: multiples of one constant would give equal sums to permuted shingles.
 _FACTORS = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -81,8 +88,22 @@ def differing(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum())
 
 
-def _sizes_fit(a, b):
-    return 5 * F.least(a, b) >= 4 * F.greatest(a, b)
+def small_bitmap(s: np.ndarray) -> np.ndarray:
+    """The parities in SLOTS slots as 64-bit words."""
+    bits = np.bincount((s & np.uint64(SLOTS - 1)).astype(np.int64), minlength=SLOTS) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _may_link(a: str, b: str):
+    """Whether sizes and differing bits of two sides (columns n and sig with these suffixes) allow a link."""
+    n = F.col(f"n{a}") + F.col(f"n{b}")
+    apart = sum(F.bit_count(F.col(f"sig{a}")[i].bitwiseXOR(F.col(f"sig{b}")[i])) for i in range(SLOTS // 64))
+    sizes = 5 * F.least(f"n{a}", f"n{b}") >= 4 * F.greatest(f"n{a}", f"n{b}")
+    return sizes & (9 * (n - apart) >= 8 * n)
+
+
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(44)).astype(np.int64)
 
 
 def _prepare(batches):
@@ -90,14 +111,14 @@ def _prepare(batches):
     names = ["doc_id", "n", "node", "bottom", "bits", "counts"]
 
     def rows(cols):
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     for batch in batches:
         for lo, hi in blocks_of(batch.column(BODY)):
             sets = shingle_sets(batch.column(BODY).slice(lo, hi - lo))
             for s in sets:
-                counts += np.bincount((s >> np.uint64(49)).astype(np.int64), minlength=BUCKETS)
+                counts[_bucket(s)] += 1  # buckets met twice by one text count once: an order needs no more
             yield rows(
                 [
                     batch.column("doc_id").slice(lo, hi - lo),
@@ -108,7 +129,31 @@ def _prepare(batches):
                     [None] * len(sets),
                 ]
             )
-    yield rows([[None], [-1], [None], [None], [None], [counts]])
+    # one row for each piece of the counts, marked by a negative size; doc_id is the task
+    task = TaskContext.get().partitionId()
+    sent = [c.tobytes() for c in counts.reshape(PIECES, -1)]
+    yield rows([[task] * PIECES, [-1 - k for k in range(PIECES)], *[[None] * PIECES] * 3, sent])
+
+
+def _sum_counts(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
+    return pd.DataFrame({"n": [key[0]], "team": [key[1]], "counts": [total.tobytes()]})
+
+
+def _order(sent: DataFrame, tasks: int) -> np.ndarray:
+    """How many texts fell into each bucket: the pieces summed team by team."""
+    out = np.zeros(BUCKETS, np.int64)
+    sums = sent.select("n", F.col("doc_id").alias("team"), "counts")
+    while True:
+        sums = sums.withColumn("team", F.floor(F.col("team") / TEAM)).groupBy("n", "team").applyInPandas(_sum_counts, "n long, team long, counts binary")
+        tasks = -(-tasks // TEAM)
+        if tasks <= 1:
+            break
+    size = BUCKETS // PIECES
+    for row in sums.toLocalIterator():  # PIECES rows of a fixed size
+        at = (-1 - row["n"]) * size
+        out[at : at + size] = np.frombuffer(row["counts"], np.int64)
+    return out
 
 
 def _ordered_prefixes(counts):
@@ -120,7 +165,7 @@ def _ordered_prefixes(counts):
                 keys = []
                 for s in sets:
                     n = len(s)
-                    first = s[np.argsort(order[(s >> np.uint64(49)).astype(np.int64)], kind="stable")]
+                    first = s[np.argsort(order[_bucket(s)], kind="stable")]
                     keys.append(first[: n - (4 * n + 4) // 5 + 1 if n else 0].view(np.int64))
                 flat = np.concatenate([np.zeros(0, np.int64), *keys])
                 off = np.concatenate([[0], np.cumsum([len(k) for k in keys])]).astype(np.int32)
@@ -129,8 +174,9 @@ def _ordered_prefixes(counts):
                         batch.column("doc_id").slice(lo, hi - lo),
                         pa.array([node_of(s) for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(off), pa.array(flat)),
+                        pa.array([small_bitmap(s) for s in sets], pa.list_(pa.int64())),
                     ],
-                    ["doc_id", "node", "keys"],
+                    ["doc_id", "node", "keys", "sig"],
                 )
 
     return run
@@ -145,8 +191,8 @@ def _shared_keys(bits):
             off = keys.offsets.to_numpy()
             who = np.repeat(np.arange(len(keys)), np.diff(off))[ok]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat[ok]), *(batch.column(n).take(pa.array(who)) for n in ("node", "n", "component"))],
-                ["key", "node", "n", "component"],
+                [pa.array(flat[ok]), *(batch.column(n).take(pa.array(who)) for n in ("node", "n", "sig"))],
+                ["key", "node", "n", "sig"],
             )
 
     return run
@@ -215,6 +261,48 @@ def _pairs(df: DataFrame) -> DataFrame:
     return df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
 
 
+def _labelled(tiles: DataFrame, groups: DataFrame) -> DataFrame:
+    """tiles with the component of each node and its number of members; written, as it is joined with itself."""
+    sizes = materialize(groups.groupBy("component").agg(F.count("*").alias("members")))
+    sized = materialize(groups.join(sizes, "component"))
+    return materialize(
+        tiles.join(sized, "node", "left").withColumns({"component": F.coalesce("component", "node"), "members": F.coalesce("members", F.lit(1))})
+    )
+
+
+def _stars(tiles: DataFrame, turn: int) -> DataFrame:
+    """(a, b): each node of a tile with one node of it, another at each turn, where components differ."""
+    one = F.struct(F.col("node").alias("node_b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"), F.col("component").alias("component_b"))
+    hubs = materialize(tiles.groupBy("key").agg(F.min_by(one, F.xxhash64("key", "node", F.lit(turn))).alias("x")).select("key", "x.*"))
+    met = tiles.join(hubs, "key").where((F.col("component") != F.col("component_b")) & _may_link("", "_b"))
+    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+
+
+def _meetings(tiles: DataFrame) -> DataFrame:
+    """(a, b): all pairs of a tile whose components differ and that may be links."""
+    # sizes of a link differ by a fifth at most, so its bands are the same or neighbours
+    band = F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int")
+    mixed = materialize(
+        tiles.groupBy("key")
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", "members").alias("largest"))
+        .where("lo < hi")
+        .select("key", "largest")
+    )
+    rows = materialize(tiles.join(mixed, "key").withColumn("band", band))
+    rest = rows.where("component <> largest").withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
+    rest = rest.select("key", "band", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "sig", "component")))
+    # two nodes outside the largest component meet once, from the greater to the less
+    met = rows.join(
+        rest,
+        (rows["key"] == rest["key"])
+        & (rows["band"] == rest["band"])
+        & (F.col("component") != F.col("component_b"))
+        & ((F.col("component") == F.col("largest")) | (F.col("node_b") < F.col("node")))
+        & _may_link("", "_b"),
+    )
+    return met.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of docs.
 
@@ -226,13 +314,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text")
     made = materialize(
         with_bytes(docs, "doc_id").mapInArrow(
-            _prepare, "doc_id long, n long, node long, bottom array<long>, bits binary, counts array<long>"
+            _prepare, "doc_id long, n long, node long, bottom array<long>, bits binary, counts binary"
         )
     )
     rows = made.where("n >= 0").select("doc_id", "n", "node")
-    order = np.zeros(BUCKETS, np.int64)
-    got = made.where("n < 0").select(F.posexplode("counts").alias("k", "c")).groupBy("k").agg(F.sum("c").alias("c")).toArrow()
-    order[got["k"].to_numpy()] = got["c"].to_numpy()
+    sent = made.where("n < 0").select("n", "doc_id", "counts")
+    order = _order(sent, (sent.agg(F.max("doc_id")).first()[0] or 0) + 1)
     nodes = materialize(
         made.where("n > 0 and doc_id is not null")
         .groupBy("node")
@@ -244,42 +331,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     near = materialize(_pairs(low.join(hubs, "h").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
     first = _links(near, nodes, docs)
     groups = components(first)
-    # complete pass
-    sizes = materialize(groups.groupBy("component").agg(F.count("*").alias("members")))
-    grouped = materialize(groups.join(sizes, "component"))
+    # tiles of prefix shingles that stand in more than one component
     labelled = materialize(
         nodes.select("node", "least", "n")
-        .join(grouped, "node", "left")
-        .select("node", F.col("least").alias("doc_id"), "n", F.coalesce("component", "node").alias("component"), F.coalesce("members", F.lit(1)).alias("members"))
+        .join(groups, "node", "left")
+        .select("node", F.col("least").alias("doc_id"), "n", F.coalesce("component", "node").alias("component"))
     )
     prefixes = with_bytes(docs, "doc_id").mapInArrow(
-        _ordered_prefixes(spark.sparkContext.broadcast(order)), "doc_id long, node long, keys array<long>"
+        _ordered_prefixes(spark.sparkContext.broadcast(order)), "doc_id long, node long, keys array<long>, sig array<long>"
     )
-    entries = materialize(prefixes.join(labelled, ["doc_id", "node"]).select("node", "n", "component", "members", "keys"))
-    mixed = materialize(
-        entries.select(F.explode("keys").alias("key"), "component", "members")
+    entries = materialize(prefixes.join(labelled, ["doc_id", "node"]).select("node", "n", "component", "keys", "sig"))
+    shared = materialize(
+        entries.select(F.explode("keys").alias("key"), "component")
         .groupBy("key")
-        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max_by("component", "members").alias("largest"))
+        .agg(F.min("component").alias("lo"), F.max("component").alias("hi"))
         .where("lo < hi")
-        .select("key", "largest")
+        .select("key")
     )
-    bits = spark.sparkContext.broadcast(bit_filter(mixed, F.col("key")))
+    bits = spark.sparkContext.broadcast(bit_filter(shared, F.col("key")))
     tiles = materialize(
-        entries.select("node", "n", "component", "keys")
-        .mapInArrow(_shared_keys(bits), "key long, node long, n long, component long")
-        .join(mixed, "key")
-        # sizes of a link differ by a fifth at most, so its bands are the same or neighbours
-        .withColumn("band", F.floor(F.log("n") / F.log(F.lit(1.26))).cast("int"))
-    )
-    few = tiles.where("component <> largest").select("key", "band", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "component")))
-    all_ = tiles.withColumn("band", F.explode(F.array(*(F.col("band") + k for k in (-1, 0, 1)))))
-    met = (
-        few.join(all_, ["key", "band"])
-        .where((F.col("component") != F.col("component_a")) & _sizes_fit(F.col("n"), F.col("n_a")))
-        .where((F.col("component") == F.col("largest")) | (F.col("node_a") < F.col("node")))
+        entries.select("node", "n", "keys", "sig")
+        .mapInArrow(_shared_keys(bits), "key long, node long, n long, sig array<long>")
+        .join(shared, "key")
     )
-    rest = _links(materialize(_pairs(met.select(F.col("node_a").alias("a"), F.col("node").alias("b")))), nodes, docs)
-    final = components(first.union(rest))
+    links = first
+    for turn in range(STARS):
+        found = _links(materialize(_pairs(_stars(_labelled(tiles, groups), turn))), nodes, docs)
+        links = links.union(found)
+        groups = components(links)
+    links = links.union(_links(materialize(_pairs(_meetings(_labelled(tiles, groups)))), nodes, docs))
+    final = components(links)
     named = materialize(
         nodes.select("node", "least").join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     )
