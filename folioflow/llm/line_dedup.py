@@ -85,6 +85,15 @@ def without_lines(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(lines)
 
 
+def _chosen(bits, inside: bool):
+    def run(batches):
+        for batch in batches:
+            if len(batch):
+                yield batch.filter(pa.array(passes(bits.value, batch.column("_row_key").to_numpy()) == inside))
+
+    return run
+
+
 def _cut(at: int, n_chars: int | None):
     def run(batches):
         for batch in batches:
@@ -112,12 +121,14 @@ def removals(docs: DataFrame) -> DataFrame:
         rows.mapInArrow(_suspects(bits), "doc_id long, row_key long, first long, end long, h long, chunk binary").distinct()
     )
     place = F.struct("doc_id", "row_key", "first")
-    firsts = materialize(
-        found.groupBy("h", "chunk").agg(F.min(place).alias("kept"), F.count("*").alias("c")).where("c > 1").select("h", "chunk", "kept")
-    )
-    again = found.join(firsts, ["h", "chunk"]).where(~place.eqNullSafe(F.col("kept")))
+    # grouping by the bytes is the comparison; the bytes are then needed again only where two chunks have one hash
+    groups = materialize(found.groupBy("h", "chunk").agg(F.min(place).alias("kept"), F.count("*").alias("c")))
+    alike = materialize(groups.groupBy("h").agg(F.count("*").alias("chunks")).where("chunks > 1").select("h"))
+    one = groups.where("c > 1").select("h", "kept").join(alike, "h", "left_anti")
+    several = groups.where("c > 1").select("h", "chunk", "kept").join(alike, "h", "left_semi")
+    again = found.drop("chunk").join(materialize(one), "h").unionByName(found.join(materialize(several), ["h", "chunk"]).drop("chunk"))
     return materialize(
-        again.groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("removed"))
+        again.where(~place.eqNullSafe(F.col("kept"))).groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("removed"))
     )
 
 
@@ -132,17 +143,21 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     null doc_id comes before all others. Chunks repeated inside one text are cut as well. `_removed` is null where
     nothing was cut. Other columns are kept untouched.
     """
-    spark_fields = docs.schema
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     gone = removals(docs)
-    joined = (
-        docs.withColumn("_row_key", row_key())
-        .join(gone.withColumnsRenamed({"row_key": "_row_key", "removed": "_removed"}), "_row_key", "left")
-        .select(*docs.columns, "_removed")
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(gone, F.col("row_key"), 22))
+    keyed = docs.withColumn("_row_key", row_key())
+    schema = f"{fields}, _row_key long"
+    # only texts that lose lines are shuffled
+    touched = keyed.mapInArrow(_chosen(bits, True), schema).join(
+        gone.withColumnsRenamed({"row_key": "_row_key", "removed": "_removed"}), "_row_key", "left"
     )
     at = docs.columns.index("text")
     n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in spark_fields)
-    return joined.mapInArrow(_cut(at, n_chars), f"{fields}, _removed array<struct<first: long, end: long>>")
+    removed = "_removed array<struct<first: long, end: long>>"
+    cut = touched.select(*docs.columns, "_removed").mapInArrow(_cut(at, n_chars), f"{fields}, {removed}")
+    rest = keyed.mapInArrow(_chosen(bits, False), schema).drop("_row_key")
+    return rest.withColumn("_removed", F.lit(None).cast(cut.schema["_removed"].dataType)).unionByName(cut)
 
 
 def keep_fresh(docs: DataFrame) -> DataFrame:
