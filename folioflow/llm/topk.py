@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import materialize, table
 
-SHARD_ROWS, BLOCK_ROWS, PAGE, FANOUT, K, SCALE = 8192, 512, 128, 16, 5, 256
+SHARD_ROWS, BLOCK_ROWS, PAGE, FANOUT, K, SCALE = 8192, 512, 64, 16, 5, 256
 SLACK = 1e-7
 
 
@@ -33,6 +33,9 @@ class MTree:
         order = np.argsort(ids, kind="stable")
         self.ids, self.points = ids[order], points[order]
         self.norms = (self.points * self.points).sum(axis=1)
+        # sums below 2**53 are exact in double precision, whose products are much faster
+        top = int(np.abs(self.points).max()) if self.points.size else 0
+        self.table = self.points.astype(float) if top * top * self.points.shape[1] < 2**52 else self.points
         self.square = int(self.norms.max()) if len(ids) else 0
         self.extra = np.sqrt((self.square - self.norms).astype(float))
         self.page, self.fanout = page, fanout
@@ -71,12 +74,14 @@ class MTree:
         if self.root is None:
             return []
         base = float(query @ query) + self.square
+        small = int(np.abs(query).max(initial=0)) * int(np.abs(self.points).max()) * len(query) < 2**52
+        table, probe = (self.table, query.astype(float)) if small and self.table.dtype == float else (self.points, query)
         best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
         limit = np.inf
 
         def to(points: np.ndarray) -> np.ndarray:
             self.computed += len(points)
-            return np.sqrt(np.maximum(0.0, base - 2.0 * (self.points[points] @ query)))
+            return np.sqrt(np.maximum(0.0, base - 2.0 * (table[points] @ probe)))
 
         d = float(to(np.array([self.root[0]]))[0])
         queue = [(max(0.0, d - self.root[1]), 0, d, self.root)]
@@ -90,8 +95,12 @@ class MTree:
                 at, away = leaf
                 a, b = np.searchsorted(away, [d - limit, d + limit]) if limit < np.inf else (0, len(at))
                 at = at[max(0, a) : b + 1]
-                scores = self.points[at] @ query
+                scores = table[at] @ probe
                 self.computed += len(at)
+                if len(best) == k:
+                    good = scores >= best[0][0]
+                    at, scores = at[good], scores[good]
+                scores = scores.astype(np.int64)
                 for s, i in zip(scores.tolist(), self.ids[at].tolist(), strict=True):
                     if i != own and (len(best) < k or (s, -i) > best[0]):
                         (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (s, -i))
