@@ -34,6 +34,15 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*written: DataFrame) -> None:
+    """Remove the files of frames from `materialize` that nothing will read any more."""
+    for df in written:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if "/folioflow/" in folder:
+                path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -167,6 +176,8 @@ def components(edges: DataFrame) -> DataFrame:
         near = materialize(labels.join(least, "node").select("node", F.least("component", "m").alias("c"), F.col("component").alias("old")))
         jump = near.select(F.col("node").alias("c"), F.col("c").alias("cc"))
         new = materialize(near.join(jump, "c").select("node", F.least("c", "cc").alias("component"), (F.col("old") != F.least("c", "cc")).alias("moved")))
+        discard(near, labels)
         labels = new.select("node", "component")
         if new.where("moved").isEmpty():
+            discard(both)
             return labels

@@ -29,6 +29,7 @@ from folioflow.llm.common import (
     bit_filter,
     blocks_of,
     components,
+    discard,
     materialize,
     mix64,
     passes,
@@ -254,7 +255,9 @@ def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     )
     sets = materialize(sets)
     one = lambda x: sets.select(F.col("node").alias(x), F.col("hashes").alias(f"set_{x}"))
-    return materialize(near.join(one("a"), "a").join(one("b"), "b").mapInArrow(_exact, "a long, b long"))
+    out = materialize(near.join(one("a"), "a").join(one("b"), "b").mapInArrow(_exact, "a long, b long"))
+    discard(near, need, sets)
+    return out
 
 
 def _pairs(df: DataFrame) -> DataFrame:
@@ -265,9 +268,11 @@ def _labelled(tiles: DataFrame, groups: DataFrame) -> DataFrame:
     """tiles with the component of each node and its number of members; written, as it is joined with itself."""
     sizes = materialize(groups.groupBy("component").agg(F.count("*").alias("members")))
     sized = materialize(groups.join(sizes, "component"))
-    return materialize(
+    out = materialize(
         tiles.join(sized, "node", "left").withColumns({"component": F.coalesce("component", "node"), "members": F.coalesce("members", F.lit(1))})
     )
+    discard(sizes, sized)
+    return out
 
 
 def _stars(tiles: DataFrame, turn: int) -> DataFrame:
@@ -317,7 +322,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             _prepare, "doc_id long, n long, node long, bottom array<long>, bits binary, counts binary"
         )
     )
-    rows = made.where("n >= 0").select("doc_id", "n", "node")
+    rows = materialize(made.where("n >= 0").select("doc_id", "n", "node"))
     sent = made.where("n < 0").select("n", "doc_id", "counts")
     order = _order(sent, (sent.agg(F.max("doc_id")).first()[0] or 0) + 1)
     nodes = materialize(
@@ -325,12 +330,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("node")
         .agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bottom").alias("bottom"), F.first("bits").alias("bits"))
     )
+    discard(made)
     # first pass: stars around the least node of each low hash
     low = nodes.select("node", "n", F.explode("bottom").alias("h"))
     hubs = materialize(low.groupBy("h").agg(F.min("node").alias("hub"), F.count("*").alias("c")).where("c > 1").select("h", "hub"))
     near = materialize(_pairs(low.join(hubs, "h").select(F.col("node").alias("a"), F.col("hub").alias("b"))))
     first = _links(near, nodes, docs)
     groups = components(first)
+    discard(hubs, near)
     # tiles of prefix shingles that stand in more than one component
     labelled = materialize(
         nodes.select("node", "least", "n")
@@ -354,18 +361,29 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .mapInArrow(_shared_keys(bits), "key long, node long, n long, sig array<long>")
         .join(shared, "key")
     )
+    discard(labelled, entries, shared)
     links = first
+
+    def more(meet, *how) -> DataFrame:
+        own = _labelled(tiles, groups)
+        pairs = materialize(_pairs(meet(own, *how)))
+        found = _links(pairs, nodes, docs)
+        discard(own, pairs)
+        return links.union(found)
+
     for turn in range(STARS):
-        found = _links(materialize(_pairs(_stars(_labelled(tiles, groups), turn))), nodes, docs)
-        links = links.union(found)
-        groups = components(links)
-    links = links.union(_links(materialize(_pairs(_meetings(_labelled(tiles, groups)))), nodes, docs))
+        links = more(_stars, turn)
+        old, groups = groups, components(links)
+        discard(old)
+    links = more(_meetings)
+    discard(tiles, groups)
     final = components(links)
     named = materialize(
         nodes.select("node", "least").join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     )
     least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")))
     of_node = materialize(named.join(least, "component").select("node", "component_id"))
+    discard(nodes, links, final, named, least)
     return rows.join(of_node, "node", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
@@ -375,8 +393,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of docs for each component (its least doc_id); rows without a doc_id or without words stay."""
-    found = materialize(near_duplicates(docs))
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = materialize(near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct())
     kept = docs.join(gone, "doc_id", "left_anti")
     return kept.select(docs.columns)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import bit_filter, materialize, passes, table
+from folioflow.llm.common import bit_filter, discard, materialize, passes, table
 
 LONG_WORDS, MANY_WORDS, MASK, MOST_LINES = 40, 20, 3, 32
 
@@ -126,10 +126,13 @@ def removals(docs: DataFrame) -> DataFrame:
     alike = materialize(groups.groupBy("h").agg(F.count("*").alias("chunks")).where("chunks > 1").select("h"))
     one = groups.where("c > 1").select("h", "kept").join(alike, "h", "left_anti")
     several = groups.where("c > 1").select("h", "chunk", "kept").join(alike, "h", "left_semi")
-    again = found.drop("chunk").join(materialize(one), "h").unionByName(found.join(materialize(several), ["h", "chunk"]).drop("chunk"))
-    return materialize(
+    one, several = materialize(one), materialize(several)
+    again = found.drop("chunk").join(one, "h").unionByName(found.join(several, ["h", "chunk"]).drop("chunk"))
+    out = materialize(
         again.where(~place.eqNullSafe(F.col("kept"))).groupBy("row_key").agg(F.array_sort(F.collect_set(F.struct("first", "end"))).alias("removed"))
     )
+    discard(often, found, groups, alike, one, several)
+    return out
 
 
 def row_key():
