@@ -6,6 +6,9 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+_WINDOW = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
 
 
 def lcs_length(a: str, b: str) -> int:
@@ -30,28 +33,28 @@ def ratio(a: str, b: str) -> float:
 def alignment(phrase: str, text: str) -> tuple[int, int, float]:
     """(start, end, score) of the window of text, of the phrase's length or cut at an edge, most like the phrase.
 
-    The first best window wins. A phrase longer than the text is compared with all of it.
+    Windows are scored at every sixteenth of the phrase's length, and at every place around the three best of those; the
+    first best one wins. A phrase longer than the text is compared with all of it.
     """
     if not phrase or not text:
         return 0, 0, 0.0
     m, n = len(phrase), len(text)
     if m >= n:
         return 0, n, ratio(phrase, text)
-    letters = set(phrase)
-    best = (0, 0, -1.0)
-    windows = [(0, e) for e in range(1, m)] + [(s, s + m) for s in range(n - m + 1)] + [(s, n) for s in range(n - m + 1, n)]
-    for s, e in windows:
-        if text[e - 1] not in letters and e - s == m or text[s] not in letters:
-            continue
-        # a window of k characters can reach 200 k / (m + k) at most
-        if 200.0 * min(m, e - s) / (m + e - s) <= best[2]:
-            continue
-        score = ratio(phrase, text[s:e])
-        if score > best[2]:
-            best = (s, e, score)
-            if score == 100.0:
-                break
-    return best if best[2] >= 0 else (0, min(m, n), 0.0)
+    scores: dict[int, float] = {}
+
+    def score(at: int) -> float:
+        if at not in scores:
+            scores[at] = ratio(phrase, text[max(0, at) : min(n, at + m)])
+        return scores[at]
+
+    stride = max(1, m // 16)
+    coarse = sorted({*range(1 - m, n, stride), 0, n - m}, key=lambda at: (-score(at), at))
+    for middle in coarse[:3] if stride > 1 else ():
+        for at in range(max(1 - m, middle - stride), min(n - 1, middle + stride) + 1):
+            score(at)
+    best = min(scores, key=lambda at: (-scores[at], at))
+    return max(0, best), min(n, best + m), scores[best]
 
 
 def adjusted_alignment(phrase: str, text: str) -> tuple[int, int, float]:
@@ -67,24 +70,24 @@ def word_ratio(a, b) -> float:
     return SequenceMatcher(None, list(a), list(b)).ratio()
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf("start int, end int, score double")
+@F.pandas_udf(_WINDOW)
 def partial_alignment(phrase: pd.Series, text: pd.Series) -> pd.DataFrame:
     rows = [(0, 0, 0.0) if x is None or y is None else alignment(x, y) for x, y in zip(phrase, text, strict=True)]
     return pd.DataFrame(rows, columns=["start", "end", "score"])
 
 
-@F.pandas_udf("start int, end int, score double")
+@F.pandas_udf(_WINDOW)
 def adjusted_partial_alignment(phrase: pd.Series, text: pd.Series) -> pd.DataFrame:
     rows = [(0, 0, 0.0) if x is None or y is None else adjusted_alignment(x, y) for x, y in zip(phrase, text, strict=True)]
     return pd.DataFrame(rows, columns=["start", "end", "score"])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def seq_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Word-level matcher ratio of two arrays of words."""
     return pd.Series([None if x is None or y is None else word_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")

@@ -88,11 +88,22 @@ def nonblank(col: Column) -> Column:
     return F.when(~blank(col), col)
 
 
+def let(value: Column, use) -> Column:
+    """use(value) with the value computed once, also where use has it inside a lambda."""
+    return F.transform(F.array(value), use)[0]
+
+
 def ngrams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the text with white space collapsed; none if it is shorter."""
     t = trim_all(F.regexp_replace(text, f"{SPACE}+", " "))
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (n - 1), F.lit(1))), lambda i: F.substring(t, i, n))
-    return F.when(F.length(t) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(chars: Column) -> Column:
+        out = chars
+        for k in range(1, n):
+            out = F.zip_with(out, F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
+        return F.array_distinct(F.filter(out, lambda g: g.isNotNull()))
+
+    return F.coalesce(F.when(F.length(t) >= n, let(F.split(t, ""), grams)), F.array().cast("array<string>"))
 
 
 def tokenize(text: Column) -> Column:
@@ -144,12 +155,11 @@ def word_error_rate(ref: Column, hyp: Column) -> Column:
 
     At most 55,000 distinct words in a pair. An empty reference has rate 0 if the other is empty too, else 1.
     """
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
     # from U+0100 on, leaving out the surrogates
-    code = lambda w: F.decode(F.encode(_char(F.array_position(vocabulary, w)), "UTF-8"), "UTF-8")
-    text = lambda words: F.array_join(F.transform(words, code), "")
-    rate = F.levenshtein(text(ref), text(hyp)) / F.size(ref)
-    return F.when(F.size(ref) > 0, rate).otherwise(F.when(F.size(hyp) > 0, 1.0).otherwise(0.0))
+    coded = lambda words, v: F.array_join(F.transform(words, lambda w: _char(F.array_position(v, w))), "")
+    pair = F.struct(ref.alias("r"), hyp.alias("h"), F.array_distinct(F.concat(ref, hyp)).alias("v"))
+    distance = let(pair, lambda x: F.levenshtein(coded(x["r"], x["v"]), coded(x["h"], x["v"])) / F.size(x["r"]))
+    return F.when(F.size(ref) > 0, distance).otherwise(F.when(F.size(hyp) > 0, 1.0).otherwise(0.0))
 
 
 def _char(position: Column) -> Column:
@@ -257,9 +267,13 @@ def find_replace_all(text: Column, find: str, replacement: str, ignore_case: boo
 def occurrences(text: Column, find: str, ignore_case: bool = False) -> Column:
     """0-based starts of the non-overlapping occurrences of a literal."""
     gaps = F.split(text, ("(?iu)" if ignore_case else "") + _quote(find), -1)
-    n = F.size(gaps) - 1
-    before = lambda i: F.aggregate(F.slice(gaps, F.lit(1), i), F.lit(0), lambda s, g: s + F.length(g)) + (i - 1) * len(find)
-    return F.when(n > 0, F.transform(F.sequence(F.lit(1), n), before)).otherwise(F.array().cast("array<int>"))
+
+    def starts(lengths: Column) -> Column:
+        before = lambda i: F.aggregate(F.slice(lengths, F.lit(1), i), F.lit(0), lambda s, g: s + g) + (i - 1) * len(find)
+        return F.transform(F.sequence(F.lit(1), F.size(lengths) - 1), before)
+
+    found = let(F.transform(gaps, lambda g: F.length(g)), lambda x: F.when(F.size(x) > 1, starts(x)))
+    return F.coalesce(found, F.array().cast("array<int>"))
 
 
 def display_value(value: Column, options: list[str] | None = None) -> Column:

@@ -95,17 +95,25 @@ def autofill(df: DataFrame, dictionary: DataFrame, key: str, col: str, lookup: s
     return j.select(*kept, "_processed", changed.alias("_changed"))
 
 
+def letter_parity(word: Column) -> Column:
+    """Parities of how often characters of each of 64 slots occur, as bits."""
+    bit = lambda s, ch: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(ch) % 64))
+    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), bit)
+
+
 def best_match(tokens: DataFrame, vocabulary: DataFrame, token: str = "word", entry: str = "word", cutoff: float = 80.0, scorer=indel_ratio) -> DataFrame:
     """(token, match, similarity) for each distinct token; null and 0 where nothing reaches the cutoff.
 
     A ratio of c percent needs 200 * min(len) / (len + len) >= c, so lengths in that window meet by an equi-join on
-    length; no pair outside it is formed. scorer: a column function of two texts giving 0 to 100.
+    length; of those, pairs whose letters differ too much are left out by comparing the parities of letter counts in 64
+    slots. scorer: a column function of two texts giving 0 to 100, no more than the indel ratio.
     """
     c = cutoff / 100.0
-    t = tokens.select(F.col(token).alias("_t")).where("_t is not null").distinct().withColumn("_n", F.length("_t"))
+    t = tokens.select(F.col(token).alias("_t")).where("_t is not null").distinct().withColumn("_n", F.length("_t")).withColumn("_pt", letter_parity(F.col("_t")))
     lo, hi = F.ceil(F.col("_n") * c / (2 - c)).cast("int"), F.floor(F.col("_n") * (2 - c) / c).cast("int")
-    v = vocabulary.select(F.col(entry).alias("_v")).where("_v is not null").distinct().withColumn("_len", F.length("_v"))
+    v = vocabulary.select(F.col(entry).alias("_v")).where("_v is not null").distinct().withColumn("_len", F.length("_v")).withColumn("_pv", letter_parity(F.col("_v")))
     pairs = t.withColumn("_len", F.explode(F.sequence(lo, F.greatest(lo, hi)))).join(v, "_len")
+    pairs = pairs.where(F.bit_count(F.col("_pt").bitwiseXOR(F.col("_pv"))) <= (1 - c) * (F.col("_n") + F.col("_len")) + 1e-9)
     scored = pairs.select("_t", "_v", scorer(F.col("_t"), F.col("_v")).alias("_s")).where(F.col("_s") >= cutoff)
     return t.join(_best(scored), "_t", "left").select(F.col("_t").alias(token), "match", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
@@ -132,17 +140,18 @@ def merge_split_words(tokens: DataFrame, vocabulary: DataFrame, keys: list[str],
     return t.select(*keys, F.row_number().over(w).cast("long").alias(order), pick("_pair", "word", "word"), pick("_both_match", "_own_match", "match"), pick("_both", "_own", "similarity"))
 
 
-def align_phrases(segments: DataFrame, phrases: DataFrame, seg_key: str, seg_text: str, key: str = "id", text: str = "text", cutoff: float = 75.0, blocking: bool = True) -> DataFrame:
+def align_phrases(segments: DataFrame, phrases: DataFrame, seg_key: str, seg_text: str, key: str = "id", text: str = "text", cutoff: float = 75.0, blocking: bool = True, min_share: float = 0.4) -> DataFrame:
     """(seg_key, key, start, end, score): the phrase best aligned with each segment, if it reaches the cutoff.
 
-    With blocking only phrases that share a trigram with the segment are scored, which can miss short phrases at low
-    cutoffs; blocking=False scores all phrases, for small dictionaries.
+    With blocking only phrases with `min_share` of their distinct trigrams (one at least) in the segment are scored, which
+    can miss phrases at low cutoffs; blocking=False scores all phrases, for small dictionaries.
     """
     s = segments.select(seg_key, F.col(seg_text).alias("_s"))
     p = phrases.select(F.col(key), F.col(text).alias("_p")).where(~blank(F.col(text)))
     if blocking:
-        grams = lambda c: F.explode(ngrams(F.col(c)))
-        shared = s.select(seg_key, grams("_s").alias("_g")).join(p.select(key, grams("_p").alias("_g")), "_g").select(seg_key, key).distinct()
+        held = p.select(key, ngrams(F.col("_p")).alias("_all")).select(key, F.size("_all").alias("_n"), F.explode("_all").alias("_g"))
+        shared = s.select(seg_key, F.explode(ngrams(F.col("_s"))).alias("_g")).join(held, "_g").groupBy(seg_key, key, "_n").agg(F.count("*").alias("_c"))
+        shared = shared.where(F.col("_c") >= min_share * F.col("_n")).select(seg_key, key)
     else:
         shared = s.select(seg_key, F.lit(0).alias("_j")).join(p.select(key, F.lit(0).alias("_j")), "_j").select(seg_key, key)
     pairs = shared.join(s, seg_key).join(p, key).where(1.5 * F.length("_s") >= F.length("_p"))

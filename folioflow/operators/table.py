@@ -83,10 +83,10 @@ def renumber(df: DataFrame, seq: str = "seq", pos: str = "pos", keys: tuple[str,
     return df.withColumn("_n", number).withColumn("_fine", fine).withColumn(seq, F.when(F.col("_fine"), s.cast("long")).otherwise(F.col("_n"))).drop("_n", "_fine")
 
 
-def insert_rows(df: DataFrame, inserts: DataFrame, seq: str = "seq", keys: tuple[str, ...] = ("project_id",)) -> DataFrame:
+def insert_rows(df: DataFrame, inserts: DataFrame, seq: str = "seq", keys: tuple[str, ...] = ("project_id",), tie: str | None = None) -> DataFrame:
     """New rows take their target number, rows from there on move up; several for one target keep their own order."""
     both = df.withColumn("_old", F.lit(1)).unionByName(inserts.withColumn("_old", F.lit(0)), allowMissingColumns=True)
-    number = F.row_number().over(ordered(list(keys), [F.col(seq).asc_nulls_last(), F.col("_old").asc()])).cast("long")
+    number = F.row_number().over(ordered(list(keys), [F.col(seq).asc_nulls_last(), F.col("_old").asc(), *([tie] if tie else [])])).cast("long")
     return both.withColumn(seq, number).drop("_old")
 
 
