@@ -1,9 +1,18 @@
+import os
+import sys
 import tempfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import SparkSession
 
 
+#: Spark's Python workers import the package as well.
+ROOT = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, ROOT)
+os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = (
