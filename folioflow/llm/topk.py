@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from folioflow.llm.common import materialize, table
 
-SHARD_ROWS, BLOCK_ROWS, PAGE, FANOUT, K, SCALE = 8192, 512, 64, 16, 5, 256
+SHARD_ROWS, BLOCK_ROWS, PAGE, FANOUT, K, SCALE = 8192, 512, 512, 16, 5, 256
 SLACK = 1e-7
 
 
@@ -53,18 +53,16 @@ class MTree:
         up = float(self._distances(pivot, np.array([parent]))[0]) if parent is not None else 0.0
         radius = float(d.max())
         if len(at) <= self.page:
-            near = np.argsort(d, kind="stable")
-            return pivot, radius, up, None, (at[near], d[near])
-        seeds = [pivot]
-        nearest, who = d.copy(), np.zeros(len(at), np.int64)
-        while len(seeds) < self.fanout and nearest.max() > 0:
-            far = int(at[np.argmax(nearest)])
-            new = self._distances(far, at)
-            closer = new < nearest
-            who[closer], nearest[closer] = len(seeds), new[closer]
-            seeds.append(far)
-        if len(seeds) == 1:  # all alike: pages by place
-            who = np.arange(len(at)) // -(-len(at) // self.fanout)
+            # sorted by parent distance, so the entries that a bound leaves over are one slice of a page
+            at = at[np.argsort(d, kind="stable")]
+            return pivot, radius, up, None, (self.ids[at], np.sort(d, kind="stable"), self.table[at])
+        fan = min(self.fanout, -(-len(at) // self.page) + 1)
+        if radius > 0:
+            # a few entries spread evenly over the distances attract the rest
+            spread = at[np.argsort(d, kind="stable")][np.linspace(0, len(at) - 1, fan).astype(np.int64)]
+            who = np.stack([self._distances(int(x), at) for x in spread]).argmin(axis=0)
+        if radius == 0 or (who == who[0]).all():  # all (nearly) alike: pages by place
+            who = np.arange(len(at)) // -(-len(at) // fan)
         kids = [self._build(at[who == k], pivot) for k in np.unique(who)]
         arrays = (np.array([x[0] for x in kids]), np.array([x[1] for x in kids]), np.array([x[2] for x in kids]))
         return pivot, radius, up, (arrays, kids), None
@@ -92,16 +90,15 @@ class MTree:
                 break
             _, _, _, inner, leaf = node
             if leaf is not None:
-                at, away = leaf
-                a, b = np.searchsorted(away, [d - limit, d + limit]) if limit < np.inf else (0, len(at))
-                at = at[max(0, a) : b + 1]
-                scores = table[at] @ probe
-                self.computed += len(at)
+                ids, away, page = leaf
+                a, b = np.searchsorted(away, [d - limit, d + limit]) if limit < np.inf else (0, len(ids))
+                ids, page = ids[a : b + 1], page[a : b + 1]
+                scores = page @ probe if page.dtype == probe.dtype else page.astype(np.int64) @ query
+                self.computed += len(ids)
                 if len(best) == k:
                     good = scores >= best[0][0]
-                    at, scores = at[good], scores[good]
-                scores = scores.astype(np.int64)
-                for s, i in zip(scores.tolist(), self.ids[at].tolist(), strict=True):
+                    ids, scores = ids[good], scores[good]
+                for s, i in zip(scores.astype(np.int64).tolist(), ids.tolist(), strict=True):
                     if i != own and (len(best) < k or (s, -i) > best[0]):
                         (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (s, -i))
                 if len(best) == k:
