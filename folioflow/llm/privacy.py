@@ -81,23 +81,24 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
     """(value, word, start, end) of the words of three letters or more around each value, none inside a value."""
     out = []
+    lowered = text.translate(_LOWER)  # as long as the text; words are runs of the lowered one
     inside = lambda a, b: any(s < b and a < e for s, _, e in spans)
     for s, _, e in spans:
-        value = text[s:e].translate(_LOWER)
+        value = lowered[s:e]
         # windows are found word by word outwards, so a long text costs no more than its values
         width = 64
         while True:
-            before = [m for m in _WORD.finditer(text, max(0, s - width), s) if m.start() > max(0, s - width) or s <= width]
+            before = [m for m in _WORD.finditer(lowered, max(0, s - width), s) if m.start() > max(0, s - width) or s <= width]
             if len(before) >= REACH or width > s:
                 break
             width *= 2
         after = []
-        for m in _WORD.finditer(text, e):
+        for m in _WORD.finditer(lowered, e):
             after.append(m)
             if len(after) == REACH:
                 break
         for m in before[-REACH:] + after:
-            w = m[0].translate(_LOWER)
+            w = m[0]
             if len(w) >= 3 and not w.isdigit() and not inside(m.start(), m.end()):
                 out.append((value, w, m.start(), m.end()))
     return out
