@@ -122,6 +122,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .coalesce(1)
     )
     got = rows.mapInPandas(_train, "weights binary, bias double").first()
+    if got is None:  # nothing to learn from
+        return fit([], np.zeros(0, np.int64))
     return np.frombuffer(got["weights"], "<f8"), got["bias"]
 
 
