@@ -84,9 +84,14 @@ def test_top_k(spark):
 
 
 def test_tree_avoids_distances():
-    points = np.random.default_rng(2).normal(0, 8, (4000, 4)).astype(int) + np.repeat(np.arange(40), 100)[:, None] * 60
+    """Unit vectors in narrow clusters, as embeddings are."""
+    gen = np.random.default_rng(2)
+    points = np.repeat(gen.normal(0, 1, (40, 8)), 100, axis=0) + gen.normal(0, 0.05, (4000, 8))
+    points = np.floor(256 * points / np.linalg.norm(points, axis=1, keepdims=True)).astype(np.int64)
     tree = topk.MTree(np.arange(4000), points, page=32)
-    tree.search(points[17], 17)
+    got = tree.search(points[17], 17)
+    scores = points @ points[17]
+    assert got == [(scores[i], i) for i in sorted(set(range(4000)) - {17}, key=lambda i: (-scores[i], i))[:5]]
     assert tree.computed < 2000
 
 
