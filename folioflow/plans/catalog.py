@@ -382,7 +382,7 @@ def j8_best_match(t):
 @query()
 def j9_align_phrases(t):
     c = t("conversations").select(F.concat_ws(":", "conv_id", "turn").alias("seg"), "text")
-    return M.align_phrases(c, phrases_of(t), "seg", "text", cutoff=60.0)
+    return M.align_phrases(c, phrases_of(t), "seg", "text", cutoff=75.0, min_share=0.7)
 
 
 @query("SELECT DISTINCT c_custkey AS project_id FROM customer WHERE c_nationkey = 3 OR c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 25 = 3)")
@@ -615,10 +615,10 @@ def w10_tag_color_runs(t):
     return T.tag_color_runs(lines_of(t).select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("n"), color.alias("color"), F.col("l_partkey").cast("string").alias("text")), ["k"], ["n"])
 
 
-@query("""SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 40 PRECEDING AND 39 FOLLOWING) / least(80, count(*) OVER (PARTITION BY user_id)), 3) AS average FROM events""")
+@query("""SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 40 PRECEDING AND 39 FOLLOWING) / least(80, count(*) OVER (PARTITION BY user_id)) + 1e-9, 3) AS average FROM events""")
 def w11_moving_average(t):
     e = t("events").select("user_id", "event_id", "value")
-    return T.moving_average(e, ["user_id"], "event_id", "value", 80).select("user_id", "event_id", F.round("average", 3).alias("average"))
+    return T.moving_average(e, ["user_id"], "event_id", "value", 80).select("user_id", "event_id", F.round(F.col("average") + 1e-9, 3).alias("average"))
 
 
 @query("""WITH e AS (SELECT user_id % 10 AS g, event_id AS x, value > 20 AS a FROM events), s AS (SELECT *, CASE WHEN lag(a) OVER w = a THEN 0 ELSE 1 END AS f FROM e WINDOW w AS (PARTITION BY g ORDER BY x)),
