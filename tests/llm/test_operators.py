@@ -209,6 +209,27 @@ def test_language_model(docs, none):
     assert language_model.score_texts(none).count() == 0
 
 
+def test_weight_rows_grow_with_the_words():
+    assert language_model.CLASSES == 64
+    sizes = [language_model.rows_for(v) for v in (0, 10_000, 1_000_000, 100_000_000)]
+    assert sizes[0] >= 1 << 15 and sizes == sorted(set(sizes)) and sizes[-1] > 1_000_000
+    numbers = np.random.default_rng(6).integers(0, 1 << 18, 200_000)
+    rows = language_model.context_rows(numbers, np.array([200_000]), 300_000)
+    assert rows.max() > 290_000 and rows.max() < 300_000 and len(np.unique(rows)) > 250_000
+    keys = rows.T.ravel()
+    assert (language_model._order(keys) == np.argsort(keys, kind="stable")).all()
+
+
+def test_joined_weights_score_as_broadcast_ones(docs):
+    """One block of tokens in each round, so both ways take the same steps."""
+    one = docs.where("doc_id is not null and doc_id <> 5").coalesce(1).sortWithinPartitions("doc_id")
+    a, b = ({r.doc_id: r for r in language_model.score_texts(one, **k).collect()} for k in ({}, {"broadcast_rows": 0, "block_rounds": language_model.ROUNDS}))
+    assert a.keys() == b.keys()
+    for i, r in a.items():
+        assert r.base_score == b[i].base_score and r.n_known == b[i].n_known
+        assert math.isclose(r.score, b[i].score, rel_tol=2e-3)
+
+
 # -- 5
 
 
