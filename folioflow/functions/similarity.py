@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -30,38 +32,74 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * lcs_length(a, b) / total if total else 100.0
 
 
-def alignment(phrase: str, text: str) -> tuple[int, int, float]:
+def alignment(phrase: str, text: str, least: float = 0.0) -> tuple[int, int, float]:
     """(start, end, score) of the window of text, of the phrase's length or cut at an edge, most like the phrase.
 
-    Windows are scored at every sixteenth of the phrase's length, and at every place around the three best of those; the
-    first best one wins. A phrase longer than the text is compared with all of it.
+    The first best one wins. From one window to another the common subsequence grows by no more than the characters that
+    come in, which bounds all windows between two scored ones; gaps are halved, the highest bound first, until no bound
+    reaches the best score. Windows below `least` need not be found. A phrase longer than the text is compared with all of it.
     """
     if not phrase or not text:
         return 0, 0, 0.0
     m, n = len(phrase), len(text)
+    if least > 0:
+        common = sum((Counter(phrase) & Counter(text)).values())  # of the windows that hold so many, the shortest is most alike
+        if 200.0 * common / (m + common) < least:
+            return 0, 0, 0.0
     if m >= n:
         return 0, n, ratio(phrase, text)
-    scores: dict[int, float] = {}
-
-    def score(at: int) -> float:
-        if at not in scores:
-            scores[at] = ratio(phrase, text[max(0, at) : min(n, at + m)])
-        return scores[at]
-
-    stride = max(1, m // 16)
-    coarse = sorted({*range(1 - m, n, stride), 0, n - m}, key=lambda at: (-score(at), at))
-    for middle in coarse[:3] if stride > 1 else ():
-        for at in range(max(1 - m, middle - stride), min(n - 1, middle + stride) + 1):
-            score(at)
-    best = min(scores, key=lambda at: (-scores[at], at))
-    return max(0, best), min(n, best + m), scores[best]
-
-
-def adjusted_alignment(phrase: str, text: str) -> tuple[int, int, float]:
+    where: dict[str, int] = {}
+    for i, c in enumerate(phrase):
+        where[c] = where.get(c, 0) | 1 << i
+    full, bits = (1 << m) - 1, [where.get(c, 0) for c in text]
+    lengths: dict[int, int] = {}
+    best, best_at = -1.0, 0
+    start, end = lambda at: max(0, at), lambda at: min(n, at + m)
+
+    def score(at: int) -> None:
+        nonlocal best, best_at
+        row = full
+        for x in bits[start(at) : end(at)]:
+            if u := row & x:
+                row = (row + u) | (row - u)
+        lengths[at] = (~row & full).bit_count()
+        got = 200.0 * lengths[at] / (m + end(at) - start(at))
+        if got > best or got == best and at < best_at:
+            best, best_at = got, at
+
+    def bound(a: int, b: int) -> float:
+        """No window that starts between a and b scores more."""
+        if 0 <= a and b <= n - m:
+            return 200.0 * min(m, (lengths[a] + lengths[b] + b - a) // 2, min(lengths[a], lengths[b]) + b - a - 1) / (2 * m)
+        return max(
+            200.0 * min(end(x) - start(x), lengths[a] + end(x) - end(a), lengths[b] + start(b) - start(x)) / (m + end(x) - start(x))
+            for x in range(a + 1, b)
+        )
+
+    grid = sorted({*range(1 - m, n, max(1, m // 4)), 0, n - m, n - 1})
+    for at in grid:
+        score(at)
+    gaps = [(-bound(a, b), a, b) for a, b in zip(grid, grid[1:]) if b - a > 1]
+    heapify(gaps)
+    while gaps:
+        most, a, b = heappop(gaps)
+        if -most < max(best, least):
+            break
+        if -most == best and a >= best_at:
+            continue
+        middle = (a + b) // 2
+        score(middle)
+        for x, y in ((a, middle), (middle, b)):
+            if y - x > 1:
+                heappush(gaps, (-bound(x, y), x, y))
+    return start(best_at), end(best_at), best
+
+
+def adjusted_alignment(phrase: str, text: str, least: float = 0.0) -> tuple[int, int, float]:
     """Alignment score times min(L/m, m/L) for L the phrase's and m the window's length; 0 where 1.5 * text < phrase."""
     if 1.5 * len(text) < len(phrase):
         return 0, 0, 0.0
-    s, e, score = alignment(phrase, text)
+    s, e, score = alignment(phrase, text, least)
     m = e - s
     return s, e, score * min(len(phrase) / m, m / len(phrase)) if m else 0.0
 
@@ -82,8 +120,8 @@ def partial_alignment(phrase: pd.Series, text: pd.Series) -> pd.DataFrame:
 
 
 @F.pandas_udf(_WINDOW)
-def adjusted_partial_alignment(phrase: pd.Series, text: pd.Series) -> pd.DataFrame:
-    rows = [(0, 0, 0.0) if x is None or y is None else adjusted_alignment(x, y) for x, y in zip(phrase, text, strict=True)]
+def adjusted_partial_alignment(phrase: pd.Series, text: pd.Series, least: pd.Series) -> pd.DataFrame:
+    rows = [(0, 0, 0.0) if x is None or y is None else adjusted_alignment(x, y, z) for x, y, z in zip(phrase, text, least, strict=True)]
     return pd.DataFrame(rows, columns=["start", "end", "score"])
 
 

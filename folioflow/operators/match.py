@@ -12,6 +12,8 @@ from folioflow.operators.islands import greedy_pairs, ordered
 #: Candidates kept for a text of fewer characters than the first number; the last is for longer ones.
 CANDIDATES = ((30, 500), (60, 300), (150, 60), (300, 30))
 REST = 20
+#: Blocks of segments that are joined with all phrases.
+BLOCKS = 64
 
 
 def adaptive_k(length: Column) -> Column:
@@ -140,21 +142,40 @@ def merge_split_words(tokens: DataFrame, vocabulary: DataFrame, keys: list[str],
     return t.select(*keys, F.row_number().over(w).cast("long").alias(order), pick("_pair", "word", "word"), pick("_both_match", "_own_match", "match"), pick("_both", "_own", "similarity"))
 
 
-def align_phrases(segments: DataFrame, phrases: DataFrame, seg_key: str, seg_text: str, key: str = "id", text: str = "text", cutoff: float = 75.0, blocking: bool = True, min_share: float = 0.4) -> DataFrame:
+def least_shared(length: Column, cutoff: float) -> Column:
+    """How many of a phrase's trigrams, repeats counted, a segment has at least where it reaches a cutoff above 80.
+
+    Of L characters in common with a window of w (at least cutoff percent of the phrase's m), L >= cutoff * (m + w) / 200.
+    The other m + w - 2L split them into at most one run more, and a run holds all its trigrams but two.
+    """
+    c = cutoff / 100.0
+    return F.ceil(length * (1 + c) * (2.5 * c - 2) - 2 - 1e-6)
+
+
+def align_phrases(segments: DataFrame, phrases: DataFrame, seg_key: str, seg_text: str, key: str = "id", text: str = "text", cutoff: float = 75.0, blocking: bool = True) -> DataFrame:
     """(seg_key, key, start, end, score): the phrase best aligned with each segment, if it reaches the cutoff.
 
-    With blocking only phrases with `min_share` of their distinct trigrams (one at least) in the segment are scored, which
-    can miss phrases at low cutoffs; blocking=False scores all phrases, for small dictionaries.
+    With blocking, phrases of which the cutoff demands a trigram in the segment (`least_shared`, above a cutoff of 80) are
+    met by their trigrams; all others are scored with every segment long enough. Nothing that reaches the cutoff is missed.
     """
     s = segments.select(seg_key, F.col(seg_text).alias("_s"))
     p = phrases.select(F.col(key), F.col(text).alias("_p")).where(~blank(F.col(text)))
-    if blocking:
-        held = p.select(key, ngrams(F.col("_p")).alias("_all")).select(key, F.size("_all").alias("_n"), F.explode("_all").alias("_g"))
-        shared = s.select(seg_key, F.explode(ngrams(F.col("_s"))).alias("_g")).join(held, "_g").groupBy(seg_key, key, "_n").agg(F.count("*").alias("_c"))
-        shared = shared.where(F.col("_c") >= min_share * F.col("_n")).select(seg_key, key)
-    else:
-        shared = s.select(seg_key, F.lit(0).alias("_j")).join(p.select(key, F.lit(0).alias("_j")), "_j").select(seg_key, key)
-    pairs = shared.join(s, seg_key).join(p, key).where(1.5 * F.length("_s") >= F.length("_p"))
-    scored = pairs.select(seg_key, key, adjusted_partial_alignment(F.col("_p"), F.col("_s")).alias("a")).select(seg_key, key, "a.start", "a.end", "a.score")
+    long_enough = (1.5 * F.length("_s") >= F.length("_p")) & (100.0 * F.length("_s") >= cutoff * F.length("_p") - 1e-6)
+    bound = blocking and cutoff > 80
+    if bound:
+        raw = lambda c: F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3))))
+        held = p.withColumn("_all", raw("_p"))
+        # a trigram that is lost takes away one distinct trigram at most
+        held = held.withColumn("_least", F.coalesce(F.size("_all") - (F.length("_p") - 2) + least_shared(F.length("_p"), cutoff), F.lit(0)))
+        by_gram = held.where("_least >= 1").select(key, "_least", F.explode("_all").alias("_g"))
+        shared = s.select(seg_key, F.explode(raw("_s")).alias("_g")).join(by_gram, "_g").groupBy(seg_key, key, "_least").agg(F.count("*").alias("_c"))
+        met = shared.where(F.col("_c") >= F.col("_least")).select(seg_key, key).join(s, seg_key).join(p, key).where(long_enough)
+        p = held.where("_least < 1").select(key, "_p")
+    # every phrase in each block of segments: an equi-join that many tasks share
+    spread = p.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
+    pairs = s.withColumn("_block", F.pmod(F.xxhash64(seg_key, "_s"), F.lit(BLOCKS)).cast("int")).join(spread, "_block").where(long_enough).select(seg_key, key, "_s", "_p")
+    if bound:
+        pairs = pairs.unionByName(met.select(seg_key, key, "_s", "_p"))
+    scored = pairs.select(seg_key, key, adjusted_partial_alignment(F.col("_p"), F.col("_s"), F.lit(float(cutoff))).alias("a")).select(seg_key, key, "a.start", "a.end", "a.score")
     w = Window.partitionBy(seg_key).orderBy(F.desc("score"), key)
     return scored.where(F.col("score") >= cutoff).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")

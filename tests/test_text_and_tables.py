@@ -1,10 +1,12 @@
 """Golden cases of the text, table, layout, linkage and source operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
-from folioflow.functions.similarity import alignment, lcs_length, ratio
+from folioflow.functions.similarity import adjusted_alignment, alignment, lcs_length, ratio
 from folioflow.operators import joins as J
 from folioflow.operators import layout as L
 from folioflow.operators import match as M
@@ -150,6 +152,37 @@ def test_linkage(spark):
     assert got == {"dominus": "dominus", "dominvs": "dominus", "xx": None}
 
 
+def test_alignment_is_the_best_of_all_windows():
+    local = random.Random(3)
+    text = lambda n: "".join(local.choice("aabcd ") for _ in range(n))
+    for _ in range(300):
+        phrase, t = text(local.randint(1, 70)), text(local.randint(1, 160))
+        if local.random() < 0.5:
+            t += "".join(c for c in phrase if local.random() < 0.8) + text(9)
+        m, n = len(phrase), len(t)
+        windows = [(max(0, at), min(n, at + m)) for at in range(1 - m, n)] if m < n else [(0, n)]
+        score, s, e = min((-ratio(phrase, t[s:e]), s, e) for s, e in windows)
+        got = alignment(phrase, t)
+        assert (got[2], got[0]) == (-score, s) and ratio(phrase, t[got[0] : got[1]]) == -score
+        least = local.choice([60.0, 80.0])
+        assert alignment(phrase, t, least) == got if -score >= least else alignment(phrase, t, least)[2] < least
+
+
+@pytest.mark.parametrize("cutoff", [60.0, 80.0, 85.0, 95.0])
+def test_alignment_misses_no_pair(spark, cutoff):
+    local = random.Random(7)
+    phrases = ["".join(local.choice("abcdefghijklm") for _ in range(local.randint(2, 60))) for _ in range(12)]
+    segments = ["".join(c if i % k else "#" for i, c in enumerate(p)) for p in phrases for k in (3, 4, 5, 12, 25)]
+    segments += [f"xx {s} yy" for s in segments[::3]]
+    exp = {}
+    for i, s in enumerate(segments):
+        best = min((-adjusted_alignment(p, s)[2], k) for k, p in enumerate(phrases))
+        if -best[0] >= cutoff:
+            exp[i] = best[1]
+    got = M.align_phrases(spark.createDataFrame(list(enumerate(segments)), "seg long, s string"), spark.createDataFrame(list(enumerate(phrases)), "id long, text string"), "seg", "s", cutoff=cutoff)
+    assert {r.seg: r.id for r in got.collect()} == exp and len(exp) > 1
+
+
 def test_segments_join_to_the_text(spark):
     content = spark.createDataFrame([(1, 1, 1, "ante dominus vobiscum et"), (1, 2, 2, "cum spiritu post multa")], "project_id long, row_id long, page_id long, text string")
     phrases = spark.createDataFrame([(7, "dominus vobiscum et cum spiritu")], "id long, text string")
