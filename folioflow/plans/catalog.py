@@ -768,7 +768,7 @@ def s15_apply_changes(t):
 @query()
 def c1_segment_by_phrases(t):
     c = t("conversations").select(F.col("conv_id").alias("project_id"), F.col("turn").alias("row_id"), F.col("turn").alias("page_id"), "text")
-    return segment_by_phrases(c, phrases_of(t), 80.0, passes=3)
+    return segment_by_phrases(c, phrases_of(t), 80.0)
 
 
 @query("""SELECT event_id AS pos, 'RISM:' || user_id AS "SOURCE", event_type AS "ITEM", CASE WHEN user_id % 2 = 0 THEN '1r - 2v' ELSE '1r' END AS "PAGE NUMBER (ORIGINAL)", coalesce(n_name, '') AS "GENRE" FROM events LEFT JOIN nation ON n_nationkey = user_id % 50""")

@@ -49,19 +49,19 @@ def fragments(whole: DataFrame, size: int = FRAGMENT) -> DataFrame:
     return p.select("project_id", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)).cast("long").alias("seg_start"), "text")
 
 
-def segment_by_phrases(content: DataFrame, phrases: DataFrame, threshold: float = 75.0, passes: int = 13, blocking: bool = True, size: int = FRAGMENT) -> DataFrame:
+def segment_by_phrases(content: DataFrame, phrases: DataFrame, threshold: float = 75.0, blocking: bool = True, size: int = FRAGMENT) -> DataFrame:
     """(project_id, sequence, seg_start, seg_end, text, phrase_id, similarity, found, from_page, to_page).
 
     Each pass looks for the best phrase in every open piece of all projects at once and cuts it into before, match and
-    after; pieces without a match are halved at a space as long as they are longer than the shortest phrase. It ends when a
-    pass finds nothing, or after `passes`. Pieces of a project join to its text again.
+    after; pieces without a match are halved at a space as long as they are longer than the shortest phrase. It ends when
+    no piece is open: each pass leaves shorter ones. Pieces of a project join to its text again.
     """
     spark = content.sparkSession
     whole, pages = project_text(content)
     pieces = fragments(whole, size).select("project_id", "seg_start", "text", F.lit(None).cast(phrases.schema["id"].dataType).alias("phrase_id"), F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("open"))
     pieces = checkpointed(pieces, spark)
     shortest = phrases.where(~blank(F.col("text"))).agg(F.min(F.length("text"))).first()[0] or 1
-    for _ in range(passes):
+    while not pieces.where("open").isEmpty():
         todo = pieces.where("open").select("project_id", "seg_start", "text", F.concat_ws(":", "project_id", "seg_start").alias("_key"))
         hits = align_phrases(todo, phrases, "_key", "text", cutoff=threshold, blocking=blocking)
         j = todo.join(hits, "_key", "left")
@@ -69,18 +69,16 @@ def segment_by_phrases(content: DataFrame, phrases: DataFrame, threshold: float
         s, e, n = F.col("start"), F.col("end"), F.length("text")
         row = lambda at, text, pid, sim, still: F.struct((F.col("seg_start") + at).cast("long").alias("seg_start"), text.alias("text"), pid.alias("phrase_id"), sim.alias("similarity"), still.alias("open"))
         none, zero = F.lit(None).cast(phrases.schema["id"].dataType), F.lit(None).cast("double")
-        halves = cut_on_space(F.col("text"))
-        left = F.length(halves["left"])
+        left = F.length(cut_on_space(F.col("text"))["left"])
+        left = F.when(left > 0, left).otherwise(F.floor(n / 2).cast("int"))  # a space in front would leave the piece as it is
         small = n <= 2 * shortest
         found = F.array(row(F.lit(0), part(F.lit(0), s), none, zero, F.lit(True)), row(s, part(s, e), F.col("id"), F.col("score"), F.lit(False)), row(e, part(e, n), none, zero, F.lit(True)))
         halved = F.when(small, F.array(row(F.lit(0), F.col("text"), none, zero, F.lit(False)))).otherwise(
-            F.array(row(F.lit(0), halves["left"], none, zero, F.lit(True)), row(left, halves["right"], none, zero, F.lit(True)))
+            F.array(row(F.lit(0), part(F.lit(0), left), none, zero, F.lit(True)), row(left, part(left, n), none, zero, F.lit(True)))
         )
         new = j.select("project_id", F.explode(F.when(F.col("id").isNotNull(), found).otherwise(halved)).alias("x")).select("project_id", "x.*").where("text <> ''")
         new = new.withColumn("open", F.col("open") & ~blank(F.col("text")))
         pieces = checkpointed(pieces.where("not open").unionByName(new), spark)
-        if pieces.where("open").isEmpty():
-            break
     done = pieces.withColumn("seg_end", F.col("seg_start") + F.length("text"))
     where = segment_pages(done.select("project_id", "seg_start", "seg_end"), pages, ["project_id"])
     w = Window.partitionBy("project_id").orderBy("seg_start")

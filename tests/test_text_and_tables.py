@@ -192,6 +192,15 @@ def test_segments_join_to_the_text(spark):
     assert [(r.text, r.phrase_id, r.from_page, r.to_page) for r in found] == [("dominus vobiscum et cum spiritu", 7, 1, 2)]
 
 
+def test_segments_are_cut_until_none_is_open(spark):
+    """Of equal matches the first is cut out in each pass; a long word after a space is no end of halving."""
+    whole = " ".join(["pax domini"] * 15 + ["z" * 50])
+    content = spark.createDataFrame([(1, 1, 1, whole)], "project_id long, row_id long, page_id long, text string")
+    got = segment_by_phrases(content, spark.createDataFrame([(7, "pax domini")], "id long, text string"), 100.0).orderBy("sequence").collect()
+    assert "".join(r.text for r in got) == whole
+    assert [r.text for r in got if r.found] == ["pax domini"] * 15
+
+
 def test_changes_of_other_projects_fail(spark):
     df = spark.createDataFrame([(1, 1, "a"), (2, 2, "b")], "row_id long, project_id long, t string")
     wrong = spark.createDataFrame([(2, 1, "c")], "row_id long, project_id long, t string")
