@@ -2,8 +2,8 @@
 
 Strong kinds (assign, access, hex) are reported wherever they match. Weak kinds are reported only where complementary
 parts stand in one scope: a key identifier (id) needs a secret, a bare secret (key) needs an identifier, and an
-endpoint (host) needs both. Parts meet in an interval join: each candidate falls into buckets of `SCOPE` code points, and
-two parts link if they are no more than `SCOPE` apart.
+endpoint (host) needs both. Parts meet in an interval join: each candidate falls into the buckets of `SCOPE` code points of its
+start and its end, and two parts link if they are no more than `SCOPE` apart.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ STRONG = {
 }
 WEAK = {
     "id": (rf"(?i:access|client|account|tenant)[_-]?(?i:key)?[_-]?(?i:id){_SEP}[A-Za-z0-9._-]{{6,}}", 0, 0),
-    "key": (r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]{0,63}[0-9])(?=[a-z0-9+/]{0,63}[A-Z])[A-Za-z0-9+/]{20,64}={0,2}(?![A-Za-z0-9+/=])", 0, 0),
+    "key": (r"(?<![A-Za-z0-9+/=])(?=[A-Za-z+/]*+[0-9])(?=[a-z0-9+/]*+[A-Z])[A-Za-z0-9+/]{20,}+={0,2}(?![A-Za-z0-9+/=])", 0, 0),
     "host": (r"(?i:https?)://[A-Za-z0-9.-]+|[a-z0-9-]+(?:\.[a-z0-9-]+)*\.(?:internal|local|amazonaws\.com)(?![A-Za-z0-9])", 0, 0),
 }
 KINDS = [*STRONG, *WEAK]
@@ -72,13 +72,15 @@ def _near(parts: DataFrame, other: DataFrame, scope: int) -> DataFrame:
         F.col("end").alias("o_end"),
         F.explode(F.sequence(F.floor((F.col("start") - scope) / scope), F.floor((F.col("end") + scope) / scope))).alias("o_bucket"),
     )
-    return parts.withColumn("bucket", F.floor(F.col("start") / scope)).join(
+    # the end that faces the other part lies no more than scope from it, and so in one of its buckets
+    ends = F.array_distinct(F.array(F.floor(F.col("start") / scope), F.floor(F.col("end") / scope)))
+    return parts.withColumn("bucket", F.explode(ends)).join(
         spread,
         (F.col("row_key") == F.col("o_row"))
         & (F.col("bucket") == F.col("o_bucket"))
         & ((F.col("start") >= F.col("o_end")) & (F.col("start") <= F.col("o_end") + scope) | (F.col("end") <= F.col("o_start")) & (F.col("o_start") <= F.col("end") + scope)),
         "left_semi",
-    ).drop("bucket")
+    ).drop("bucket").distinct()
 
 
 def link(found: DataFrame, scope: int = SCOPE) -> DataFrame:

@@ -393,6 +393,26 @@ def test_linked_secrets(spark):
     assert [x.split(":")[0] for x in got[4].split(",")] == ["access", "key"]
 
 
+def test_links_are_those_of_all_pairs(spark):
+    local = random.Random(9)
+    found = [(f"r{k}", kind, at, at + local.randint(1, 700)) for k in range(60) for kind in local.choices(range(6), k=4) for at in [local.randrange(2000)]]
+    found += [("t", 3, 270, 310), ("t", 4, 600, 640)]
+    kind = {name: secrets.KINDS.index(name) for name in secrets.KINDS}
+    ids, keys = {kind["access"], kind["id"]}, {kind["assign"], kind["hex"], kind["key"]}
+    near = lambda x, kinds: any(y[0] == x[0] and y[1] in kinds and (0 <= x[2] - y[3] <= 300 or 0 <= y[2] - x[3] <= 300) for y in found)
+    need = {kind["id"]: [keys], kind["key"]: [ids], kind["host"]: [ids, keys]}
+    exp = {x for x in found if all(near(x, kinds) for kinds in need.get(x[1], []))}
+    df = spark.createDataFrame(found, "row_key string, kind int, start long, end long")
+    assert {tuple(x) for x in secrets.link(df).collect()} == exp and ("t", 3, 270, 310) in exp
+
+
+def test_long_account_keys(spark):
+    key = "aB3dE5gH7jK9mN1pQ3sT5vW7yZ9bC1dE3fG5hJ7k" * 2 + "aB3dE5=="
+    df = spark.createDataFrame([(1, f"account_id: CLIENT01 {key}"), (2, f"account_id: CLIENT01 {'q' * 70}B{'q' * 70}4"), (3, f"account_id: CLIENT01 {'q' * 3000}")], "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in secrets.find_secrets(df).collect()}
+    assert got[1] == f"id:0:20,key:21:{21 + len(key)}" and got[2] == "id:0:20,key:21:163" and got[3] == ""
+
+
 # -- 10
 
 
