@@ -47,6 +47,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def refuse(df: DataFrame, *reserved: str) -> None:
+    """Raise if df has a column of a name that an operator adds for itself."""
+    clash = {c.lower() for c in df.columns} & {r.lower() for r in reserved}
+    if clash:
+        raise ValueError(f"rename the column(s) {', '.join(sorted(clash))}: the operator adds columns of these names")
+
+
 def id_crc(col: Column) -> Column:
     """crc32 of an id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))

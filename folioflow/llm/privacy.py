@@ -1,17 +1,20 @@
 """Sanitising personal data by how much terms reveal it.
 
-Fixed patterns find protected values (email, ip, card, phone). Words within `REACH` words of a value are its
-neighbours. Over all texts it is counted in how many texts a word neighbours a value, in how many the value stands, and
-in how many the word stands at all. A word discloses a value if it neighbours it in at least `SUPPORT` texts, if at least
-`SHARE` of the word's texts are such, and if their pointwise mutual information is at least `BITS`. Such words are
-reported as spans beside the values, wherever they neighbour them; `sanitise` removes words that (nearly) always go
-with one value and generalises the others.
+Fixed patterns find protected values (email, ip, card, phone). Words within `reach` words of a value (or, with no reach,
+all words of its text) are its neighbours. Over all texts it is counted in how many texts a word neighbours a value, in
+how many the value stands, and in how many the word stands at all. A word discloses a value if it neighbours it in at
+least `SUPPORT` texts, if at least `SHARE` of the word's texts are such, and if it gives at least `TOLD` of the
+information that tells the value: pointwise mutual information over log2(texts / texts with the value). The latter is a
+share, so the rule is the same for tables of any size and for values of any frequency. Such words are reported as
+spans beside the values, wherever they neighbour them; `sanitise` removes words that (nearly) always go with one value
+and generalises the others.
 """
 
 from __future__ import annotations
 
 import re
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 
 import numpy as np
@@ -20,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import ALNUM, bit_filter, materialize, passes, table, with_bytes, BODY
+from folioflow.llm.common import ALNUM, bit_filter, materialize, passes, refuse, table, with_bytes, BODY
 
-REACH, SUPPORT, SHARE, BITS, CERTAIN = 6, 2, 0.5, 6.0, 0.95
+REACH, SUPPORT, SHARE, TOLD, CERTAIN = 6, 2, 0.5, 0.5, 0.95
 BASE = ("email", "ip", "card", "phone")
 KINDS = (*BASE, "term")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
@@ -65,7 +68,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of protected values, sorted."""
     out = [(a, 0, b) for a, b in emails(text)]
     for m in _IP.finditer(text):
-        if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m[0].split(".")):
+        if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m[0].split(".")):
             out.append((m.start(), 1, m.end()))
     for m in _CARD.finditer(text):
         digits = m[0].replace(" ", "").replace("-", "")
@@ -78,29 +81,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def neighbours(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[str, str, int, int]]:
-    """(value, word, start, end) of the words of three letters or more around each value, none inside a value."""
-    out = []
+def _merged(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the union of sorted spans."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for a, _, b in spans:
+        if ends and a < ends[-1]:
+            ends[-1] = max(ends[-1], b)
+        else:
+            starts.append(a)
+            ends.append(b)
+    return starts, ends
+
+
+def neighbours(text: str, spans: list[tuple[int, int, int]], reach: int | None = REACH) -> list[tuple[str, str, int, int]]:
+    """(value, word, start, end) of the words of three letters or more around each value, none inside a value.
+
+    One pass over the text's words and a binary search for each value. Without a reach, each distinct value has every
+    word of the text.
+    """
     lowered = text.translate(_LOWER)  # as long as the text; words are runs of the lowered one
-    inside = lambda a, b: any(s < b and a < e for s, _, e in spans)
+    found = [(m.start(), m.end()) for m in _WORD.finditer(lowered)]
+    starts, ends = [a for a, _ in found], [b for _, b in found]
+    low, high = _merged(spans)
+
+    def good(i: int) -> bool:
+        a, b = found[i]
+        k = bisect_left(low, b) - 1  # the last union that starts before the word's end
+        return b - a >= 3 and (k < 0 or high[k] <= a) and not lowered[a:b].isdigit()
+
+    out = []
+    if reach is None:
+        words = [i for i in range(len(found)) if good(i)]
+        for value in dict.fromkeys(lowered[s:e] for s, _, e in spans):
+            out += [(value, lowered[starts[i] : ends[i]], starts[i], ends[i]) for i in words]
+        return out
     for s, _, e in spans:
-        value = lowered[s:e]
-        # windows are found word by word outwards, so a long text costs no more than its values
-        width = 64
-        while True:
-            before = [m for m in _WORD.finditer(lowered, max(0, s - width), s) if m.start() > max(0, s - width) or s <= width]
-            if len(before) >= REACH or width > s:
-                break
-            width *= 2
-        after = []
-        for m in _WORD.finditer(lowered, e):
-            after.append(m)
-            if len(after) == REACH:
-                break
-        for m in before[-REACH:] + after:
-            w = m[0]
-            if len(w) >= 3 and not w.isdigit() and not inside(m.start(), m.end()):
-                out.append((value, w, m.start(), m.end()))
+        # words that end by the value's start, and words that start from its end on
+        before, after = bisect_right(ends, s), bisect_left(starts, e)
+        for i in (*range(max(0, before - reach), before), *range(after, min(len(found), after + reach))):
+            if good(i):
+                out.append((lowered[s:e], lowered[starts[i] : ends[i]], starts[i], ends[i]))
     return out
 
 
@@ -112,20 +133,25 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int64()), ("end",
 _NEAR = pa.list_(pa.struct([("value", pa.string()), ("word", pa.string()), ("h", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]))
 
 
-def _scan(batches):
-    for batch in batches:
-        spans, near = [], []
-        for t in batch.column("text"):
-            text = t.as_py()
-            found = base_spans(text)
-            spans.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
-            near.append(
-                [{"value": v, "word": w, "h": word_hash(w.encode()), "start": a, "end": b} for v, w, a, b in neighbours(text, found)] if found else []
+def _scan(reach: int | None):
+    def run(batches):
+        for batch in batches:
+            spans, near = [], []
+            for t in batch.column("text"):
+                text = t.as_py()
+                found = base_spans(text)
+                spans.append([{"start": a, "kind": k, "end": b} for a, k, b in found])
+                near.append(
+                    [{"value": v, "word": w, "h": word_hash(w.encode()), "start": a, "end": b} for v, w, a, b in neighbours(text, found, reach)]
+                    if found
+                    else []
+                )
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("row_key"), pa.array(spans, _SPAN), pa.array(near, _NEAR)],
+                ["doc_id", "row_key", "spans", "near"],
             )
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("row_key"), pa.array(spans, _SPAN), pa.array(near, _NEAR)],
-            ["doc_id", "row_key", "spans", "near"],
-        )
+
+    return run
 
 
 def _frequencies(bits):
@@ -150,7 +176,7 @@ def _frequencies(bits):
 
 
 def disclosing(scanned: DataFrame, docs: DataFrame) -> DataFrame:
-    """(value, word, share, bits) of the pairs whose word discloses the value."""
+    """(value, word, share, told) of the pairs whose word discloses the value; told is a share of the value's information."""
     near = scanned.select("row_key", F.explode("near").alias("x")).select("row_key", "x.value", "x.word", "x.h")
     pairs = materialize(
         near.dropDuplicates(["row_key", "value", "word"]).groupBy("value", "word", "h").agg(F.count("*").alias("together")).where(F.col("together") >= SUPPORT)
@@ -162,12 +188,13 @@ def disclosing(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     values = materialize(near.select("row_key", "value").distinct().groupBy("value").agg(F.count("*").alias("value_texts")))
     texts = docs.count()
     share = F.col("together") / F.greatest("word_texts", "together")
-    information = F.log2(F.col("together") * F.lit(float(max(texts, 1))) / F.greatest("word_texts", "together") / F.col("value_texts"))
+    needed = F.log2(F.lit(float(max(texts, 1))) / F.col("value_texts"))
+    told = F.when(needed > 0, 1 + F.log2(share) / needed).otherwise(0.0)  # a value that all texts hold is no secret
     return (
         pairs.join(words, "word")
         .join(values, "value")
-        .select("value", "word", share.alias("share"), information.alias("bits"))
-        .where((F.col("share") >= SHARE) & (F.col("bits") >= BITS))
+        .select("value", "word", share.alias("share"), told.alias("told"))
+        .where((F.col("share") >= SHARE) & (F.col("told") >= TOLD))
     )
 
 
@@ -176,16 +203,19 @@ def _report(spans):
     return F.array_join(named, ",")
 
 
-def find_personal(docs: DataFrame) -> DataFrame:
+def find_personal(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
     """doc_id, row_key, `spans` (start, kind, end, certain) sorted, for each row of docs.
 
     Offsets are code points, ends exclusive. Null and empty texts have no spans; rows alike in doc_id and text count as
-    one text in what words disclose but are each returned; a null doc_id is kept; other columns are ignored.
+    one text in what words disclose but are each returned; a null doc_id is kept; other columns are ignored, whatever
+    their names; an empty table gives an empty result. Texts are told apart by a 64-bit hash of doc_id and text, by
+    chance 2**-64 a pair alike. With reach None terms are sought in whole texts, at the cost of a row for each pair of a
+    text's values and words.
     """
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), F.coalesce("text", F.lit("")).alias("text"))
     scanned = materialize(
         rows.mapInArrow(
-            _scan,
+            _scan(reach),
             "doc_id long, row_key long, spans array<struct<start: long, kind: long, end: long>>, "
             "near array<struct<value: string, word: string, h: long, start: long, end: long>>",
         )
@@ -218,14 +248,19 @@ def redact(text: str, spans) -> str:
     return "".join(out) + text[done:]
 
 
-def sanitise(docs: DataFrame) -> DataFrame:
-    """docs with its columns, values and disclosing words taken out of text."""
+def sanitise(docs: DataFrame, reach: int | None = REACH) -> DataFrame:
+    """docs with its columns, values and disclosing words taken out of text.
+
+    Null texts stay null, empty ones empty; repeated rows are each returned; other columns are kept untouched, but names
+    that this operator adds meanwhile (`_row_key`, `_spans`) are refused; an empty table gives an empty result.
+    """
+    refuse(docs, "_row_key", "_spans")
 
     @F.pandas_udf("string")
     def cut(text: pd.Series, spans: pd.Series) -> pd.Series:
         return pd.Series([t if t is None or s is None else redact(t, s) for t, s in zip(text, spans, strict=True)])
 
-    found = materialize(find_personal(docs)).select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")).dropDuplicates(["_row_key"])
+    found = materialize(find_personal(docs, reach)).select(F.col("row_key").alias("_row_key"), F.col("spans").alias("_spans")).dropDuplicates(["_row_key"])
     joined = docs.withColumn("_row_key", F.xxhash64("doc_id", "text")).join(found, "_row_key", "left")
     return joined.select(*(cut("text", "_spans").alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
