@@ -63,9 +63,14 @@ def id_crc(col: Column) -> Column:
 BODY = "_text_as_bytes"
 
 
-def with_bytes(docs: DataFrame, *keep: str) -> DataFrame:
-    """The kept columns and the whole text as bytes (null text: empty)."""
-    return docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias(BODY))
+def text_bytes() -> Column:
+    """The whole text as bytes (null text: empty)."""
+    return F.coalesce(F.col("text"), F.lit("")).cast("binary")
+
+
+def with_bytes(docs: DataFrame, *keep: str | Column) -> DataFrame:
+    """The kept columns and the whole text as bytes."""
+    return docs.select(*keep, text_bytes().alias(BODY))
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm.common import (
@@ -33,6 +33,7 @@ from folioflow.llm.common import (
     materialize,
     mix64,
     passes,
+    refuse,
     table,
     with_bytes,
     word_hashes,
@@ -43,6 +44,8 @@ SHINGLE, BOTTOM, BUCKETS = 5, 3, 1 << 20
 PIECES, TEAM = 64, 64
 #: Slots of the parity bitmap that travels with the tiles, and how often tiles are joined as stars before the rest.
 SLOTS, STARS = 512, 2
+#: Stands for a null doc_id where texts are read again.
+NO_ID = -(1 << 63)
 #: Unrelated odd factors: multiples of one constant would give equal sums to permuted shingles.
 _FACTORS = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -109,10 +112,10 @@ def _bucket(s: np.ndarray) -> np.ndarray:
 
 def _prepare(batches):
     counts = np.zeros(BUCKETS, np.int64)
-    names = ["doc_id", "n", "node", "bottom", "bits", "counts"]
+    names = ["doc_id", "row", "n", "node", "bottom", "bits", "counts"]
 
     def rows(cols):
-        types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
 
     for batch in batches:
@@ -123,6 +126,7 @@ def _prepare(batches):
             yield rows(
                 [
                     batch.column("doc_id").slice(lo, hi - lo),
+                    batch.column("row").slice(lo, hi - lo),
                     [len(s) for s in sets],
                     [node_of(s) for s in sets],
                     [s[:BOTTOM].view(np.int64) for s in sets],
@@ -133,7 +137,7 @@ def _prepare(batches):
     # one row for each piece of the counts, marked by a negative size; doc_id is the task
     task = TaskContext.get().partitionId()
     sent = [c.tobytes() for c in counts.reshape(PIECES, -1)]
-    yield rows([[task] * PIECES, [-1 - k for k in range(PIECES)], *[[None] * PIECES] * 3, sent])
+    yield rows([[task] * PIECES, [None] * PIECES, [-1 - k for k in range(PIECES)], *[[None] * PIECES] * 3, sent])
 
 
 def _sum_counts(key, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -237,19 +241,23 @@ def _exact(batches):
         yield batch.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
 
+def _id_or_none() -> Column:
+    return F.coalesce("doc_id", F.lit(NO_ID)).alias("doc_id")
+
+
 def _links(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) of nodes that are links: bit counts first, then exact intersection."""
     spark = docs.sparkSession
-    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"), F.col("least").alias(f"least_{x}"))
+    side = lambda x: nodes.select(F.col("node").alias(x), F.col("n").alias(f"n_{x}"), F.col("bits").alias(f"bits_{x}"))
     near = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_bound, "a long, b long"))
     ends = near.select(F.col("a").alias("node")).union(near.select("b")).distinct()
-    need = materialize(ends.join(nodes.select("node", "least"), "node"))
-    # a node's set is read again from the document of its least doc_id
-    bits = spark.sparkContext.broadcast(bit_filter(need, F.xxhash64("least"), 22))
+    need = materialize(ends.join(nodes.select("node", "at"), "node"))
+    # a node's set is read again from a document of its least doc_id
+    bits = spark.sparkContext.broadcast(bit_filter(need, F.xxhash64("at"), 22))
     sets = (
-        with_bytes(docs, "doc_id", F.xxhash64("doc_id").alias("h"))
+        with_bytes(docs, _id_or_none(), F.xxhash64(_id_or_none()).alias("h"))
         .mapInArrow(_needed_sets(bits), "doc_id long, node long, hashes binary")
-        .join(need.withColumnRenamed("least", "doc_id"), ["doc_id", "node"])
+        .join(need.withColumnRenamed("at", "doc_id"), ["doc_id", "node"])
         .dropDuplicates(["node"])
         .select("node", "hashes")
     )
@@ -308,27 +316,30 @@ def _meetings(tiles: DataFrame) -> DataFrame:
     return met.select(F.col("node").alias("a"), F.col("node_b").alias("b"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for each row of docs.
+def row_hash() -> Column:
+    """Names the rows alike in doc_id and text (by chance 2**-64 two others as well)."""
+    return F.xxhash64("doc_id", "text")
 
-    component_id is the least doc_id reachable by links. Texts without words (null, empty) have no shingles and stay
-    alone. Rows of a null doc_id are counted but link nothing, and get a null component_id. Repeated rows, and rows of
-    one doc_id with different texts, are each kept; every row takes part. Other columns are ignored.
+
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, row, n, node, component, component_id) for each row of docs; row is its `row_hash`.
+
+    component names a group of linked nodes (null without words), component_id is its least doc_id (null if it has none).
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     made = materialize(
-        with_bytes(docs, "doc_id").mapInArrow(
-            _prepare, "doc_id long, n long, node long, bottom array<long>, bits binary, counts binary"
+        with_bytes(docs, "doc_id", row_hash().alias("row")).mapInArrow(
+            _prepare, "doc_id long, row long, n long, node long, bottom array<long>, bits binary, counts binary"
         )
     )
-    rows = materialize(made.where("n >= 0").select("doc_id", "n", "node"))
+    rows = materialize(made.where("n >= 0").select("doc_id", "row", "n", "node"))
     sent = made.where("n < 0").select("n", "doc_id", "counts")
     order = _order(sent, (sent.agg(F.max("doc_id")).first()[0] or 0) + 1)
     nodes = materialize(
-        made.where("n > 0 and doc_id is not null")
+        made.where("n > 0")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("bottom").alias("bottom"), F.first("bits").alias("bits"))
+        .agg(F.min("doc_id").alias("least"), F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("at"), F.first("n").alias("n"), F.first("bottom").alias("bottom"), F.first("bits").alias("bits"))
     )
     discard(made)
     # first pass: stars around the least node of each low hash
@@ -340,14 +351,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     discard(hubs, near)
     # tiles of prefix shingles that stand in more than one component
     labelled = materialize(
-        nodes.select("node", "least", "n")
+        nodes.select("node", "at", "n")
         .join(groups, "node", "left")
-        .select("node", F.col("least").alias("doc_id"), "n", F.coalesce("component", "node").alias("component"))
+        .select("node", F.col("at").alias("doc_id"), "n", F.coalesce("component", "node").alias("component"))
     )
-    prefixes = with_bytes(docs, "doc_id").mapInArrow(
+    prefixes = with_bytes(docs, _id_or_none()).mapInArrow(
         _ordered_prefixes(spark.sparkContext.broadcast(order)), "doc_id long, node long, keys array<long>, sig array<long>"
     )
-    entries = materialize(prefixes.join(labelled, ["doc_id", "node"]).select("node", "n", "component", "keys", "sig"))
+    joined = prefixes.join(labelled, ["doc_id", "node"]).dropDuplicates(["node"])
+    entries = materialize(joined.select("node", "n", "component", "keys", "sig"))
     shared = materialize(
         entries.select(F.explode("keys").alias("key"), "component")
         .groupBy("key")
@@ -382,20 +394,42 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         nodes.select("node", "least").join(final, "node", "left").select("node", "least", F.coalesce("component", "node").alias("component"))
     )
     least = materialize(named.groupBy("component").agg(F.min("least").alias("component_id")))
-    of_node = materialize(named.join(least, "component").select("node", "component_id"))
+    of_node = materialize(named.join(least, "component").select("node", "component", "component_id"))
     discard(nodes, links, final, named, least)
-    return rows.join(of_node, "node", "left").select(
-        "doc_id",
-        F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull() & (F.col("n") > 0), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
+    return rows.join(of_node, "node", "left")
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for each row of docs.
+
+    component_id is the least doc_id reachable by links, null if all rows reached have none. Texts without words (null,
+    empty) have no shingles and stay alone. Every row takes part: rows of a null doc_id link like others, repeated
+    rows, and rows of one doc_id with different texts, are each returned. Other columns are ignored, whatever their
+    names; an empty table gives an empty result.
+    """
+    return grouped(docs).select(
+        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of docs for each component (its least doc_id); rows without a doc_id or without words stay."""
-    gone = materialize(near_duplicates(docs).where("component_id <> doc_id").select("doc_id").distinct())
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.select(docs.columns)
+    """One row of docs for each component: of its least doc_id (a null one counts as the greatest).
+
+    Decided row by row: where rows of one doc_id have different texts, each goes or stays with its own component. Of rows
+    alike in doc_id and text one stays. Texts without words stay, once for each doc_id and text. Other columns are kept
+    untouched; the names `_row` and `_copies` are refused; an empty table gives an empty result.
+    """
+    refuse(docs, "_row", "_copies")
+    alone = F.when(F.col("n") == 0, F.col("row"))
+    rows = materialize(grouped(docs).groupBy("doc_id", "row", "component", alone.alias("alone")).agg(F.count("*").alias("copies")))
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "copies")
+    kept = rows.groupBy("component", "alone").agg(F.min(first).alias("x")).select(F.col("x.row").alias("_row"), F.col("x.copies").alias("_copies"))
+    kept = materialize(kept)
+    discard(rows)
+    keyed = docs.withColumn("_row", row_hash())
+    once = keyed.join(kept.where("_copies = 1"), "_row", "left_semi")
+    repeated = keyed.join(kept.where("_copies > 1"), "_row", "left_semi").dropDuplicates(["_row"])
+    return once.unionByName(repeated).select(docs.columns)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

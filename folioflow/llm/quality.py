@@ -10,16 +10,16 @@ table is broadcast.
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from operator import eq
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import BODY, id_crc, table, with_bytes
+from folioflow.llm.common import BODY, id_crc, table, text_bytes, with_bytes
 
 BUCKETS, WIDTH, SAMPLE_ROWS, EPOCHS = 1 << 16, 16, 4000, 4
 NGRAMS = (2, 3, 4)
@@ -127,14 +127,14 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     return np.frombuffer(got["weights"], "<f8"), got["bias"]
 
 
-def score_batches(weights: np.ndarray, bias: float):
-    """The map function that adds a score to batches of (doc_id, held_out, body)."""
+def scorer(weights: np.ndarray, bias: float):
+    """A column function from a text's bytes to its score: only texts go to Python, one copy of each."""
 
-    def run(batches):
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[bytes, int] = {}
         sums, counts = [], []
-        for batch in batches:
-            bodies = batch.column(BODY)
+        for bodies in batches:
             scores = np.empty(len(bodies))
             for i, body in enumerate(bodies):
                 words = body.as_py().split()
@@ -156,44 +156,31 @@ def score_batches(weights: np.ndarray, bias: float):
                 scores[i] = 1 / (1 + np.exp(-np.clip(bias + s / n, -50, 50)))
                 if len(sums) > CACHE:
                     known, sums, counts = {}, [], []
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(n) for n in batch.schema.names if n != BODY), pa.array(scores)],
-                [*(n for n in batch.schema.names if n != BODY), "score"],
-            )
+            yield pa.array(scores)
 
-    return run
+    return score
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row (doc_id, held_out, score, predicted) for each row of docs.
 
     Null and empty texts have no features and get the score of the bias alone; repeated rows are scored alike; other
-    columns are ignored; without usable labels, or with one label only, all texts get the (smoothed) share of label 1.
+    columns are ignored, whatever their names; without usable labels, or with one label only, all texts get the
+    (smoothed) share of label 1; an empty table gives an empty result.
     """
-    weights, bias = train(docs, labels, sample_rows)
-    rows = with_bytes(
-        docs.select("doc_id", (F.pmod(id_crc(F.col("doc_id")), F.lit(5)) == 0).alias("held_out"), "text"),
-        "doc_id",
-        "held_out",
-    )
-    scored = rows.mapInArrow(
-        score_batches(weights, bias), "doc_id long, held_out boolean, score double"
-    )
+    score = scorer(*train(docs, labels, sample_rows))
+    scored = docs.select("doc_id", (F.pmod(id_crc(F.col("doc_id")), F.lit(5)) == 0).alias("held_out"), score(text_bytes()).alias("score"))
     return scored.withColumn("predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The rows of docs whose text is not rejected, with all their columns."""
-    weights, bias = train(docs, labels)
-    names = docs.columns
-    kept = with_bytes(docs, "*")
-    run = score_batches(weights, bias)
+    """The rows of docs whose text is not rejected, with all their columns, whatever their names.
 
-    def good(batches):
-        for b in run(batches):
-            yield b.filter(pc.greater_equal(b.column("score"), threshold)).select(names)
-
-    return kept.mapInArrow(good, docs.schema)
+    Null and empty texts are judged by the share of the labels; rows alike are all kept or all left out; an empty table
+    gives an empty result.
+    """
+    score = scorer(*train(docs, labels))
+    return docs.where(score(text_bytes()) >= threshold)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -112,28 +112,33 @@ def naive_hits(texts, items, window=13):
                 for i in range(len(w) - n + 1):
                     if w[i : i + n] == b[s : s + n]:
                         hit |= set(range(i, i + n))
-                        which.add(str(item))
+                        which |= set() if item is None else {str(item)}
         out.append((len(w), len(hit), len(which), hashlib.sha256(",".join(sorted(which)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
     return out
 
 
 @pytest.mark.parametrize("block_words", [2_000_000, 20])
 def test_decontamination(spark, docs, none, block_words):
-    items = [(1, BASE[0][:80]), (2, "one"), (10, BASE[4]), (3, None), (4, "..."), (None, "two words here"), (2, "words here")]
+    items = [(1, BASE[0][:80]), (2, "one"), (10, BASE[4]), (3, None), (4, "..."), (None, "two words here"), (2, "words here"), (None, BASE[2])]
     bench = spark.createDataFrame(items, "item_id long, text string")
     sub = docs.where("length(text) < 5000 or text is null")
     got = sorted(map(tuple, decontamination.decontaminate(sub, bench, block_words=block_words).drop("spans").fillna(-1, ["doc_id"]).collect()))
     rows = rows_of(sub)
-    exp = sorted((-1 if i is None else i, *x) for (i, _), x in zip(rows, naive_hits([t for _, t in rows], [x for x in items if x[0]]), strict=True))
+    exp = sorted((-1 if i is None else i, *x) for (i, _), x in zip(rows, naive_hits([t for _, t in rows], items), strict=True))
     assert got == exp
     assert decontamination.decontaminate(none, bench).count() == 0
     assert decontamination.decontaminate(docs, bench.where("false")).where("n_hit > 0").count() == 0
-    assert decontamination.keep_clean(docs, bench).columns == docs.columns
+    clean = decontamination.keep_clean(sub, bench, block_words=block_words)
+    assert clean.columns == docs.columns and clean.count() == sum(not x[-1] for x in exp)
+    assert decontamination.keep_clean(none, bench, block_words=block_words).count() == 0
 
 
 def test_fm_index_finds_all():
-    text = np.random.default_rng(3).integers(1, 5, 400)
+    text = np.random.default_rng(3).integers(2, 6, 400)
+    text[200:300] = text[100:200]
     index = decontamination.FMIndex(text)
+    full = np.append(text, 0)
+    assert decontamination.suffix_array(full).tolist() == sorted(range(401), key=lambda i: full[i:].tolist())
     patterns = np.array([text[i : i + 3] for i in range(20)] + [[4, 4, 9]])
     who, lo, hi = index.search(patterns)
     for k, p in enumerate(patterns):
@@ -160,12 +165,13 @@ def naive_components(rows):
     for i in range(len(rows)):
         for j in range(i):
             both = len(sets[i] & sets[j])
-            if rows[i][0] is not None and rows[j][0] is not None and both and 100 * both >= 80 * len(sets[i] | sets[j]):
+            if both and 100 * both >= 80 * len(sets[i] | sets[j]):
                 name[find(i)] = find(j)
     groups = {}
     for i, (d, _) in enumerate(rows):
         groups.setdefault(find(i), []).append(d)
-    return sorted((d if d is not None else -1, len(s), -1 if d is None else min(x for x in groups[find(i)] if x is not None)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
+    least = lambda i: min((x for x in groups[find(i)] if x is not None), default=-1)
+    return sorted((-1 if d is None else d, len(s), least(i)) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
 
 
 def test_near_duplicates(spark, docs, none):
@@ -174,6 +180,32 @@ def test_near_duplicates(spark, docs, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+def test_a_null_id_bridges(spark):
+    """a and c differ by too much, each is near the text without an id; other nulls have a component of their own."""
+    w = [f"w{i}" for i in range(200)]
+    a, b, c = w[:180], w[:180] + ["x"] * 20, w[:160] + ["y"] * 10 + ["x"] * 20
+    b = w[:175] + ["x"] * 10
+    c = w[:160] + ["x"] * 10
+    rows = [(4, " ".join(a)), (None, " ".join(b)), (7, " ".join(c)), (None, "lonely text"), (None, None)]
+    got = sorted(tuple(-1 if x is None else x for x in r) for r in jaccard.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == naive_components(rows)
+
+
+def test_keep_one_decides_row_by_row(spark, none):
+    base = [words(50) for _ in range(4)]
+    rows = [
+        (1, base[0], "a"), (2, base[0] + " tail", "b"), (2, base[1], "c"),  # one doc_id, a copy and a text of its own
+        (3, base[2], "d"), (3, base[2], "d"), (3, base[2], "e"),  # repeated rows
+        (None, base[3], "f"), (9, base[3], "g"), (None, "", "h"), (5, None, "i"), (6, None, "j"), (6, None, "j"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, node string")
+    kept = jaccard.keep_one(df)
+    got = kept.collect()
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, base[0]), (2, base[1]), (3, base[2]), (9, base[3]), (0, ""), (5, ""), (6, "")])
+    assert jaccard.keep_one(none).count() == 0
+
+
 def test_near_duplicates_of_a_dense_group(spark):
     """Copies with so many edits that many pairs lie near the threshold."""
     local = random.Random(8)
@@ -428,7 +460,10 @@ def test_quality(spark, docs, none):
     assert quality.classify(docs, labels).count() == docs.count()
     assert quality.classify(docs, labels.where("false")).where("predicted = 0").count() == 0
     assert quality.classify(none, labels).count() == 0
-    assert quality.keep_good(docs, labels).columns == docs.columns
+    clash = docs.withColumns({"score": F.lit("x"), "predicted": F.lit(1), "weights": F.lit(2)})
+    kept = quality.keep_good(clash, labels)
+    assert kept.columns == clash.columns and kept.count() == quality.classify(clash, labels).where("score >= 0.3").count()
+    assert quality.keep_good(none, labels).count() == 0
 
 
 # -- long and odd texts
