@@ -27,6 +27,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+def lean(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound the Arrow batches that go to Python by `most` bytes, if the session leaves Spark's default (64 MB) as it is.
+
+    Texts may be long, and a worker holds a batch, what it makes of it, and the next one.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, "67108864b") in ("67108864b", "67108864"):
+        spark.conf.set(name, str(most))
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: short lineage that outlives executors."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/folioflow/{uuid.uuid4().hex}"
@@ -44,6 +54,7 @@ def discard(*written: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    lean(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -110,7 +121,7 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64(raw ^ mix64((ends - starts).astype(np.uint64)))
 
 
-def blocks_of(column: pa.Array, limit: int = 2_000_000):
+def blocks_of(column: pa.Array, limit: int = 500_000):
     """Runs (first, last) of rows that hold about `limit` bytes; a longer row stands alone."""
     off = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
     lo = 0
@@ -134,9 +145,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
 
-def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words (runs without ASCII white space, A-Z lowered) and where each row's words start."""
-    buf, off = byte_view(column)
+def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of all words (runs without ASCII white space) of rows of bytes; none reaches over a row's end."""
     word = ~_SPACE[buf]
     first = word.copy()
     first[1:] &= ~word[:-1]
@@ -145,7 +155,13 @@ def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     inner = off[:-1][off[:-1] < off[1:]]
     first[inner] = word[inner]
     last[inner[inner > 0] - 1] = word[inner[inner > 0] - 1]
-    starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def word_hashes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words (A-Z lowered) and where each row's words start."""
+    buf, off = byte_view(column)
+    starts, ends = word_spans(buf, off)
     return span_hashes(_LOWER[buf], starts, ends), np.searchsorted(starts, off)
 
 

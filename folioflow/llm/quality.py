@@ -1,17 +1,16 @@
 """Quality classifier: supervised subword embeddings.
 
-A text is the mean of the learned vectors of its hashed words and hashed character n-grams; a softmax over the two
-labels reads that mean. Of the word bigrams, those of two equal words share one feature of their own. Vectors and output weights are fitted by numpy stochastic gradient descent in one Spark task
-over a bounded sample of labelled rows (`sample_rows`, the rows of least hash); every text is then scored whole.
-As the output is linear in the mean, each feature shrinks to one number before scoring, so only that fixed-size
-table is broadcast.
+A text is the mean of the learned vectors of its hashed words, its hashed character n-grams (word ends marked) and one
+feature for words that repeat the one before; a softmax over the two labels reads that mean. Vectors and output weights
+are fitted by numpy stochastic gradient descent in one Spark task over a bounded sample of labelled rows (`sample_rows`,
+the rows of least hash); every text is then scored whole. As the output is linear in the mean, each feature shrinks to
+one number before scoring, so only that fixed-size table is broadcast, and a block of texts is scored by array operations
+over its bytes.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
-from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -19,46 +18,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import BODY, id_crc, table, text_bytes, with_bytes
+from folioflow.llm.common import BODY, blocks_of, byte_view, id_crc, span_hashes, table, text_bytes, with_bytes, word_spans
 
 BUCKETS, WIDTH, SAMPLE_ROWS, EPOCHS = 1 << 16, 16, 4000, 4
 NGRAMS = (2, 3, 4)
-#: Bucket of the word bigrams whose two words are alike, and so many blank features are added to every mean, so that a
+#: Bucket of the words that equal the word before, and so many blank features are added to every mean, so that a
 #: text of a few words is judged by little more than the share of the labels.
 SAME, BLANK = 0, 60
-#: Words remembered by a worker before it starts anew; has no effect on scores.
-CACHE = 400_000
 
 
-def features(word: bytes) -> list[int]:
-    """Buckets of a word and of its character n-grams, word ends marked."""
-    w = b"<" + word + b">"
-    crc = zlib.crc32
-    out = [crc(w)]
-    for n in NGRAMS:
-        out += [crc(w[i : i + n], n) for i in range(len(w) - n + 1)]
-    return [1 + x % (BUCKETS - 1) for x in out]
-
-
-def repeats(words: list[bytes]) -> int:
-    """How many words equal the one before."""
-    return sum(map(eq, words, words[1:]))
-
-
-def _bag(text: bytes, known: dict[bytes, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    seen: dict[bytes, int] = {}
-    words = text.split()
-    for w in words:
-        seen[w] = seen.get(w, 0) + 1
-    for w in [w for w in seen if w not in known]:
-        known[w] = np.array(features(w), np.int32)
-    ids = [known[w] for w in seen]
-    sizes = [len(x) for x in ids]
-    flat = np.concatenate([np.zeros(0, np.int32), *ids])
-    weight = np.bincount(flat, np.repeat(np.fromiter(seen.values(), float, len(seen)), sizes), minlength=1)
-    weight[SAME] = repeats(words)
-    at = np.flatnonzero(weight)
-    return at, weight[at] / (weight.sum() + BLANK)
+def _bucket(x: np.ndarray) -> np.ndarray:
+    """Buckets from 1 on of 32-bit numbers, by multiplicative hashing."""
+    return 1 + (x * np.uint32(0x9E3779B1) >> np.uint32(16)).astype(np.int64) % (BUCKETS - 1)
+
+
+def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, row) of each feature of each text of a binary column, with repeats."""
+    buf, off = byte_view(column)
+    starts, ends = word_spans(buf, off)
+    n = len(starts)
+    row = np.searchsorted(off, starts, "right") - 1
+    words = span_hashes(buf, starts, ends)
+    same = np.flatnonzero((words[1:] == words[:-1]) & (row[1:] == row[:-1])) + 1
+    size = ends - starts
+    # all words in one row of bytes, each between two marks
+    first = np.cumsum(size + 2) - size - 2
+    marked = np.full(int((size + 2).sum()), ord(">"), np.uint32)
+    marked[first] = ord("<")
+    inside = np.repeat(first + 1 - (np.cumsum(size) - size), size) + np.arange(size.sum())
+    marked[inside] = buf[np.repeat(starts - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+    room = np.repeat(first + size + 2, size + 2) - np.arange(len(marked))  # bytes from here to the word's end
+    of = np.repeat(row, size + 2)
+    found, rows = [_bucket((words >> np.uint64(32)).astype(np.uint32)), np.full(len(same), SAME)], [row, row[same]]
+    for k in NGRAMS:
+        gram = np.zeros(max(0, len(marked) - k + 1), np.uint32)
+        for j in range(k):
+            gram |= marked[j : j + len(gram)] << np.uint32(8 * j)
+        whole = room[: len(gram)] >= k
+        found.append(_bucket(gram[whole] ^ np.uint32(k * 0x85EBCA6B & 0xFFFFFFFF)))
+        rows.append(of[: len(gram)][whole])
+    return np.concatenate(found) if n else np.zeros(0, np.int64), np.concatenate(rows) if n else np.zeros(0, np.int64)
+
+
+def bags(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per text its distinct buckets and their shares of the mean."""
+    out = []
+    for t in texts:
+        at, count = np.unique(features(pa.array([t], pa.binary()))[0], return_counts=True)
+        out.append((at, count / (count.sum() + BLANK)))
+    return out
 
 
 def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarray, float]:
@@ -70,13 +78,12 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
     rng = np.random.default_rng(seed)
     vectors = rng.normal(0, 1.0 / WIDTH, (BUCKETS, WIDTH))
     out = rng.normal(0, 0.1, (WIDTH, 2))
-    known: dict[bytes, np.ndarray] = {}
-    bags = [_bag(t, known) for t in texts]
-    total = EPOCHS * len(bags)
+    made = bags(texts)
+    total = EPOCHS * len(made)
     step = 0
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(bags)):
-            at, w = bags[i]
+        for i in rng.permutation(len(made)):
+            at, w = made[i]
             rate = 1.0 * (1 - step / total) + 0.01
             step += 1
             h = w @ vectors[at]
@@ -132,31 +139,14 @@ def scorer(weights: np.ndarray, bias: float):
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[bytes, int] = {}
-        sums, counts = [], []
         for bodies in batches:
-            scores = np.empty(len(bodies))
-            for i, body in enumerate(bodies):
-                words = body.as_py().split()
-                try:
-                    at = [known[w] for w in words]
-                except KeyError:
-                    at = []
-                    for w in words:
-                        k = known.get(w)
-                        if k is None:
-                            k = known[w] = len(sums)
-                            f = features(w)
-                            sums.append(float(weights[f].sum()))
-                            counts.append(len(f))
-                        at.append(k)
-                same = repeats(words)
-                s = sum([sums[k] for k in at]) + same * weights[SAME]
-                n = sum([counts[k] for k in at]) + same + BLANK
-                scores[i] = 1 / (1 + np.exp(-np.clip(bias + s / n, -50, 50)))
-                if len(sums) > CACHE:
-                    known, sums, counts = {}, [], []
-            yield pa.array(scores)
+            scores = []
+            for lo, hi in blocks_of(bodies):
+                at, row = features(bodies.slice(lo, hi - lo))
+                total = np.bincount(row, weights[at], minlength=hi - lo)
+                mean = total / (np.bincount(row, minlength=hi - lo) + BLANK)
+                scores.append(1 / (1 + np.exp(-np.clip(bias + mean, -50, 50))))
+            yield pa.array(np.concatenate(scores) if scores else np.zeros(0))
 
     return score
 
