@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections import Counter
 from difflib import SequenceMatcher
-from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,76 +33,108 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * lcs_length(a, b) / total if total else 100.0
 
 
-def alignment(phrase: str, text: str, least: float = 0.0) -> tuple[int, int, float]:
-    """(start, end, score) of the window of text, of the phrase's length or cut at an edge, most like the phrase.
+#: Cells of a diagonal that are combed at once; phrases of like length share a batch.
+CELLS = 1 << 14
+
+
+def _comb(phrases: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Where the strand that leaves each column of text at the bottom came in, for every phrase.
 
-    The first best one wins. From one window to another the common subsequence grows by no more than the characters that
-    come in, which bounds all windows between two scored ones; gaps are halved, the highest bound first, until no bound
-    reaches the best score. Windows below `least` need not be found. A phrase longer than the text is compared with all of it.
+    phrases: codes (longest, number of phrases), last character first; text: codes, none of them a phrase's filling.
+    Columns (text, phrases) of numbers: from the longest phrase's length on, the column at the top where the strand came
+    in; below, it came in from the left. This is the string-substring part of semi-local comparison by combing (Tiskin):
+    strands of row and column cross at most once, and turn where characters agree. A diagonal's cells do not depend on
+    each other.
     """
-    if not phrase or not text:
+    m, n = len(phrases), len(text)
+    kind = np.int16 if m + n < 1 << 15 else np.int32
+    rows = np.repeat(np.arange(m, dtype=kind)[:, None], phrases.shape[1], axis=1)
+    cols = np.repeat(np.arange(m, m + n, dtype=kind)[:, None], phrases.shape[1], axis=1)
+    wide = np.repeat(text[:, None], phrases.shape[1], axis=1)
+    for d in range(m + n - 1):
+        lo, hi = max(0, d - m + 1), min(n, d + 1)
+        at = slice(m - 1 - d + lo, m - 1 - d + hi)
+        h, v = rows[at], cols[lo:hi]
+        turn = (phrases[at] == wide[lo:hi]) | (h > v)
+        change = (h ^ v) & -turn.astype(kind)
+        h ^= change
+        v ^= change
+    return cols
+
+
+def _best_window(came: np.ndarray, m: int, longest: int) -> tuple[int, int, float]:
+    """(start, end, score) of the first best window of length m, or cut at an edge, from a phrase's strands.
+
+    The common subsequence of a window is as long as the window less the strands that come in and leave inside it.
+    """
+    n = len(came)
+    if not n or not m:
         return 0, 0, 0.0
-    m, n = len(phrase), len(text)
-    if least > 0:
-        common = sum((Counter(phrase) & Counter(text)).values())  # of the windows that hold so many, the shortest is most alike
-        if 200.0 * common / (m + common) < least:
-            return 0, 0, 0.0
+    inner = came >= longest
+    out = np.flatnonzero(inner)
+    start_of = came[inner].astype(np.int64) - longest
     if m >= n:
-        return 0, n, ratio(phrase, text)
-    where: dict[str, int] = {}
-    for i, c in enumerate(phrase):
-        where[c] = where.get(c, 0) | 1 << i
-    full, bits = (1 << m) - 1, [where.get(c, 0) for c in text]
-    lengths: dict[int, int] = {}
-    best, best_at = -1.0, 0
-    start, end = lambda at: max(0, at), lambda at: min(n, at + m)
-
-    def score(at: int) -> None:
-        nonlocal best, best_at
-        row = full
-        for x in bits[start(at) : end(at)]:
-            if u := row & x:
-                row = (row + u) | (row - u)
-        lengths[at] = (~row & full).bit_count()
-        got = 200.0 * lengths[at] / (m + end(at) - start(at))
-        if got > best or got == best and at < best_at:
-            best, best_at = got, at
-
-    def bound(a: int, b: int) -> float:
-        """No window that starts between a and b scores more."""
-        if 0 <= a and b <= n - m:
-            return 200.0 * min(m, (lengths[a] + lengths[b] + b - a) // 2, min(lengths[a], lengths[b]) + b - a - 1) / (2 * m)
-        return max(
-            200.0 * min(end(x) - start(x), lengths[a] + end(x) - end(a), lengths[b] + start(b) - start(x)) / (m + end(x) - start(x))
-            for x in range(a + 1, b)
-        )
-
-    grid = sorted({*range(1 - m, n, max(1, m // 4)), 0, n - m, n - 1})
-    for at in grid:
-        score(at)
-    gaps = [(-bound(a, b), a, b) for a, b in zip(grid, grid[1:]) if b - a > 1]
-    heapify(gaps)
-    while gaps:
-        most, a, b = heappop(gaps)
-        if -most < max(best, least):
-            break
-        if -most == best and a >= best_at:
-            continue
-        middle = (a + b) // 2
-        score(middle)
-        for x, y in ((a, middle), (middle, b)):
-            if y - x > 1:
-                heappush(gaps, (-bound(x, y), x, y))
-    return start(best_at), end(best_at), best
+        return 0, n, 200.0 * (n - len(out)) / (m + n)
+    # windows start at 1 - m to n - 1; a strand from s to r lies in those that start from r - m + 1 to s
+    lost = np.zeros(n + m, np.int64)
+    first = out - m + 1
+    held = first <= start_of
+    np.add.at(lost, first[held] + m - 1, 1)
+    np.add.at(lost, start_of[held] + m, -1)
+    lost = np.cumsum(lost)[: n + m - 1]
+    at = np.arange(1 - m, n)
+    size = np.minimum(n, at + m) - np.maximum(0, at)
+    score = 200.0 * (size - lost) / (m + size)
+    k = int(score.argmax())
+    return max(0, k + 1 - m), min(n, k + 1), float(score[k])
+
+
+def alignments(phrases: list[str], text: str, least: float = 0.0) -> list[tuple[int, int, float]]:
+    """(start, end, score) of the window of text most like each phrase: of its length, or cut at an edge; the first best.
+
+    All windows are compared exactly, those of all phrases at once. A phrase longer than the text is compared with all of
+    it. Phrases that cannot reach `least` by the characters they share with the text may get score 0.
+    """
+    out = [(0, 0, 0.0)] * len(phrases)
+    have = Counter(text)
+    todo = []
+    for i, p in enumerate(phrases):
+        common = sum(min(c, have[x]) for x, c in Counter(p).items()) if least > 0 else len(p)
+        # of the windows that hold so many, the shortest is most alike
+        if p and text and 200.0 * common / (len(p) + common) >= least:
+            todo.append(i)
+    todo.sort(key=lambda i: len(phrases[i]))
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+    while todo:
+        longest = len(phrases[todo[-1]])
+        part, todo = todo[-max(1, CELLS // longest) :], todo[: -max(1, CELLS // longest)]
+        grid = np.full((longest, len(part)), -1, np.int32)
+        for k, i in enumerate(part):
+            grid[longest - len(phrases[i]) :, k] = np.frombuffer(phrases[i].encode("utf-32-le", "surrogatepass"), np.int32)[::-1]
+        came = _comb(grid, codes)
+        for k, i in enumerate(part):
+            out[i] = _best_window(came[:, k], len(phrases[i]), longest)
+    return out
+
+
+def alignment(phrase: str, text: str, least: float = 0.0) -> tuple[int, int, float]:
+    """`alignments` of one phrase."""
+    return alignments([phrase], text, least)[0]
+
+
+def adjusted_alignments(phrases: list[str], text: str, least: float = 0.0) -> list[tuple[int, int, float]]:
+    """Alignment scores times min(L/m, m/L) for L the phrase's and m the window's length; 0 where 1.5 * text < phrase."""
+    fits = [p if 1.5 * len(text) >= len(p) and 100.0 * len(text) >= least * len(p) - 1e-6 else "" for p in phrases]
+    out = []
+    for p, (s, e, score) in zip(phrases, alignments(fits, text, least), strict=True):
+        m = e - s
+        out.append((s, e, score * min(len(p) / m, m / len(p))) if m else (0, 0, 0.0))
+    return out
 
 
 def adjusted_alignment(phrase: str, text: str, least: float = 0.0) -> tuple[int, int, float]:
-    """Alignment score times min(L/m, m/L) for L the phrase's and m the window's length; 0 where 1.5 * text < phrase."""
-    if 1.5 * len(text) < len(phrase):
-        return 0, 0, 0.0
-    s, e, score = alignment(phrase, text, least)
-    m = e - s
-    return s, e, score * min(len(phrase) / m, m / len(phrase)) if m else 0.0
+    """`adjusted_alignments` of one phrase."""
+    return adjusted_alignments([phrase], text, least)[0]
 
 
 def word_ratio(a, b) -> float:
@@ -113,15 +146,20 @@ def indel_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(_WINDOW)
-def partial_alignment(phrase: pd.Series, text: pd.Series) -> pd.DataFrame:
-    rows = [(0, 0, 0.0) if x is None or y is None else alignment(x, y) for x, y in zip(phrase, text, strict=True)]
-    return pd.DataFrame(rows, columns=["start", "end", "score"])
+@F.arrow_udf(T.ArrayType(T.IntegerType()))
+def running_sums(lists: pa.Array) -> pa.Array:
+    """Each list of whole numbers with every number replaced by the sum up to it."""
+    off = lists.offsets.to_numpy()
+    sums = np.concatenate([[0], np.cumsum(lists.values.to_numpy(zero_copy_only=False)[: off[-1]], dtype=np.int64)])
+    inner = lists.flatten().to_numpy(zero_copy_only=False)
+    at = np.arange(off[0], off[0] + len(inner))
+    out = (sums[at + 1] - np.repeat(sums[off[:-1]], np.diff(off))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array((off - off[0]).astype(np.int32)), pa.array(out))
 
 
 @F.pandas_udf(_WINDOW)
-def adjusted_partial_alignment(phrase: pd.Series, text: pd.Series, least: pd.Series) -> pd.DataFrame:
-    rows = [(0, 0, 0.0) if x is None or y is None else adjusted_alignment(x, y, z) for x, y, z in zip(phrase, text, least, strict=True)]
+def partial_alignment(phrase: pd.Series, text: pd.Series) -> pd.DataFrame:
+    rows = [(0, 0, 0.0) if x is None or y is None else alignment(x, y) for x, y in zip(phrase, text, strict=True)]
     return pd.DataFrame(rows, columns=["start", "end", "score"])
 
 

@@ -93,17 +93,17 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def collapsed(text: Column) -> Column:
+    """The text with runs of white space made one space, none at its ends."""
+    return trim_all(F.regexp_replace(text, f"{SPACE}+", " "))
+
+
 def ngrams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams of the text with white space collapsed; none if it is shorter."""
-    t = trim_all(F.regexp_replace(text, f"{SPACE}+", " "))
-
-    def grams(chars: Column) -> Column:
-        out = chars
-        for k in range(1, n):
-            out = F.zip_with(out, F.slice(chars, F.lit(k + 1), F.greatest(F.size(chars) - k, F.lit(0))), lambda a, b: F.concat(a, b))
-        return F.array_distinct(F.filter(out, lambda g: g.isNotNull()))
+    t = collapsed(text)
 
-    return F.coalesce(F.when(F.length(t) >= n, let(F.split(t, ""), grams)), F.array().cast("array<string>"))
+    # a look-ahead takes no characters, so the matches overlap
+    return F.coalesce(F.array_distinct(F.regexp_extract_all(t, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))), F.array().cast("array<string>"))
 
 
 def tokenize(text: Column) -> Column:
@@ -153,20 +153,22 @@ def normalise_words(text: Column) -> Column:
 def word_error_rate(ref: Column, hyp: Column) -> Column:
     """Edit distance of two word arrays over the length of the first; words are coded as characters.
 
-    At most 55,000 distinct words in a pair. An empty reference has rate 0 if the other is empty too, else 1.
+    A pair may hold about a million distinct words (all code points but the surrogates); more raise an error. An empty
+    reference has rate 0 if the other is empty too, else 1.
     """
-    # from U+0100 on, leaving out the surrogates
-    coded = lambda words, v: F.array_join(F.transform(words, lambda w: _char(F.array_position(v, w))), "")
-    pair = F.struct(ref.alias("r"), hyp.alias("h"), F.array_distinct(F.concat(ref, hyp)).alias("v"))
-    distance = let(pair, lambda x: F.levenshtein(coded(x["r"], x["v"]), coded(x["h"], x["v"])) / F.size(x["r"]))
+    coded = lambda words, m: F.array_join(F.transform(words, lambda w: m[w]), "")
+    numbered = lambda v: F.map_from_arrays(v, F.transform(v, lambda w, i: _char(i)))
+    pair = F.struct(ref.alias("r"), hyp.alias("h"), numbered(F.array_distinct(F.concat(ref, hyp))).alias("m"))
+    distance = let(pair, lambda x: F.levenshtein(coded(x["r"], x["m"]), coded(x["h"], x["m"])) / F.size(x["r"]))
     return F.when(F.size(ref) > 0, distance).otherwise(F.when(F.size(hyp) > 0, 1.0).otherwise(0.0))
 
 
-def _char(position: Column) -> Column:
-    """A character for each position: its code point in UTF-16 as bytes."""
-    point = position + 255
+def _char(number: Column) -> Column:
+    """A character for each number from 0: code points from U+0100 on, without the surrogates, by way of UTF-32."""
+    point = number + 256
     point = F.when(point >= 0xD800, point + 0x800).otherwise(point)
-    return F.decode(F.unhex(F.lpad(F.hex(point), 4, "0")), "UTF-16BE")
+    fine = F.when(point <= 0x10FFFF, point).otherwise(F.raise_error(F.lit("too many distinct words in a pair")).cast("int"))
+    return F.decode(F.unhex(F.lpad(F.hex(fine), 8, "0")), "UTF-32")
 
 
 def decode_byte_tokens(text: Column) -> Column:
@@ -187,9 +189,15 @@ def url_domain(url: Column) -> Column:
 
 
 def normalize_header(name: str) -> str:
+    """A header name without case, white space, _ and -."""
     return re.sub(r"[\s_-]", "", name.strip().lower())
 
 
+def normalized_header(name: Column) -> Column:
+    """`normalize_header` of a column of names."""
+    return F.regexp_replace(F.lower(name), rf"{SPACE}|[_-]", "")
+
+
 def parse_bool(text: Column) -> Column:
     t = F.lower(F.trim(text))
     return F.when(t.isin("1", "true"), True).when(t.isin("0", "false"), False)

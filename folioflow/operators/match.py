@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from folioflow.functions.similarity import adjusted_partial_alignment, indel_ratio
-from folioflow.functions.text import blank, dice, ngrams, tokenize
+from folioflow.functions.similarity import adjusted_alignments, ratio
+from folioflow.functions.text import blank, collapsed, ngrams, tokenize
 from folioflow.operators.islands import greedy_pairs, ordered
+from folioflow.operators.lineage import checkpointed
 
 #: Candidates kept for a text of fewer characters than the first number; the last is for longer ones.
 CANDIDATES = ((30, 500), (60, 300), (150, 60), (300, 30))
 REST = 20
-#: Blocks of segments that are joined with all phrases.
-BLOCKS = 64
+#: Characters of a dictionary that are broadcast at once.
+PACK_CHARS = 8_000_000
 
 
 def adaptive_k(length: Column) -> Column:
@@ -48,29 +57,88 @@ def phrase_tokens(phrases: DataFrame, words: DataFrame, key: str = "id", text: s
     return t.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "token_id"))), lambda x: x["token_id"]).alias("tokens"))
 
 
-def fuzzy_candidates(queries: DataFrame, dictionary: DataFrame, q_key: str, q_text: str, d_key: str = "id", d_text: str = "text", k: int | None = None, fallback: bool = False) -> DataFrame:
+def _packed(dictionary: DataFrame, pack_chars: int, make: Callable, *order: Column) -> list:
+    """Broadcasts of make(keys, texts) for parts of a dictionary (columns k, t) of about `pack_chars` characters each.
+
+    A dictionary is a stated query set that all rows meet: each part is searched in a pass of its own, whatever its size.
+    """
+    d = dictionary.where("k is not null and t is not null")
+    n = max(1, -(-(d.agg(F.sum(F.length("t"))).first()[0] or 0) // pack_chars))
+    packs = []
+    for i in range(n):
+        part = d.where(F.pmod(F.xxhash64("k", "t"), F.lit(n)) == i) if n > 1 else d
+        got = part.orderBy(*(order or ("k", "t"))).select("k", "t").toArrow()
+        packs.append(d.sparkSession.sparkContext.broadcast(make(got["k"].to_pylist(), got["t"].to_pylist())))
+    return packs
+
+
+class GramPack:
+    """Some entries, in order of their keys, and which of them hold each gram."""
+
+    def __init__(self, keys: list, texts: list[str], n: int = 3):
+        self.keys, self.n = keys, n
+        where: dict[str, list[int]] = {}
+        self.sizes = np.zeros(len(keys), np.int64)
+        for i, t in enumerate(texts):
+            grams = self.grams(t)
+            self.sizes[i] = len(grams)
+            for g in grams:
+                where.setdefault(g, []).append(i)
+        self.where = {g: np.array(x, np.int32) for g, x in where.items()}
+
+    def grams(self, text: str) -> set[str]:
+        return {text[i : i + self.n] for i in range(len(text) - self.n + 1)}
+
+    def candidates(self, text: str, k: int, fallback: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(entry numbers, shared grams, Dice) of the k best, best first; all entries, unranked, if no gram is shared."""
+        grams = self.grams(text)
+        hits = [self.where[g] for g in grams if g in self.where]
+        if not hits:
+            at = np.arange(len(self.keys) if fallback else 0)
+            return at, np.zeros(len(at), np.int64), np.zeros(len(at))
+        shared = np.bincount(np.concatenate(hits), minlength=len(self.keys))
+        at = np.flatnonzero(shared)
+        score = 2.0 * shared[at] / (len(grams) + self.sizes[at])
+        best = np.lexsort((at, -shared[at], -score))[:k]
+        return at[best], shared[at[best]], score[best]
+
+
+def fuzzy_candidates(
+    queries: DataFrame, dictionary: DataFrame, q_key: str, q_text: str, d_key: str = "id", d_text: str = "text", k: int | None = None, fallback: bool = True, pack_chars: int = PACK_CHARS
+) -> DataFrame:
     """(q_key, d_key, shared, score, place): entries that share trigrams, by Dice, then shared grams, then entry.
 
     k defaults to the rule by the query's length. With fallback, queries that share no gram get all entries with score 0.
+    The dictionary's gram index is broadcast in packs, so texts are neither exploded into grams nor shuffled; rows of one
+    q_key are expected to be one query. Null texts and keys of the dictionary are left out; a null query is an empty one.
     """
-    grams = queries.select(q_key, ngrams(F.col(q_text)).alias("_g"), F.length(q_text).alias("_len"))
-    q = grams.select(q_key, "_len", F.size("_g").alias("_nq"), F.explode("_g").alias("gram"))
-    index, sizes = ngram_index(dictionary, d_key, d_text)
-    hits = q.join(index, "gram").groupBy(q_key, d_key, "_len", "_nq").agg(F.count("*").alias("shared")).join(sizes, d_key)
-    scored = hits.select(q_key, d_key, "_len", "shared", dice(F.col("shared"), F.col("_nq"), F.col("n_grams")).alias("score"))
-    w = Window.partitionBy(q_key).orderBy(F.desc("score"), F.desc("shared"), d_key)
-    ranked = scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= (k or CANDIDATES[0][1]))
-    if k is None:
-        ranked = ranked.where(F.col("place") <= adaptive_k(F.col("_len")))
-    out = ranked.select(q_key, d_key, "shared", "score", "place")
-    if fallback:
-        lost = queries.select(q_key).join(out.select(q_key).distinct(), q_key, "left_anti")
-        every = dictionary.select(d_key, F.lit(0).alias("_j"))
-        rest = lost.withColumn("_j", F.lit(0)).join(every, "_j").select(
-            q_key, d_key, F.lit(0).cast("long").alias("shared"), F.lit(0.0).alias("score"), F.row_number().over(Window.partitionBy(q_key).orderBy(d_key)).alias("place")
-        )
-        out = out.unionByName(rest)
-    return out
+    key_type = dictionary.schema[d_key].dataType
+    kind = T.ArrayType(T.StructType([T.StructField("key", key_type), T.StructField("shared", T.LongType()), T.StructField("score", T.DoubleType())]))
+    packs = _packed(dictionary.select(F.col(d_key).alias("k"), collapsed(F.col(d_text)).alias("t")), pack_chars, GramPack)
+
+    def finder(pack):
+        @F.arrow_udf(kind)
+        def find(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+            own = pack.value
+            keys = pa.array(own.keys, to_arrow_type(key_type))
+            for texts, most in batches:
+                rows = [own.candidates(t, m, fallback) for t, m in zip(texts.to_pylist(), most.to_pylist(), strict=True)]
+                at, shared, score = (np.concatenate([np.zeros(0, kind), *x]) for x, kind in zip(zip(*rows, strict=True), (np.int64, np.int64, float), strict=True))
+                off = np.concatenate([[0], np.cumsum([len(r[0]) for r in rows])]).astype(np.int32)
+                yield pa.ListArray.from_arrays(pa.array(off), pa.StructArray.from_arrays([keys.take(pa.array(at)), pa.array(shared), pa.array(score)], ["key", "shared", "score"]))
+
+        return find(collapsed(F.coalesce(F.col(q_text), F.lit(""))), F.lit(k) if k else adaptive_k(F.coalesce(F.length(q_text), F.lit(0))))
+
+    out = None
+    for pack in packs:
+        got = queries.select(q_key, F.posexplode(finder(pack)).alias("_i", "x"), (F.lit(k) if k else adaptive_k(F.coalesce(F.length(q_text), F.lit(0)))).alias("_k"))
+        got = got.select(q_key, F.col("x.key").alias(d_key), "x.shared", "x.score", (F.col("_i") + 1).alias("place"), "_k")
+        out = got if out is None else out.unionByName(got)
+    if len(packs) > 1:
+        w = Window.partitionBy(q_key)
+        out = out.withColumn("_most", F.max("shared").over(w)).where("shared > 0 or _most = 0")
+        out = out.withColumn("place", F.row_number().over(w.orderBy(F.desc("score"), F.desc("shared"), d_key))).where("place <= _k or _most = 0")
+    return out.select(q_key, d_key, "shared", "score", "place")
 
 
 def fuzzy_rerank(candidates: DataFrame, queries: DataFrame, dictionary: DataFrame, q_key: str, q_text: str, d_key: str = "id", d_text: str = "text") -> DataFrame:
@@ -97,34 +165,92 @@ def autofill(df: DataFrame, dictionary: DataFrame, key: str, col: str, lookup: s
     return j.select(*kept, "_processed", changed.alias("_changed"))
 
 
-def letter_parity(word: Column) -> Column:
-    """Parities of how often characters of each of 64 slots occur, as bits."""
-    bit = lambda s, ch: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.ascii(ch) % 64))
-    return F.aggregate(F.split(word, ""), F.lit(0).cast("long"), bit)
-
-
-def best_match(tokens: DataFrame, vocabulary: DataFrame, token: str = "word", entry: str = "word", cutoff: float = 80.0, scorer=indel_ratio) -> DataFrame:
+class WordPack:
+    """Some vocabulary words (given in order), by length, with their letters as numbers and the parities of letter counts."""
+
+    def __init__(self, places: list[int], words: list[str]):
+        order = sorted(range(len(words)), key=lambda i: len(words[i]))
+        self.words, self.places = [words[i] for i in order], np.array([places[i] for i in order], np.int64)
+        self.turn = np.array(order, np.int64)
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.parity = np.array([letter_parity(w) for w in self.words], np.uint64)
+        self.letters = {c: i for i, c in enumerate(sorted(set("".join(words))), 1)}  # 0 fills up
+        self.codes = np.zeros((len(words), int(self.sizes.max(initial=0))), np.int32)
+        for i, w in enumerate(self.words):
+            self.codes[i, : len(w)] = [self.letters[c] for c in w]
+
+    def near(self, token: str, cutoff: float) -> np.ndarray:
+        """Words whose length and letters allow a ratio of the cutoff: it needs 200 * LCS / (len + len) >= cutoff."""
+        c, n = cutoff / 100.0, len(token)
+        a, b = np.searchsorted(self.sizes, [n * c / (2 - c) - 1e-9, n * (2 - c) / c + 1e-9 if c else np.inf])
+        apart = np.bitwise_count(self.parity[a:b] ^ np.uint64(letter_parity(token)))
+        return a + np.flatnonzero(apart <= (1 - c) * (n + self.sizes[a:b]) + 1e-9)
+
+    def ratios(self, token: str, at: np.ndarray) -> np.ndarray:
+        """Indel ratios with the words `at`, all at once: a bit of a machine word for each letter of the token."""
+        n = len(token)
+        if n > 64:
+            return np.array([ratio(token, self.words[i]) for i in at])
+        where = np.zeros(len(self.letters) + 1, np.uint64)
+        for i, c in enumerate(token):
+            if c in self.letters:
+                where[self.letters[c]] |= np.uint64(1 << i)
+        full = np.uint64((1 << n) - 1)
+        row = np.full(len(at), full)
+        for j in range(int(self.sizes[at].max(initial=0))):
+            u = row & where[self.codes[at, j]]
+            row = (row + u) | (row - u)
+        total = n + self.sizes[at]
+        return np.where(total > 0, 200.0 * np.bitwise_count(~row & full) / np.maximum(total, 1), 100.0)
+
+    def best(self, token: str, cutoff: float, scorer) -> tuple[str, float, int] | None:
+        """(word, score, place) of the first best word that reaches the cutoff."""
+        at = self.near(token, cutoff)
+        if not len(at):
+            return None
+        score = self.ratios(token, at) if scorer is None else np.array([scorer(token, self.words[i]) for i in at], float)
+        k = np.lexsort((self.turn[at], -score))[0]
+        return (self.words[at[k]], float(score[k]), int(self.places[at[k]])) if score[k] >= cutoff else None
+
+
+def best_match(
+    tokens: DataFrame, vocabulary: DataFrame, token: str = "word", entry: str = "word", cutoff: float = 80.0, scorer: Callable[[str, str], float] | None = None, order: str | None = None, pack_chars: int = PACK_CHARS
+) -> DataFrame:
     """(token, match, similarity) for each distinct token; null and 0 where nothing reaches the cutoff.
 
-    A ratio of c percent needs 200 * min(len) / (len + len) >= c, so lengths in that window meet by an equi-join on
-    length; of those, pairs whose letters differ too much are left out by comparing the parities of letter counts in 64
-    slots. scorer: a column function of two texts giving 0 to 100, no more than the indel ratio.
+    Of equal words the first in `order` (a column of whole numbers; without one, in order of the words) wins. The vocabulary is
+    broadcast in packs; of each, a token meets the words whose length and letters allow the cutoff, whose ratios are
+    computed at once. scorer: a function of two texts giving 0 to 100, no more than the indel ratio.
     """
-    c = cutoff / 100.0
-    t = tokens.select(F.col(token).alias("_t")).where("_t is not null").distinct().withColumn("_n", F.length("_t")).withColumn("_pt", letter_parity(F.col("_t")))
-    lo, hi = F.ceil(F.col("_n") * c / (2 - c)).cast("int"), F.floor(F.col("_n") * (2 - c) / c).cast("int")
-    v = vocabulary.select(F.col(entry).alias("_v")).where("_v is not null").distinct().withColumn("_len", F.length("_v")).withColumn("_pv", letter_parity(F.col("_v")))
-    pairs = t.withColumn("_len", F.explode(F.sequence(lo, F.greatest(lo, hi)))).join(v, "_len")
-    pairs = pairs.where(F.bit_count(F.col("_pt").bitwiseXOR(F.col("_pv"))) <= (1 - c) * (F.col("_n") + F.col("_len")) + 1e-9)
-    scored = pairs.select("_t", "_v", scorer(F.col("_t"), F.col("_v")).alias("_s")).where(F.col("_s") >= cutoff)
-    return t.join(_best(scored), "_t", "left").select(F.col("_t").alias(token), "match", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
-
-
-def _best(scored: DataFrame) -> DataFrame:
-    """The entry of the greatest score, the least entry on ties."""
-    return scored.groupBy("_t").agg(F.min(F.struct((-F.col("_s")).alias("s"), F.col("_v").alias("v"))).alias("_b")).select(
-        "_t", F.col("_b.v").alias("match"), (-F.col("_b.s")).alias("similarity")
-    )
+    v = vocabulary.select(F.col(entry).alias("t"), F.col(order).cast("long").alias("k") if order else F.lit(0).cast("long").alias("k"))
+    v = v.where("t is not null").groupBy("t").agg(F.min("k").alias("k"))
+    packs = _packed(v, pack_chars, WordPack, "k", "t")
+    kind = T.StructType([T.StructField("match", T.StringType()), T.StructField("similarity", T.DoubleType()), T.StructField("place", T.LongType())])
+
+    def finder(pack):
+        @F.arrow_udf(kind)
+        def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            own = pack.value
+            for words in batches:
+                rows = [own.best(t, cutoff, scorer) for t in words.to_pylist()]
+                yield pa.array([r and dict(zip(("match", "similarity", "place"), r, strict=True)) for r in rows], to_arrow_type(kind))
+
+        return find("_t")
+
+    t = tokens.select(F.col(token).alias("_t")).where("_t is not null").distinct()
+    found = reduce(DataFrame.unionByName, (t.select("_t", finder(p).alias("x")) for p in packs))
+    if len(packs) > 1:
+        first = F.struct((-F.col("x.similarity")).alias("s"), F.col("x.place").alias("p"), F.col("x.match").alias("m"))
+        found = found.groupBy("_t").agg(F.min(F.when(F.col("x").isNotNull(), first)).alias("f")).select("_t", F.struct(F.col("f.m").alias("match"), (-F.col("f.s")).alias("similarity")).alias("x"))
+    return found.select(F.col("_t").alias(token), F.col("x.match").alias("match"), F.coalesce("x.similarity", F.lit(0.0)).alias("similarity"))
+
+
+def letter_parity(word: str) -> int:
+    """Parities of how often characters of each of 64 slots occur, as bits."""
+    bits = 0
+    for c in word:
+        bits ^= 1 << (ord(c) % 64)
+    return bits
 
 
 def merge_split_words(tokens: DataFrame, vocabulary: DataFrame, keys: list[str], order: str = "word_no", cutoff: float = 80.0) -> DataFrame:
@@ -142,40 +268,94 @@ def merge_split_words(tokens: DataFrame, vocabulary: DataFrame, keys: list[str],
     return t.select(*keys, F.row_number().over(w).cast("long").alias(order), pick("_pair", "word", "word"), pick("_both_match", "_own_match", "match"), pick("_both", "_own", "similarity"))
 
 
-def least_shared(length: Column, cutoff: float) -> Column:
+def least_shared(length: int, cutoff: float) -> int:
     """How many of a phrase's trigrams, repeats counted, a segment has at least where it reaches a cutoff above 80.
 
     Of L characters in common with a window of w (at least cutoff percent of the phrase's m), L >= cutoff * (m + w) / 200.
     The other m + w - 2L split them into at most one run more, and a run holds all its trigrams but two.
     """
     c = cutoff / 100.0
-    return F.ceil(length * (1 + c) * (2.5 * c - 2) - 2 - 1e-6)
+    return ceil(length * (1 + c) * (2.5 * c - 2) - 2 - 1e-6)
+
+
+def _trigrams(text: str) -> set[str]:
+    return {text[i : i + 3] for i in range(len(text) - 2)}
+
+
+class PhrasePack:
+    """Some phrases, and for those of which a cutoff demands trigrams, in which phrases each trigram stands."""
+
+    def __init__(self, keys: list, texts: list[str], cutoff: float, blocking: bool):
+        self.keys, self.texts, self.cutoff = keys, texts, cutoff  # in order of keys: of equal scores the least wins
+        self.least = np.zeros(len(keys), np.int64)
+        where: dict[str, list[int]] = {}
+        for i, t in enumerate(self.texts):
+            grams = _trigrams(t)
+            # a trigram that is lost takes away one distinct trigram at most
+            if blocking and cutoff > 80 and (least := len(grams) - (len(t) - 2) + least_shared(len(t), cutoff)) >= 1:
+                self.least[i] = least
+                for g in grams:
+                    where.setdefault(g, []).append(i)
+        self.where = {g: np.array(x, np.int64) for g, x in where.items()}
+
+    def best(self, text: str, scorer) -> tuple | None:
+        """(key, start, end, score) of the best phrase that reaches the cutoff."""
+        shared = np.zeros(len(self.keys), np.int64)
+        for g in _trigrams(text) if self.where else ():
+            if g in self.where:
+                shared[self.where[g]] += 1
+        at = np.flatnonzero(shared >= self.least)
+        found = scorer([self.texts[i] for i in at], text, self.cutoff) if len(at) else []
+        k = max(range(len(found)), key=lambda i: found[i][2], default=None)
+        return None if k is None or found[k][2] < self.cutoff else (self.keys[at[k]], *found[k])
+
+
+def phrase_packs(phrases: DataFrame, key: str = "id", text: str = "text", cutoff: float = 75.0, blocking: bool = True, pack_chars: int = PACK_CHARS) -> list:
+    """The dictionary as broadcasts of about `pack_chars` characters."""
+    p = phrases.select(F.col(key).alias("k"), F.col(text).alias("t")).where(~blank(F.col(text)))
+    return _packed(p, pack_chars, lambda keys, texts: PhrasePack(keys, texts, cutoff, blocking))
+
+
+def with_best(segments: DataFrame, packs: list, text: str, key_type: T.DataType, scorer: Callable = adjusted_alignments) -> DataFrame:
+    """segments and `_best` (key, start, end, score; null if none reaches the cutoff): a map for each pack.
+
+    Between two packs the rows are written, so an executor holds one pack at a time.
+    """
+    kind = T.StructType([T.StructField("key", key_type), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("score", T.DoubleType())])
+
+    def finder(pack):
+        @F.arrow_udf(kind)
+        def best(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            arrow = to_arrow_type(kind)
+            for texts in batches:
+                rows = [pack.value.best(t, scorer) for t in texts.to_pylist()]
+                yield pa.array([r and dict(zip(("key", "start", "end", "score"), r, strict=True)) for r in rows], arrow)
+
+        return best(F.coalesce(F.col(text), F.lit("")))
+
+    out = None
+    for pack in packs:
+        if out is None:
+            out = segments.withColumn("_best", finder(pack))
+        else:
+            out = checkpointed(out, segments.sparkSession).withColumn("_new", finder(pack))
+            less = F.col("_new").isNull() | (F.col("_best.score") > F.col("_new.score")) | ((F.col("_best.score") == F.col("_new.score")) & (F.col("_best.key") <= F.col("_new.key")))
+            out = out.withColumn("_best", F.when(F.coalesce(less, F.lit(False)), F.col("_best")).otherwise(F.col("_new"))).drop("_new")
+    return out
 
 
-def align_phrases(segments: DataFrame, phrases: DataFrame, seg_key: str, seg_text: str, key: str = "id", text: str = "text", cutoff: float = 75.0, blocking: bool = True) -> DataFrame:
-    """(seg_key, key, start, end, score): the phrase best aligned with each segment, if it reaches the cutoff.
+def align_phrases(
+    segments: DataFrame, phrases: DataFrame, seg_key: str, seg_text: str, key: str = "id", text: str = "text", cutoff: float = 75.0, blocking: bool = True,
+    scorer: Callable = adjusted_alignments, pack_chars: int = PACK_CHARS,
+) -> DataFrame:
+    """(seg_key, key, start, end, score): the phrase best aligned with each segment, if it reaches the cutoff; ties to the least key.
 
-    With blocking, phrases of which the cutoff demands a trigram in the segment (`least_shared`, above a cutoff of 80) are
-    met by their trigrams; all others are scored with every segment long enough. Nothing that reaches the cutoff is missed.
+    The dictionary is the stated query set: broadcast in packs of about `pack_chars` characters, each met by all segments
+    without a shuffle. With blocking, phrases of which the cutoff demands trigrams in the segment (`least_shared`, above a
+    cutoff of 80) are met by those; all others are scored with every segment. Nothing that reaches the cutoff is missed.
+    scorer: a function of (phrases, segment, cutoff) to (start, end, score) for each phrase; with another than the default
+    blocking must be justified by it. Each row of segments is one segment; null and empty ones match nothing.
     """
-    s = segments.select(seg_key, F.col(seg_text).alias("_s"))
-    p = phrases.select(F.col(key), F.col(text).alias("_p")).where(~blank(F.col(text)))
-    long_enough = (1.5 * F.length("_s") >= F.length("_p")) & (100.0 * F.length("_s") >= cutoff * F.length("_p") - 1e-6)
-    bound = blocking and cutoff > 80
-    if bound:
-        raw = lambda c: F.when(F.length(c) >= 3, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 2), lambda i: F.substring(c, i, 3))))
-        held = p.withColumn("_all", raw("_p"))
-        # a trigram that is lost takes away one distinct trigram at most
-        held = held.withColumn("_least", F.coalesce(F.size("_all") - (F.length("_p") - 2) + least_shared(F.length("_p"), cutoff), F.lit(0)))
-        by_gram = held.where("_least >= 1").select(key, "_least", F.explode("_all").alias("_g"))
-        shared = s.select(seg_key, F.explode(raw("_s")).alias("_g")).join(by_gram, "_g").groupBy(seg_key, key, "_least").agg(F.count("*").alias("_c"))
-        met = shared.where(F.col("_c") >= F.col("_least")).select(seg_key, key).join(s, seg_key).join(p, key).where(long_enough)
-        p = held.where("_least < 1").select(key, "_p")
-    # every phrase in each block of segments: an equi-join that many tasks share
-    spread = p.withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(BLOCKS - 1))))
-    pairs = s.withColumn("_block", F.pmod(F.xxhash64(seg_key, "_s"), F.lit(BLOCKS)).cast("int")).join(spread, "_block").where(long_enough).select(seg_key, key, "_s", "_p")
-    if bound:
-        pairs = pairs.unionByName(met.select(seg_key, key, "_s", "_p"))
-    scored = pairs.select(seg_key, key, adjusted_partial_alignment(F.col("_p"), F.col("_s"), F.lit(float(cutoff))).alias("a")).select(seg_key, key, "a.start", "a.end", "a.score")
-    w = Window.partitionBy(seg_key).orderBy(F.desc("score"), key)
-    return scored.where(F.col("score") >= cutoff).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    packs = phrase_packs(phrases, key, text, cutoff, blocking, pack_chars)
+    best = with_best(segments.select(seg_key, F.col(seg_text).alias("_s")), packs, "_s", phrases.schema[key].dataType, scorer)
+    return best.where("_best is not null").select(seg_key, F.col("_best.key").alias(key), "_best.start", "_best.end", "_best.score")

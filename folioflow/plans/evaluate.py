@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.functions.similarity import seq_ratio
+from folioflow.functions.similarity import running_sums, seq_ratio
 from folioflow.functions.text import Rule, apply_fix_rules, fix_pattern, normalise_words, word_error_rate
 
 
@@ -16,18 +16,11 @@ def rule_hits(texts: DataFrame, rules: Iterable[Rule], text: str = "text", conte
     pattern, becomes = fix_pattern(rules)
     table = F.create_map(*(F.lit(x) for kv in becomes.items() for x in kv))
     whole, hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    # running lengths give each match its offset
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_t"), F.arrays_zip(whole.alias("w"), hit.alias("h")).alias("_p"))
-    places = F.aggregate(
-        "_p",
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,m:string>>").alias("out")),
-        lambda s, x: F.struct(
-            (s["at"] + F.length(x["w"])).alias("at"),
-            F.when((x["h"] != "") & ~x["h"].startswith("<"), F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), x["h"].alias("m"))))).otherwise(s["out"]).alias("out"),
-        ),
-        lambda s: s["out"],
-    )
-    found = rows.select("_t", F.explode(places).alias("x")).select("_t", "x.at", F.col("x.m").alias("matched"))
+    # a match's offset is what stands before it: running lengths over the matches of one text
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_t"), whole.alias("_w"), hit.alias("_h"))
+    rows = rows.withColumn("_end", running_sums(F.transform("_w", lambda w: F.length(w))))
+    places = F.transform(F.arrays_zip("_w", "_h", "_end"), lambda x: F.struct((x["_end"] - F.length(x["_w"]) + 1).alias("at"), x["_h"].alias("m")))
+    found = rows.select("_t", F.explode(F.filter(places, lambda x: (x["m"] != "") & ~x["m"].startswith("<"))).alias("x")).select("_t", "x.at", F.col("x.m").alias("matched"))
     around = F.substring("_t", F.greatest(F.col("at") - context, F.lit(1)), F.length("matched") + 2 * context)
     return found.groupBy("matched").agg(F.count("*").alias("hits"), F.min(around).alias("example")).withColumn("replacement", table[F.col("matched")])
 

@@ -2,32 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import blank, cut_on_space, tokenize
 from folioflow.operators.joins import segment_pages
-from folioflow.operators.match import align_phrases
+from folioflow.operators.lineage import checkpointed
+from folioflow.operators.match import phrase_packs, with_best
 
 FRAGMENT = 5674
 
 
-def checkpointed(df: DataFrame, spark: SparkSession) -> DataFrame:
-    """df cut off from its lineage: written to the shared checkpoint folder if one is set, else Spark's own checkpoint."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if spark.sparkContext.getCheckpointDir() is None:
-            if not spark.sparkContext.master.startswith("local["):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
-        return df.checkpoint()
-    path = f"{folder.rstrip('/')}/folioflow/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def project_text(content: DataFrame, key: str = "row_id", text: str = "text", page: str = "page_id") -> tuple[DataFrame, DataFrame]:
     """(project_id, text) with all words of a project in row order, and (project_id, page_id, page_start, page_end)."""
     words = F.array_join(tokenize(F.col(text)), " ")
@@ -54,32 +41,32 @@ def segment_by_phrases(content: DataFrame, phrases: DataFrame, threshold: float
 
     Each pass looks for the best phrase in every open piece of all projects at once and cuts it into before, match and
     after; pieces without a match are halved at a space as long as they are longer than the shortest phrase. It ends when
-    no piece is open: each pass leaves shorter ones. Pieces of a project join to its text again.
+    no piece is open: each pass leaves shorter ones. A pass reads and writes only the pieces that the one before left open
+    or closed. Pieces of a project join to its text again.
     """
     spark = content.sparkSession
     whole, pages = project_text(content)
-    pieces = fragments(whole, size).select("project_id", "seg_start", "text", F.lit(None).cast(phrases.schema["id"].dataType).alias("phrase_id"), F.lit(None).cast("double").alias("similarity"), F.lit(True).alias("open"))
-    pieces = checkpointed(pieces, spark)
+    kind = phrases.schema["id"].dataType
+    none, zero = F.lit(None).cast(kind), F.lit(None).cast("double")
+    made = fragments(whole, size).select("project_id", "seg_start", "text", none.alias("phrase_id"), zero.alias("similarity"), (~blank(F.col("text"))).alias("open"))
     shortest = phrases.where(~blank(F.col("text"))).agg(F.min(F.length("text"))).first()[0] or 1
-    while not pieces.where("open").isEmpty():
-        todo = pieces.where("open").select("project_id", "seg_start", "text", F.concat_ws(":", "project_id", "seg_start").alias("_key"))
-        hits = align_phrases(todo, phrases, "_key", "text", cutoff=threshold, blocking=blocking)
-        j = todo.join(hits, "_key", "left")
+    packs = phrase_packs(phrases, cutoff=threshold, blocking=blocking)
+    passes = [checkpointed(made, spark)]
+    while not passes[-1].where("open").isEmpty():
+        j = with_best(passes[-1].where("open").select("project_id", "seg_start", "text"), packs, "text", kind)
         part = lambda a, b: F.substring("text", a + 1, b - a)
-        s, e, n = F.col("start"), F.col("end"), F.length("text")
+        s, e, n = F.col("_best.start"), F.col("_best.end"), F.length("text")
         row = lambda at, text, pid, sim, still: F.struct((F.col("seg_start") + at).cast("long").alias("seg_start"), text.alias("text"), pid.alias("phrase_id"), sim.alias("similarity"), still.alias("open"))
-        none, zero = F.lit(None).cast(phrases.schema["id"].dataType), F.lit(None).cast("double")
         left = F.length(cut_on_space(F.col("text"))["left"])
         left = F.when(left > 0, left).otherwise(F.floor(n / 2).cast("int"))  # a space in front would leave the piece as it is
         small = n <= 2 * shortest
-        found = F.array(row(F.lit(0), part(F.lit(0), s), none, zero, F.lit(True)), row(s, part(s, e), F.col("id"), F.col("score"), F.lit(False)), row(e, part(e, n), none, zero, F.lit(True)))
+        matched = F.array(row(F.lit(0), part(F.lit(0), s), none, zero, F.lit(True)), row(s, part(s, e), F.col("_best.key"), F.col("_best.score"), F.lit(False)), row(e, part(e, n), none, zero, F.lit(True)))
         halved = F.when(small, F.array(row(F.lit(0), F.col("text"), none, zero, F.lit(False)))).otherwise(
             F.array(row(F.lit(0), part(F.lit(0), left), none, zero, F.lit(True)), row(left, part(left, n), none, zero, F.lit(True)))
         )
-        new = j.select("project_id", F.explode(F.when(F.col("id").isNotNull(), found).otherwise(halved)).alias("x")).select("project_id", "x.*").where("text <> ''")
-        new = new.withColumn("open", F.col("open") & ~blank(F.col("text")))
-        pieces = checkpointed(pieces.where("not open").unionByName(new), spark)
-    done = pieces.withColumn("seg_end", F.col("seg_start") + F.length("text"))
+        new = j.select("project_id", F.explode(F.when(F.col("_best").isNotNull(), matched).otherwise(halved)).alias("x")).select("project_id", "x.*").where("text <> ''")
+        passes.append(checkpointed(new.withColumn("open", F.col("open") & ~blank(F.col("text"))), spark))
+    done = reduce(DataFrame.unionByName, (p.where("not open") for p in passes)).withColumn("seg_end", F.col("seg_start") + F.length("text"))
     where = segment_pages(done.select("project_id", "seg_start", "seg_end"), pages, ["project_id"])
     w = Window.partitionBy("project_id").orderBy("seg_start")
     return done.join(where, ["project_id", "seg_start", "seg_end"], "left").select(

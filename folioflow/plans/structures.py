@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -31,6 +32,11 @@ class ColumnSpec:
     lookup: str | None = None
     options: tuple[str, ...] | None = None
     visible: bool = True
+    #: Functions that return Columns: the value from the row's columns; a message for a value that is wrong (null if fine);
+    #: what is shown of a value.
+    compute: Callable[[], Column] | None = None
+    check: Callable[[Column], Column] | None = None
+    shown_as: Callable[[Column], Column] | None = None
 
     @property
     def data_type(self) -> T.DataType:
@@ -184,6 +190,20 @@ def conform(df: DataFrame, structure: list[ColumnSpec], keep: tuple[str, ...] =
     return df.select(*out)
 
 
+def computed(df: DataFrame, structure: list[ColumnSpec]) -> DataFrame:
+    """df with the columns that compute their value, in the structure's order, so that one may read those before it."""
+    for c in structure:
+        if c.compute is not None:
+            df = df.withColumn(c.name, c.compute().cast(c.data_type))
+    return df
+
+
+def displayed(df: DataFrame, structure: list[ColumnSpec]) -> DataFrame:
+    """df's columns of the structure as they are shown."""
+    cells = {c.name: c.shown_as(F.col(quoted(c.name))) if c.shown_as else F.col(quoted(c.name)) for c in structure if c.name in df.columns}
+    return df.select(*(cells.get(n, F.col(quoted(n))).alias(n) for n in df.columns))
+
+
 def compute_similarity(df: DataFrame, a: str = "formula_text_from_ms", b: str = "formula_standardized", out: str = "levenshtein") -> DataFrame:
     return df.withColumn(out, lev_label(F.col(quoted(a)), F.col(quoted(b))))
 
@@ -201,6 +221,8 @@ def rule_error(spec: ColumnSpec) -> Column | None:
     out = F.lit(None).cast("string")
     if spec.rule:
         out = F.when(~fine[spec.rule], message[spec.rule])
+    if spec.check:
+        out = F.coalesce(out, spec.check(F.col(quoted(spec.name))))
     if spec.required:
         out = F.when(blank(value), "Must not be empty").otherwise(out)
-    return out if spec.rule or spec.required else None
+    return out if spec.rule or spec.check or spec.required else None

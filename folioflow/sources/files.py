@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.functions.text import blank, normalize_header, parse_bool, parse_number, trim_all
+from folioflow.functions.text import blank, nonblank, normalize_header, parse_bool, parse_number, trim_all
+from folioflow.operators.joins import automatic_column, dict_lookup, list_lookup
 from folioflow.operators.table import unique_labels
 from folioflow.plans.structures import ColumnSpec, conform, quoted
 
@@ -105,13 +106,28 @@ def import_table(spark: SparkSession, path: str, structure: list[ColumnSpec]) ->
     out = conform(raw.select(*cols), structure, keep=("_at",))
     seq = next((s.name for s in structure if s.type == "sequence"), None)
     if seq:
-        # a file is one table: the numbering is one window over its rows
         q = out.agg((F.count("*") == F.count(quoted(seq))).alias("a"), (F.count(quoted(seq)) == F.count_distinct(quoted(seq))).alias("b")).first()
         if not (q["a"] and q["b"]):
-            out = out.withColumn(seq, F.row_number().over(Window.orderBy("_at")).cast("long"))
+            out = numbered(out, "_at", seq)
     return out.drop("_at")
 
 
+def numbered(df: DataFrame, at: str, out: str) -> DataFrame:
+    """df with out: its rows numbered from 1 in the order of `at`, made before by monotonically_increasing_id.
+
+    Only one count for each partition passes through the driver, so no task sees more than its own rows.
+    """
+    part, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = df.groupBy(part.alias("_p")).agg((F.max(place) + 1).alias("_n")).orderBy("_p").collect()
+    before, rows = 0, []
+    for r in sizes:
+        rows.append((r["_p"], before))
+        before += r["_n"]
+    offsets = df.sparkSession.createDataFrame(rows, "_p long, _before long")
+    j = df.withColumn("_p", part).join(offsets, "_p").withColumn(out, (F.col("_before") + place + 1).cast("long"))
+    return j.select(df.columns if out in df.columns else [*df.columns, out])
+
+
 def read_content(df: DataFrame, structure: list[ColumnSpec], keys: tuple[str, ...] = ("project_id", "content_id")) -> DataFrame:
     """JSON objects in `data` as columns of the structure; other rows are left out, missing keys get defaults.
 
@@ -161,11 +177,11 @@ def flatten_iiif_manifest(df: DataFrame, key: str = "manifest_id", data: str = "
     return unique_labels(rows, [key]).select(key, "page_no", "label", "image_url", "service_url")
 
 
-def scan_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """(name, path, length) of non-empty image files by extension; contents are not read."""
+def scan_page_files(spark: SparkSession, path: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png", "tiff", "bmp")) -> DataFrame:
+    """(name, path, length) of non-empty files (images, if not told otherwise) by extension; contents are not read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "length")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    fine = name.rlike(r"(?i)\.(jpg|jpeg|png|tiff|bmp)$") & (F.col("length") > 0)
+    fine = name.rlike(rf"(?i)\.({'|'.join(extensions)})$") & (F.col("length") > 0)
     return files.where(fine).select(F.regexp_replace(name, r"\.[^.]*$", "").alias("name"), "path", "length")
 
 
@@ -189,8 +205,8 @@ def eval_pairs(lines: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def read_eval_pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation pairs of a text file; one file is one group."""
-    text = spark.read.text(path, wholetext=True).withColumn("file", F.lit(path))
+    """Evaluation pairs of a text file, or of each file of a folder."""
+    text = spark.read.text(path, wholetext=True).withColumn("file", F.input_file_name())
     lines = text.select("file", F.posexplode(F.split("value", "\n")).alias("line_no", "value"))
     return eval_pairs(lines, ["file"]).drop("file")
 
@@ -208,17 +224,32 @@ def export_rows(projects: DataFrame, pages: DataFrame) -> DataFrame:
     return kept.join(p, "project_id").select("project_id", "project_name", F.col("name").alias("image_name"), "text", "page_id").orderBy("project_id", "page_id").drop("page_id")
 
 
-def export_table(df: DataFrame, structure: list[ColumnSpec], dictionaries: dict[str, DataFrame]) -> DataFrame:
-    """Visible columns with dictionary values replaced by export values, as text."""
-    from folioflow.operators.joins import dict_lookup
+def export_table(df: DataFrame, structure: list[ColumnSpec], dictionaries: dict[str, DataFrame], key: str | None = None) -> DataFrame:
+    """Visible columns as text, dictionary values replaced by export values.
 
+    Selects and numbers without a parent: by value, else by label, else as they are. Automatic columns: of the parent's
+    value the export value, else the label, else N/A. Lists: each item by its value, joined by ', '; key names a column
+    that tells rows apart, which is needed for them.
+    """
     out = df
     for s in structure:
-        if s.name in df.columns and s.dictionary in dictionaries and s.parent is None and s.type in ("select", "number"):
-            safe = out.withColumnRenamed(s.name, "_cell")
-            looked = dict_lookup(safe, dictionaries[s.dictionary], "_cell")
+        d = dictionaries.get(s.dictionary) if s.dictionary else None
+        if d is None:
+            continue
+        if s.type in ("select", "number") and s.parent is None and s.name in df.columns:
+            looked = dict_lookup(out.withColumnRenamed(s.name, "_cell"), d, "_cell")
             out = looked.drop("_cell", "_cell_display").withColumnRenamed("_cell_export", s.name)
-    return out.select(*(F.col(quoted(s.name)).cast("string").alias(s.name) for s in structure if s.visible and s.name in out.columns))
+        elif s.type == "automatic" and s.parent in df.columns:
+            told = d.withColumn("label", F.coalesce(nonblank(F.col("export_value").cast("string")), "label"))
+            raw = out.drop(s.name).join(df.select(key, F.col(quoted(s.parent)).alias("_parent")), key) if key else out.drop(s.name).withColumn("_parent", F.col(quoted(s.parent)))
+            out = automatic_column(raw, told, "_parent", s.name).drop("_parent")
+        elif s.type == "list" and s.name in df.columns:
+            if key is None:
+                raise ValueError("lists need a column that tells rows apart")
+            told = d.withColumn("label", F.coalesce(nonblank(F.col("export_value").cast("string")), "value"))
+            out = list_lookup(out.withColumnRenamed(s.name, "_list"), told, "_list", key, s.name).drop("_list")
+    named = [s for s in structure if s.visible and s.name in out.columns]
+    return out.select(*([key] if key and key not in [s.name for s in named] else []), *(F.col(quoted(s.name)).cast("string").alias(s.name) for s in named))
 
 
 def export_json(df: DataFrame) -> DataFrame:

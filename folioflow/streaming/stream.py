@@ -31,7 +31,11 @@ def stream_fix(pages: DataFrame, load_rules: Callable[[], Iterable[Rule]], path:
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
-def stream_progress(events: DataFrame, name: str, checkpoint: str | None = None) -> StreamingQuery:
-    """Latest status of each project of a stream of job events, as an updated in-memory table."""
-    writer = progress_rollup(events).writeStream.outputMode("complete").format("memory").queryName(name)
-    return (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
+def stream_progress(events: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool = False) -> StreamingQuery:
+    """Latest status of each project of a stream of job events, in update mode.
+
+    sink(batch, number) gets, for each micro-batch, only the projects whose latest status is new in it, for example to merge
+    them into a table; a number comes again if a batch is run again. State is one row for each project.
+    """
+    writer = progress_rollup(events).writeStream.outputMode("update").foreachBatch(sink).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()

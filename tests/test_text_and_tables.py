@@ -13,10 +13,10 @@ from folioflow.operators import match as M
 from folioflow.operators import table as T
 from folioflow.plans.convert import convert_structure, validate_table
 from folioflow.plans.segment import segment_by_phrases
-from folioflow.plans.structures import CANTUS, CONTENT, USUARIUM
-from folioflow.plans.transcription import load_transcription
+from folioflow.plans.structures import CANTUS, CONTENT, USUARIUM, ColumnSpec, computed, displayed
+from folioflow.plans.transcription import load_transcription, transcribe_postprocess
 from folioflow.sources import files as S
-from folioflow.streaming.stream import stream_fix
+from folioflow.streaming.stream import stream_fix, stream_progress
 
 RULES = [
     ("colis", "collecta", True),
@@ -145,8 +145,8 @@ def test_linkage(spark):
     phrases = spark.createDataFrame([(1, "dominus vobiscum et cum spiritu"), (2, "gloria in excelsis deo et in terra")], "id long, text string")
     texts = spark.createDataFrame([(10, "gloria in excelsis deo et in tera"), (11, "zzz")], "q long, t string")
     best = M.fuzzy_rerank(M.fuzzy_candidates(texts, phrases, "q", "t"), texts, phrases, "q", "t").where("rank = 1").collect()
-    assert [(r.q, r.id, r.distance) for r in best] == [(10, 2, 1)]
-    assert M.fuzzy_candidates(texts, phrases, "q", "t", fallback=True).where("q = 11").count() == 2
+    assert sorted((r.q, r.id, r.distance) for r in best) == [(10, 2, 1), (11, 1, 31)]  # without a shared gram all entries are ranked
+    assert M.fuzzy_candidates(texts, phrases, "q", "t", fallback=False).where("q = 11").count() == 0
     words = spark.createDataFrame([("dominus",), ("dominvs",), ("xx",)], "word string")
     got = {r.word: r.match for r in M.best_match(words, spark.createDataFrame([("dominus",)], "word string")).collect()}
     assert got == {"dominus": "dominus", "dominvs": "dominus", "xx": None}
@@ -183,6 +183,37 @@ def test_alignment_misses_no_pair(spark, cutoff):
     assert {r.seg: r.id for r in got.collect()} == exp and len(exp) > 1
 
 
+def test_packs_find_what_one_pack_finds(spark):
+    """Dictionaries cut into many packs, against plain loops."""
+    local = random.Random(12)
+    word = lambda n: "".join(local.choice("abcde") for _ in range(n))
+    entries = [(i, " ".join(word(local.randint(1, 6)) for _ in range(local.randint(1, 5)))) for i in range(40)]
+    texts = [(i, " ".join(word(local.randint(1, 6)) for _ in range(local.randint(0, 6)))) for i in range(60)] + [(60, "ZZZZ"), (61, None)]
+    q, d = spark.createDataFrame(texts, "q long, t string"), spark.createDataFrame(entries, "id long, text string")
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+    exp = []
+    for i, t in texts:
+        found = [(-2 * len(grams(t or "") & grams(e)) / ((len(grams(t or "")) + len(grams(e))) or 1), -len(grams(t or "") & grams(e)), k) for k, e in entries]
+        some = sorted(f for f in found if f[1]) or sorted((0.0, 0, k) for _, _, k in found)
+        exp += [(i, k, -c, round(-s, 9), n + 1) for n, (s, c, k) in enumerate(some[: 7 if some[0][1] else None])]
+    for size in (10**6, 60):
+        got = M.fuzzy_candidates(q, d, "q", "t", k=7, pack_chars=size).collect()
+        assert sorted((r.q, r.id, r.shared, round(r.score, 9), r.place) for r in got) == sorted(exp)
+    vocabulary = list(dict.fromkeys(w for _, e in entries for w in e.split()))
+    tokens = sorted({w for _, t in texts for w in (t or "").split()} | {"x" * 70 + "a"})
+    v = spark.createDataFrame(list(enumerate(vocabulary)), "n long, word string")
+    for size in (10**6, 30):
+        got = {r.word: (r.match, r.similarity) for r in M.best_match(spark.createDataFrame([(t,) for t in tokens], "word string"), v, cutoff=70.0, order="n", pack_chars=size).collect()}
+        for t in tokens:
+            s, n = min((-ratio(t, w), n) for n, w in enumerate(vocabulary))
+            assert got[t] == ((vocabulary[n], -s) if -s >= 70 else (None, 0.0))
+    segments = spark.createDataFrame([(i, t) for i, t in texts], "seg long, s string")
+    one, many = (sorted(map(tuple, M.align_phrases(segments, d, "seg", "s", cutoff=70.0, pack_chars=size).collect())) for size in (10**6, 100))
+    assert one == many and len(one) > 5
+    halves = lambda phrases, text, cutoff: [(0, len(text), 100.0 if text.startswith(p) else 0.0) for p in phrases]
+    assert {r.id for r in M.align_phrases(segments.where("length(s) > 9"), d.limit(1).select(F.lit(5).alias("id"), F.lit("a").alias("text")), "seg", "s", scorer=halves).collect()} == {5}
+
+
 def test_segments_join_to_the_text(spark):
     content = spark.createDataFrame([(1, 1, 1, "ante dominus vobiscum et"), (1, 2, 2, "cum spiritu post multa")], "project_id long, row_id long, page_id long, text string")
     phrases = spark.createDataFrame([(7, "dominus vobiscum et cum spiritu")], "id long, text string")
@@ -252,3 +283,67 @@ def test_stream(spark, tmp_path):
     q.awaitTermination(60)
     got = spark.read.parquet(str(tmp_path / "out")).orderBy("page_id").collect()
     assert [r.text for r in got] == ["deus", None]
+
+
+def test_columns_with_functions(spark):
+    """A structure may bring its own computed values, checks and ways to show a value."""
+    own = [
+        ColumnSpec("key", "Key", "number"),
+        ColumnSpec("word", "Word", check=lambda v: F.when(v.contains("!"), "No shouting")),
+        ColumnSpec("size", "Size", "number", compute=lambda: F.length("word"), shown_as=lambda v: F.concat(v.cast("int"), F.lit(" letters"))),
+    ]
+    df = computed(spark.createDataFrame([(1.0, "abc"), (2.0, "no!")], "key double, word string"), own)
+    assert [r.size for r in displayed(df, own).orderBy("key").collect()] == ["3 letters", "3 letters"]
+    assert [(r.key, r.message) for r in validate_table(df, own, {}, "key").collect()] == [(2.0, "No shouting")]
+
+
+def test_latest_progress_of_a_stream(spark, tmp_path):
+    """Update mode: a micro-batch hands on only the projects that it changes."""
+    rows = [(1, 1, "running", 0.1), (2, 1, "running", 0.2)], [(1, 2, "done", 1.0)]
+    for r in rows:
+        spark.createDataFrame(r, "project_id long, ts long, status string, progress double").write.mode("append").parquet(str(tmp_path / "in"))
+    got = []
+    stream = spark.readStream.schema("project_id long, ts long, status string, progress double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream_progress(stream, lambda batch, n: got.extend(map(tuple, batch.select("project_id", "status").collect())), str(tmp_path / "ck"), available_now=True)
+    q.awaitTermination(60)
+    assert dict(got) == {1: "done", 2: "running"} and len(got) <= 4
+
+
+def test_colour_and_regions_in_post_processing(spark):
+    point = lambda x, y: {"x": float(x), "y": float(y)}
+    line = lambda no, x, y, text: (1, 1000.0, no, 1, text, [point(x, y), point(x + 300, y)], float(x), float(y - 20), float(x + 300), float(y))
+    lines = spark.createDataFrame(
+        [line(1, 100, 100, "left one"), line(2, 550, 100, "right one"), line(3, 100, 140, "left two"), line(4, 550, 140, "right two")],
+        "page_id long, page_w double, line_no int, piece_no int, text string, baseline array<struct<x:double,y:double>>, left double, top double, right double, bottom double",
+    )
+    regions = spark.createDataFrame([(1, 1, 540.0, 0.0, 900.0, 500.0), (1, 2, 90.0, 0.0, 450.0, 500.0)], "page_id long, region_no int, left double, top double, right double, bottom double")
+    signal = spark.range(1000).select(F.lit(1).cast("long").alias("page_id"), F.lit(3).alias("line_no"), F.col("id").alias("x"), F.lit(5.0).alias("redness"))
+    got = transcribe_postprocess(lines, regions=regions, signal=signal).first().text
+    assert got == "left one <red> left two</red> right one right two⏎"
+
+
+def test_rows_are_numbered_across_partitions(spark):
+    df = spark.range(0, 1000, 1, 7).withColumn("_at", F.monotonically_increasing_id())
+    assert [r.n for r in S.numbered(df, "_at", "n").orderBy("id").collect()] == list(range(1, 1001))
+
+
+def test_error_rate_counts_words(spark):
+    local = random.Random(5)
+    pairs = [([local.choice("abcd") for _ in range(local.randint(0, 8))], [local.choice("abcd") for _ in range(local.randint(0, 8))]) for _ in range(60)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a):
+            row = _next(row, i, x, b)
+        return row[-1]
+
+    def _next(row, i, x, b):
+        out = [i + 1]
+        for j, y in enumerate(b):
+            out.append(min(row[j + 1] + 1, out[j] + 1, row[j] + (x != y)))
+        return out
+
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a array<string>, b array<string>")
+    for r in df.select("a", "b", X.word_error_rate(F.col("a"), F.col("b")).alias("w")).collect():
+        exp = distance(r.a, r.b) / len(r.a) if r.a else float(bool(r.b))
+        assert abs(r.w - exp) < 1e-9
