@@ -1,28 +1,33 @@
-"""Exact top-k by inner product: M-trees over shards, searched best first.
-
-Vectors become integers, floor(256 * x). An extra coordinate makes all vectors of a shard equally long, so that a larger
-inner product is a smaller Euclidean distance. Each shard of about `SHARD_ROWS` vectors gets an M-tree: pages of at most
-`PAGE` entries, routing nodes with covering radii, and every entry's distance to its parent. A query's pages are visited
-in order of their least possible distance; entries whose stored parent distance already rules them out by the triangle
-inequality are not computed. Scores are integers and decide ties exactly; bounds in floating point have slack.
-
-The stated query set meets every shard in blocks of `BLOCK_ROWS` queries by an equi-join on the shard.
+"""Exact top-k by inner product: M-trees over metric shards, searched best first.
+
+Vectors become integers, floor(256 * x). An extra coordinate makes all vectors equally long, so that a larger inner product
+is a smaller Euclidean distance. Rows go to the nearest of some pivots (a bounded sample; a pivot's rows beyond
+`SHARD_ROWS` are dealt to several shards). Each shard gets an M-tree: pages of at most `PAGE` entries, routing nodes with
+covering radii, and every entry's distance to its parent. A query's pages are visited in order of their least possible
+distance; entries whose stored parent distance already rules them out by the triangle inequality are not computed.
+Scores are integers and decide ties exactly; bounds in floating point have slack.
+
+A query first searches its nearest shard. The k-th score found there then rules out shards by their pivots' distances and
+radii, and bounds the search of the others. Trees travel as rows, a page of entries each, and meet blocks of at most
+`BLOCK_ROWS` queries by an equi-join on (shard, block).
 """
 
 from __future__ import annotations
 
 import heapq
-import pickle
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import materialize, table
+from folioflow.llm.common import materialize, refuse, table
 
-SHARD_ROWS, BLOCK_ROWS, PAGE, FANOUT, K, SCALE = 8192, 512, 512, 16, 5, 256
+SHARD_ROWS, BLOCK_ROWS, PAGE, FANOUT, K, SCALE = 8192, 4096, 64, 16, 5, 256
+#: At most so many pivots are drawn, from at most so many rows; rows of a stored page of a shard.
+PIVOTS, SAMPLE_ROWS, STORED = 1024, 20_000, 256
 SLACK = 1e-7
 
 
@@ -67,8 +72,11 @@ class MTree:
         arrays = (np.array([x[0] for x in kids]), np.array([x[1] for x in kids]), np.array([x[2] for x in kids]))
         return pivot, radius, up, (arrays, kids), None
 
-    def search(self, query: np.ndarray, own: int | None, k: int = K) -> list[tuple[int, int]]:
-        """(score, id) of the k best, best first, without the id `own`."""
+    def search(self, query: np.ndarray, own: int | None, k: int = K, known: int | None = None) -> list[tuple[int, int]]:
+        """(score, id) of the k best, best first, without the row `own`; ids are places in `keys`, whose order breaks ties.
+
+        known: a score that k rows elsewhere reach, so that lower ones need not be found.
+        """
         if self.root is None:
             return []
         base = float(query @ query) + self.square
@@ -76,6 +84,9 @@ class MTree:
         table, probe = (self.table, query.astype(float)) if small and self.table.dtype == float else (self.points, query)
         best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
         limit = np.inf
+        if known is not None:
+            limit = float(np.sqrt(max(0.0, base - 2.0 * known)))
+            limit += SLACK * (1 + limit)
 
         def to(points: np.ndarray) -> np.ndarray:
             self.computed += len(points)
@@ -102,8 +113,8 @@ class MTree:
                     if i != own and (len(best) < k or (s, -i) > best[0]):
                         (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (s, -i))
                 if len(best) == k:
-                    limit = float(np.sqrt(max(0.0, base - 2.0 * best[0][0])))
-                    limit += SLACK * (1 + limit)
+                    found = float(np.sqrt(max(0.0, base - 2.0 * best[0][0])))
+                    limit = min(limit, found + SLACK * (1 + found))
             else:
                 (pivots, radii, ups), kids = inner
                 live = np.flatnonzero(np.abs(d - ups) - radii <= limit) if limit < np.inf else np.arange(len(kids))
@@ -120,79 +131,175 @@ def _ints(column) -> np.ndarray:
     return np.floor(SCALE * np.stack([np.asarray(x, np.float64) for x in column])).astype(np.int64)
 
 
-def _tree(pdf: pd.DataFrame) -> pd.DataFrame:
-    tree = MTree(pdf["vec_id"].to_numpy(np.int64), _ints(pdf["embedding"]))
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "width": [pdf["width"].iloc[0]], "tree": [pickle.dumps(tree)]})
+def lengthened(points: np.ndarray, square: int) -> np.ndarray:
+    """Points with the coordinate that makes all equally long."""
+    norms = (points * points).sum(axis=1)
+    return np.column_stack([points.astype(float), np.sqrt(np.maximum(0, square - norms).astype(float))])
 
 
-def _block(pdf: pd.DataFrame) -> pd.DataFrame:
-    made = pickle.dumps((pdf["vec_id"].to_numpy(np.int64), _ints(pdf["embedding"])))
-    return pd.DataFrame({"width": [pdf["width"].iloc[0]], "queries": [made]})
+class Pivots:
+    """Centres of the shards of one width: every row belongs to the nearest."""
 
+    def __init__(self, points: np.ndarray, square: int):
+        self.square, self.points = square, lengthened(points, square)
+
+    def away(self, points: np.ndarray, is_query: bool) -> np.ndarray:
+        """Distances to all pivots, in float64; a query's own extra coordinate is 0, which ranks rows by inner product."""
+        x = np.column_stack([points.astype(float), np.zeros(len(points))]) if is_query else lengthened(points, self.square)
+        d = (x * x).sum(axis=1)[:, None] + (self.points**2).sum(axis=1) - 2 * x @ self.points.T
+        return np.sqrt(np.maximum(0.0, d))
+
+
+def _nearest(pivots):
+    @F.arrow_udf("struct<pivot: int, away: double>")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            at, away = np.zeros(len(column), np.int32), np.zeros(len(column))
+            rows = column.to_pylist()
+            for width in {len(x) for x in rows}:
+                own = [i for i, x in enumerate(rows) if len(x) == width]
+                d = pivots.value[width].away(_ints([rows[i] for i in own]), False)
+                at[own], away[own] = d.argmin(axis=1), d.min(axis=1)
+            yield pa.StructArray.from_arrays([pa.array(at), pa.array(away)], ["pivot", "away"])
+
+    return run
+
+
+def _shards_of(pivots, shards, k: int, nearest: bool):
+    """Per query its nearest shard, or the others that a known score does not rule out; shards: width -> (pivot, shard, radius)."""
 
-def _search(k: int):
     def run(batches):
         for batch in batches:
-            out: list[tuple[int, int, int]] = []
-            for tree, queries in zip(batch.column("tree"), batch.column("queries"), strict=True):
-                index: MTree = pickle.loads(tree.as_py())
-                ids, points = pickle.loads(queries.as_py())
-                for q, p in zip(ids.tolist(), points, strict=True):
-                    out += [(q, i, s) for s, i in index.search(p, q, k)]
-            cols = list(zip(*out, strict=True)) or [[], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in cols], ["query_id", "vec_id", "score"])
+            out: list[list[int]] = []
+            known = batch.column("known").to_pylist() if not nearest else [None] * len(batch)
+            for x, low in zip(batch.column("embedding").to_pylist(), known, strict=True):
+                q = _ints([x])
+                of, number, radius = shards.value[len(x)]
+                d = pivots.value[len(x)].away(q, True)[0][of]
+                first = int(np.lexsort((number, d))[0])
+                if nearest:
+                    out.append([int(number[first])])
+                    continue
+                keep = np.arange(len(of)) != first
+                if low is not None:
+                    limit = float(np.sqrt(max(0.0, float((q * q).sum()) + pivots.value[len(x)].square - 2.0 * low)))
+                    keep &= d - radius <= limit + SLACK * (1 + limit)
+                out.append(number[keep].tolist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int32()))], [*batch.schema.names, "shards"])
+
+    return run
+
+
+def _search(k: int):
+    def run(pages: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        out: list[tuple[int, int, int, int]] = []
+        if len(pages) and len(asked):
+            keys = np.concatenate([np.asarray(x, np.int64) for x in pages["rows"]])
+            ids = np.concatenate([np.asarray(x, np.int64) for x in pages["ids"]])
+            points = np.concatenate([np.frombuffer(x, np.int64).reshape(len(r), -1) for x, r in zip(pages["points"], pages["rows"], strict=True)])
+            order = np.lexsort((keys, ids))  # a row's place in this order breaks ties
+            keys, ids = keys[order], ids[order]
+            place = {r: i for i, r in enumerate(keys.tolist())}
+            tree = MTree(np.arange(len(keys)), points[order])
+            for row, x, low in zip(asked["row"], _ints(asked["embedding"]), asked["known"], strict=True):
+                found = tree.search(x, place.get(row), k, None if pd.isna(low) else int(low))
+                out += [(row, int(ids[i]), int(keys[i]), s) for s, i in found]
+        return pd.DataFrame(out, columns=["row", "vec_id", "found", "score"])
 
     return run
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, embedding, width): vectors without null or non-finite components, one for each vec_id (the least)."""
+    """(vec_id, embedding, width): rows whose vectors have no null or non-finite component."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     fine = F.forall("embedding", lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return (
-        vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
-        .select("vec_id", x.alias("embedding"))
-        .groupBy("vec_id")
-        .agg(F.min("embedding").alias("embedding"))
-        .withColumn("width", F.size("embedding"))
+    kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
+    return kept.withColumn("embedding", x).withColumn("width", F.size("embedding"))
+
+
+def _page_rows(pdf: pd.DataFrame) -> pd.DataFrame:
+    parts = [pdf.iloc[a : a + STORED] for a in range(0, len(pdf), STORED)]
+    return pd.DataFrame(
+        {
+            "shard": [p["shard"].iloc[0] for p in parts], "rows": [p["row"].tolist() for p in parts], "ids": [p["vec_id"].tolist() for p in parts],
+            "points": [_ints(p["embedding"]).tobytes() for p in parts],
+        }
     )
 
 
-def top_k(vectors: DataFrame, is_query, k: int = K) -> DataFrame:
+def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of highest integer inner product, ties to the lesser vec_id.
 
-    Rows of one vec_id count as one vector (its least); a query's own vec_id is no candidate; vectors that are null, or
-    hold null or non-finite components, and rows without vec_id take no part; vectors of other lengths do not meet.
-    With fewer candidates than k all are returned; an empty table gives an empty result.
+    Candidates are all rows but the query's own, so rows of one vec_id are each a candidate and each a query; vectors that
+    are null, or hold null or non-finite components, and rows without vec_id take no part; vectors of other lengths do
+    not meet. With fewer candidates than k all are returned; an empty table gives an empty result. Other columns are ignored; the
+    names `width` and `row` are refused.
     """
-    rows = materialize(usable(vectors))
-    shards = max(1, -(-rows.count() // SHARD_ROWS))
-    asked = rows.where(is_query)
-    blocks = max(1, -(-asked.count() // BLOCK_ROWS))
-    spread = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    trees = materialize(
-        rows.withColumn("shard", spread(shards)).groupBy("shard", "width").applyInPandas(_tree, "shard int, width int, tree binary")
-    )
-    sets = asked.withColumn("block", spread(blocks)).groupBy("block", "width").applyInPandas(_block, "width int, queries binary")
-    sets = materialize(sets.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))))
-    found = trees.join(sets, ["shard", "width"]).mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    by = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    refuse(vectors, "width", "row")
+    spark = vectors.sparkSession
+    rows = usable(vectors).select("vec_id", "embedding", "width", F.coalesce(is_query, F.lit(False)).alias("asks"))
+    rows = materialize(rows.withColumn("row", F.monotonically_increasing_id()))
+    value = F.transform("embedding", lambda v: F.floor(v * SCALE))
+    square = F.aggregate(value, F.lit(0).cast("long"), lambda s, v: s + v * v)
+    widths = rows.where("width > 0").groupBy("width").agg(F.count("*").alias("n"), F.max(square).alias("square")).collect()
+    total = sum(w["n"] for w in widths)
+    schema = "query_id long, rank int, vec_id long, score long"
+    if not total:
+        return spark.createDataFrame([], schema)
+    drawn = rows.where("width > 0").orderBy(F.xxhash64("row"), "row").select("width", "embedding").limit(SAMPLE_ROWS).toPandas()
+    pivots = {}
+    for w in widths:
+        sample = drawn[drawn["width"] == w["width"]]["embedding"]
+        count = min(PIVOTS, max(1, w["n"] // SHARD_ROWS), max(1, len(sample)))
+        pivots[w["width"]] = Pivots(_ints(list(sample[:count])) if len(sample) else np.zeros((1, w["width"]), np.int64), w["square"])
+    shared = spark.sparkContext.broadcast(pivots)
+    placed = materialize(rows.where("width > 0").withColumn("p", _nearest(shared)("embedding")).select("vec_id", "embedding", "width", "asks", "row", "p.*"))
+    sizes = placed.groupBy("width", "pivot").agg(F.count("*").alias("n"), F.max("away").alias("radius")).orderBy("width", "pivot").collect()
+    numbered, shards, at = [], {}, 0
+    for s in sizes:  # a row for each pivot, of which there are at most PIVOTS for a width
+        parts = -(-s["n"] // SHARD_ROWS)
+        numbered.append((s["width"], s["pivot"], at, parts))
+        shards.setdefault(s["width"], []).extend((s["pivot"], at + i, s["radius"]) for i in range(parts))
+        at += parts
+    shards = {w: (np.array([x[0] for x in v]), np.array([x[1] for x in v], np.int32), np.array([x[2] for x in v])) for w, v in shards.items()}
+    told = spark.sparkContext.broadcast(shards)
+    of = spark.createDataFrame(numbered, "width int, pivot int, first int, parts int")
+    shard = (F.col("first") + F.pmod(F.xxhash64("row"), F.col("parts"))).cast("int")
+    stored = placed.join(of, ["width", "pivot"]).select("vec_id", "embedding", "row", shard.alias("shard"))
+    pages = materialize(stored.groupBy("shard").applyInPandas(_page_rows, "shard int, rows array<long>, ids array<long>, points binary"))
+    asked = placed.where("asks").select("row", F.col("vec_id").alias("query_id"), "embedding", F.lit(None).cast("long").alias("known"))
+
+    def searched(queries: DataFrame) -> DataFrame:
+        each = queries.withColumn("shard", F.explode("shards")).drop("shards")
+        blocks = materialize(each.groupBy("shard").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("int").alias("blocks")))
+        each = each.join(blocks, "shard").withColumn("block", F.pmod(F.xxhash64("row"), F.col("blocks")).cast("int")).drop("blocks")
+        spread = pages.join(blocks.withColumnRenamed("blocks", "copies"), "shard").withColumn("block", F.explode(F.expr("sequence(0, copies - 1)"))).drop("copies")
+        found = spread.groupBy("shard", "block").cogroup(each.groupBy("shard", "block")).applyInPandas(_search(k), "row long, vec_id long, found long, score long")
+        return materialize(found)
+
+    reach = "row long, query_id long, embedding array<double>, known long, shards array<int>"
+    first = searched(asked.mapInArrow(_shards_of(shared, told, k, True), reach))
+    worst = first.groupBy("row").agg(F.when(F.count("*") >= k, F.min("score")).alias("known"))
+    rest = asked.drop("known").join(worst, "row", "left").select("row", "query_id", "embedding", "known")
+    second = searched(materialize(rest.mapInArrow(_shards_of(shared, told, k, False), reach)))
+    by = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id", "found")
+    best = first.unionByName(second).withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
+    return best.join(asked.select("row", "query_id"), "row").select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op1_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+    return top_k(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), F.col("vec_id") % 50 == 0)
 
 
 SQL = """
 WITH v AS (
-  SELECT vec_id, min(list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT)) AS e FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 GROUP BY vec_id
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), s AS (
-  SELECT q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0
 )
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
+SELECT query_id, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """

@@ -68,19 +68,23 @@ def rows_of(docs):
 # -- 1
 
 
-def test_top_k(spark):
+@pytest.mark.parametrize("shard_rows", [8192, 40])
+def test_top_k(spark, monkeypatch, shard_rows):
+    """Against all products; small shards make many pivots, and a hot one that is dealt to several shards."""
+    monkeypatch.setattr(topk, "SHARD_ROWS", shard_rows)
     data = np.random.default_rng(1).normal(0, 0.3, (700, 8))
     data[100:300] = data[100]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(data)]
-    rows += [(1000, None), (1001, [1.0, None] + [0.0] * 6), (1050, [float("nan")] * 8), (1100, [float("inf")] * 8), (None, rows[0][1]), rows[3]]
+    rows += [(1000, None), (1001, [1.0, None] + [0.0] * 6), (1050, [float("nan")] * 8), (1100, [float("inf")] * 8), (None, rows[0][1]), rows[3], rows[50], (1150, []), (1200, [2.0, 1.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("shard", F.lit("x"))
-    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in topk.top_k(df, F.col("vec_id") % 50 == 0).collect()}
-    q = np.floor(256 * data).astype(int)
-    for i in range(0, 700, 50):
-        s = q @ q[i]
-        best = sorted((j for j in range(700) if j != i), key=lambda j: (-s[j], j))[:5]
-        assert [got[i, k + 1] for k in range(5)] == [(j, s[j]) for j in best]
-    assert len(got) == 14 * 5
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+    kept = [(i, np.floor(256 * np.array(v)).astype(int)) for i, v in rows if i is not None and i < 1000]
+    exp = []
+    for a, (i, q) in enumerate(kept):
+        if i % 50 == 0:
+            best = sorted((-int(q @ v), j) for b, (j, v) in enumerate(kept) if b != a)[:5]
+            exp += [(i, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert got == sorted(exp)
     assert topk.top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
     assert topk.top_k(df.where("vec_id in (0, 7)"), F.col("vec_id") % 50 == 0).count() == 1
 
