@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.llm.common import (
     BODY,
@@ -417,19 +418,27 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Decided row by row: where rows of one doc_id have different texts, each goes or stays with its own component. Of rows
     alike in doc_id and text one stays. Texts without words stay, once for each doc_id and text. Other columns are kept
-    untouched; the names `_row` and `_copies` are refused; an empty table gives an empty result.
+    untouched; the names `_row` and `_touched` are refused; an empty table gives an empty result.
     """
-    refuse(docs, "_row", "_copies")
+    refuse(docs, "_row", "_touched")
     alone = F.when(F.col("n") == 0, F.col("row"))
     rows = materialize(grouped(docs).groupBy("doc_id", "row", "component", alone.alias("alone")).agg(F.count("*").alias("copies")))
     first = F.struct(F.col("doc_id").isNull(), "doc_id", "row", "copies")
-    kept = rows.groupBy("component", "alone").agg(F.min(first).alias("x")).select(F.col("x.row").alias("_row"), F.col("x.copies").alias("_copies"))
-    kept = materialize(kept)
+    kept = materialize(rows.groupBy("component", "alone").agg(F.min(first).alias("x")).select(F.col("x.row").alias("_row"), F.col("x.copies").alias("_copies")))
+    gone = materialize(rows.select(F.col("row").alias("_row")).join(kept, "_row", "left_anti").distinct())
+    several = kept.where("_copies > 1").select("_row")
+    # a filter of fixed size names the rows that may go or stand several times: only these are shuffled
+    bits = docs.sparkSession.sparkContext.broadcast(bit_filter(gone.union(several), F.col("_row")))
     discard(rows)
-    keyed = docs.withColumn("_row", row_hash())
-    once = keyed.join(kept.where("_copies = 1"), "_row", "left_semi")
-    repeated = keyed.join(kept.where("_copies > 1"), "_row", "left_semi").dropDuplicates(["_row"])
-    return once.unionByName(repeated).select(docs.columns)
+
+    @F.arrow_udf(T.BooleanType())
+    def touched(column: pa.Array) -> pa.Array:
+        return pa.array(passes(bits.value, column.to_numpy(zero_copy_only=False)))
+
+    keyed = docs.withColumn("_row", row_hash()).withColumn("_touched", touched("_row"))
+    once = keyed.where("not _touched").drop("_row", "_touched")
+    rest = keyed.where("_touched").drop("_touched").join(gone, "_row", "left_anti").dropDuplicates(["_row"]).drop("_row")
+    return once.unionByName(rest).select(docs.columns)
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
