@@ -1,8 +1,8 @@
 """Removal of repeated passages by content-defined chunks of lines.
 
 A rolling hash over the hashes of the last two lines chooses where a chunk ends, so inserted lines move no boundary but
-the nearest. A line of `LONG_WORDS` words or more is a chunk of its own, whatever stands around it. Chunks of two lines and
-`MANY_WORDS` words, or of one long line, may be removed. Equal hashes over all texts name the suspects; their bytes
+the nearest. A line of `long_words` words or more is a chunk of its own, whatever stands around it (passages are often one line;
+None turns this off). Chunks of two lines and `MANY_WORDS` words, or of one long line, may be removed. Equal hashes over all texts name the suspects; their bytes
 are then compared by grouping, the first occurrence (least doc_id, then place) stays, and all others are cut out.
 """
 
@@ -15,14 +15,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from folioflow.llm.common import bit_filter, discard, materialize, passes, table
+from folioflow.llm.common import bit_filter, discard, materialize, passes, refuse, table
 
 LONG_WORDS, MANY_WORDS, MASK, MOST_LINES = 40, 20, 3, 32
 
 
-def chunks(body: bytes) -> list[tuple[int, int, bytes]]:
-    """(first line, end line, bytes) of the chunks that may be removed, in order."""
+def chunks(body: bytes, long_words: int | None = LONG_WORDS) -> list[tuple[int, int, bytes]]:
+    """(first line, end line, bytes) of the chunks that may be removed, in order; without long_words of several lines only."""
     lines = body.split(b"\n")
     out: list[tuple[int, int, bytes]] = []
     first, words, before = 0, 0, 0
@@ -33,7 +34,7 @@ def chunks(body: bytes) -> list[tuple[int, int, bytes]]:
 
     for i, line in enumerate(lines):
         n = len(line.split())
-        if n >= LONG_WORDS:
+        if long_words is not None and n >= long_words:
             close(i)
             out.append((i, i + 1, line))
             first, words, before = i + 1, 0, 0
@@ -53,18 +54,21 @@ def chunk_hash(chunk: bytes) -> int:
     return int.from_bytes(blake2b(chunk, digest_size=8).digest(), "little", signed=True)
 
 
-def _hashes(batches):
-    for batch in batches:
-        found = [[chunk_hash(c) for _, _, c in chunks(b.as_py())] for b in batch.column("body")]
-        yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["h"])
+def _hashes(long_words: int | None):
+    def run(batches):
+        for batch in batches:
+            found = [[chunk_hash(c) for _, _, c in chunks(b.as_py(), long_words)] for b in batch.column("body")]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64()))], ["h"])
 
+    return run
 
-def _suspects(bits):
+
+def _suspects(bits, long_words: int | None):
     def run(batches):
         for batch in batches:
             cols: list[list] = [[], [], [], [], [], []]
             for doc, key, body in zip(batch.column("doc_id").to_pylist(), batch.column("row_key").to_pylist(), batch.column("body"), strict=True):
-                found = chunks(body.as_py())
+                found = chunks(body.as_py(), long_words)
                 if not found:
                     continue
                 h = np.array([chunk_hash(c) for _, _, c in found], np.int64)
@@ -85,40 +89,14 @@ def without_lines(text: str, spans: list[tuple[int, int]]) -> str:
     return "\n".join(lines)
 
 
-def _chosen(bits, inside: bool):
-    def run(batches):
-        for batch in batches:
-            if len(batch):
-                yield batch.filter(pa.array(passes(bits.value, batch.column("_row_key").to_numpy()) == inside))
-
-    return run
-
-
-def _cut(at: int, n_chars: int | None):
-    def run(batches):
-        for batch in batches:
-            texts, removed = batch.column(at), batch.column("_removed").to_pylist()
-            out = [
-                t.as_py() if not r else without_lines(t.as_py(), [(x["first"], x["end"]) for x in r])
-                for t, r in zip(texts, removed, strict=True)
-            ]
-            cols = batch.columns
-            cols[at] = pa.array(out, pa.string())
-            if n_chars is not None:
-                cols[n_chars] = pa.array([n if not r else len(t) for n, t, r in zip(cols[n_chars].to_pylist(), out, removed, strict=True)], cols[n_chars].type)
-            yield pa.RecordBatch.from_arrays(cols, batch.schema.names)
-
-    return run
-
-
-def removals(docs: DataFrame) -> DataFrame:
+def removals(docs: DataFrame, long_words: int | None = LONG_WORDS) -> DataFrame:
     """(row_key, removed) for each document that loses lines; removed: half-open ranges of line numbers, sorted."""
     rows = docs.select("doc_id", row_key().alias("row_key"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    hashes = rows.select("body").mapInArrow(_hashes, "h array<long>").select(F.explode("h").alias("h"))
+    hashes = rows.select("body").mapInArrow(_hashes(long_words), "h array<long>").select(F.explode("h").alias("h"))
     often = materialize(hashes.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h"))
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(often, F.col("h")))
     found = materialize(
-        rows.mapInArrow(_suspects(bits), "doc_id long, row_key long, first long, end long, h long, chunk binary").distinct()
+        rows.mapInArrow(_suspects(bits, long_words), "doc_id long, row_key long, first long, end long, h long, chunk binary").distinct()
     )
     place = F.struct("doc_id", "row_key", "first")
     # grouping by the bytes is the comparison; the bytes are then needed again only where two chunks have one hash
@@ -139,33 +117,42 @@ def row_key():
     return F.xxhash64("doc_id", "text")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, long_words: int | None = LONG_WORDS) -> DataFrame:
     """docs with its columns, repeated chunks cut out of text, n_chars (if there) made to agree, and `_removed`.
 
-    Null and empty texts stay as they are. Rows alike in doc_id and text count as one place and are treated alike; a
-    null doc_id comes before all others. Chunks repeated inside one text are cut as well. `_removed` is null where
-    nothing was cut. Other columns are kept untouched.
+    Null and empty texts stay as they are. Rows alike in doc_id and text count as one place and are treated alike (they
+    are told apart by a 64-bit hash, by chance 2**-64 a pair alike); a null doc_id comes before all others. Chunks
+    repeated inside one text are cut as well. `_removed` is null where nothing was cut. Other columns are kept untouched;
+    the names `_row_key` and `_removed` are refused; an empty table gives an empty result.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    gone = removals(docs)
+    refuse(docs, "_row_key", "_removed")
+    gone = removals(docs, long_words)
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(gone, F.col("row_key"), 22))
+
+    @F.arrow_udf(T.BooleanType())
+    def touched(column: pa.Array) -> pa.Array:
+        return pa.array(passes(bits.value, column.to_numpy(zero_copy_only=False)))
+
+    @F.arrow_udf(T.StringType())
+    def cut(texts: pa.Array, removed: pa.Array) -> pa.Array:
+        pairs = zip(texts, removed.to_pylist(), strict=True)
+        return pa.array([t.as_py() if not r else without_lines(t.as_py(), [(x["first"], x["end"]) for x in r]) for t, r in pairs], pa.string())
+
     keyed = docs.withColumn("_row_key", row_key())
-    schema = f"{fields}, _row_key long"
+    hit = touched("_row_key")
     # only texts that lose lines are shuffled
-    touched = keyed.mapInArrow(_chosen(bits, True), schema).join(
-        gone.withColumnsRenamed({"row_key": "_row_key", "removed": "_removed"}), "_row_key", "left"
-    )
-    at = docs.columns.index("text")
-    n_chars = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
-    removed = "_removed array<struct<first: long, end: long>>"
-    cut = touched.select(*docs.columns, "_removed").mapInArrow(_cut(at, n_chars), f"{fields}, {removed}")
-    rest = keyed.mapInArrow(_chosen(bits, False), schema).drop("_row_key")
-    return rest.withColumn("_removed", F.lit(None).cast(cut.schema["_removed"].dataType)).unionByName(cut)
+    losing = keyed.where(hit).join(gone.withColumnsRenamed({"row_key": "_row_key", "removed": "_removed"}), "_row_key", "left").drop("_row_key")
+    losing = losing.withColumn("text", cut("text", "_removed"))
+    if "n_chars" in docs.columns:
+        fitting = F.length("text").cast(docs.schema["n_chars"].dataType)
+        losing = losing.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(fitting))
+    rest = keyed.where(~hit).drop("_row_key")
+    return rest.withColumn("_removed", F.lit(None).cast(losing.schema["_removed"].dataType)).unionByName(losing.select(*docs.columns, "_removed"))
 
 
-def keep_fresh(docs: DataFrame) -> DataFrame:
+def keep_fresh(docs: DataFrame, long_words: int | None = LONG_WORDS) -> DataFrame:
     """docs after `dedup_lines`; a document all of whose words were repeats is left out."""
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, long_words)
     return out.where(F.col("_removed").isNull() | (F.trim("text") != "")).select(docs.columns)
 
 

@@ -427,25 +427,62 @@ def test_personal(spark, docs, none):
 # -- 7
 
 
-def test_line_dedup(docs, none):
-    rows = {(r.doc_id, r.text) for r in docs.collect()}
-    occurrences = {}
-    for i, t in rows:
-        for a, b, c in line_dedup.chunks((t or "").encode()):
-            occurrences.setdefault(c, []).append(((-1 if i is None else i), t, a, b))
+def naive_chunks(text, long_words):
+    """Chunks by the rule of the docstring: cut after a line whose hash with the one before allows it."""
+    lines = (text or "").encode().split(b"\n")
+    groups, group, before = [], [], 0
+    for i, line in enumerate(lines):
+        if long_words is not None and len(line.split()) >= long_words:
+            groups += [group, [i]]
+            group, before = [], 0
+            continue
+        group.append(i)
+        mixed = (before * 0x9E3779B1 + zlib.crc32(line)) * 0x85EBCA6B % 2**32
+        before = zlib.crc32(line)
+        if mixed >> 16 & 3 == 0 or len(group) == 32:
+            groups.append(group)
+            group = []
+    for g in [*groups, group]:
+        held = b"\n".join(lines[g[0] : g[-1] + 1]) if g else b""
+        if len(g) > 1 and len(held.split()) >= 20 or len(g) == 1 and long_words is not None and len(held.split()) >= long_words:
+            yield g[0], g[-1] + 1, held
+
+
+@pytest.mark.parametrize("long_words", [40, None])
+def test_line_dedup(spark, none, docs, long_words):
+    """Against plain loops: of equal chunks the first in order of doc_id stays; texts of several lines share runs of them."""
+    local = random.Random(31)
+    pool = [" ".join(local.choice(WORDS) for _ in range(local.randint(6, 15))) for _ in range(40)]
+    made = ["\n".join(pool[local.randrange(30) :][: local.randint(3, 14)] + [words(5)]) for _ in range(60)]
+    rows = [*((100 + i, t) for i, t in enumerate(made)), *((i, t) for i, t in rows_of(docs) if i is None or i != 5)]
+    df = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    places = {}
+    for i, t in set(rows):
+        for a, b, c in naive_chunks(t, long_words):
+            places.setdefault(c, []).append((-1 if i is None else i, i, t, a, b))
     cut = {}
-    for found in occurrences.values():
-        first = min(x[0] for x in found)
-        if len({x[:2] for x in found}) > 1:
-            for i, t, a, b in found:
-                if i != first:
-                    cut.setdefault((i, t), []).append((a, b))
-    got = line_dedup.dedup_lines(docs).collect()
-    assert sum(r._removed is not None for r in got) >= 2
-    left = Counter((-1 if r.doc_id is None else r.doc_id, r.text) for r in got if r.doc_id != 5)
-    assert left == Counter((-1 if r.doc_id is None else r.doc_id, line_dedup.without_lines(r.text, cut[k]) if (k := (-1 if r.doc_id is None else r.doc_id, r.text)) in cut else r.text) for r in docs.collect() if r.doc_id != 5)
-    assert line_dedup.dedup_lines(none).count() == 0
-    assert line_dedup.keep_fresh(docs).columns == docs.columns
+    for found in places.values():
+        first = min(found, key=lambda x: (x[0], x[3]))
+        for x in found:
+            if x != first:
+                cut.setdefault(x[1:3], set()).add(x[3:])
+    assert len(cut) > 5
+    left = []
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        gone = {k for a, b in cut.get((i, t), ()) for k in range(a, b)}
+        kept = t if (i, t) not in cut else "\n".join(x for k, x in enumerate(lines) if k not in gone)
+        left.append((-1 if i is None else i, kept, len(kept or "")))
+    got = line_dedup.dedup_lines(df, long_words).collect()
+    assert Counter((-1 if r.doc_id is None else r.doc_id, r.text, r.n_chars) for r in got) == Counter(left)
+    assert line_dedup.dedup_lines(none, long_words).count() == 0 if long_words else True
+
+
+def test_line_dedup_keeps_other_columns(docs):
+    kept = line_dedup.keep_fresh(docs.drop("row_key"))
+    assert kept.columns == docs.drop("row_key").columns and kept.count() >= docs.count() - 3
+    with pytest.raises(ValueError, match="rename"):
+        line_dedup.dedup_lines(docs.withColumn("_removed", F.lit(1)))
 
 
 def test_chunks_resist_shifts():
