@@ -1,4 +1,4 @@
-"""Cutting the lineage of frames that pass after pass is made from the one before."""
+"""Where work is cut: lineage between passes, rows between tasks."""
 
 from __future__ import annotations
 
@@ -24,3 +24,12 @@ def checkpointed(df: DataFrame, spark: SparkSession) -> DataFrame:
     path = scratch(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt out evenly to as many tasks as shuffles have, and two for each core at least.
+
+    For maps that take far longer over a row than a shuffle of it, where files or coalesced partitions are too few.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))

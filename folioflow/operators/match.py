@@ -16,7 +16,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from folioflow.functions.similarity import adjusted_alignments, ratio
 from folioflow.functions.text import blank, collapsed, ngrams, tokenize
 from folioflow.operators.islands import greedy_pairs, ordered
-from folioflow.operators.lineage import checkpointed
+from folioflow.operators.lineage import checkpointed, spread
 
 #: Candidates kept for a text of fewer characters than the first number; the last is for longer ones.
 CANDIDATES = ((30, 500), (60, 300), (150, 60), (300, 30))
@@ -109,7 +109,7 @@ def fuzzy_candidates(
     """(q_key, d_key, shared, score, place): entries that share trigrams, by Dice, then shared grams, then entry.
 
     k defaults to the rule by the query's length. With fallback, queries that share no gram get all entries with score 0.
-    The dictionary's gram index is broadcast in packs, so texts are neither exploded into grams nor shuffled; rows of one
+    The dictionary's gram index is broadcast in packs, so texts are not exploded into grams; rows of one
     q_key are expected to be one query. Null texts and keys of the dictionary are left out; a null query is an empty one.
     """
     key_type = dictionary.schema[d_key].dataType
@@ -129,7 +129,7 @@ def fuzzy_candidates(
 
         return find(collapsed(F.coalesce(F.col(q_text), F.lit(""))), F.lit(k) if k else adaptive_k(F.coalesce(F.length(q_text), F.lit(0))))
 
-    out = None
+    queries, out = spread(queries.select(q_key, q_text)), None
     for pack in packs:
         got = queries.select(q_key, F.posexplode(finder(pack)).alias("_i", "x"), (F.lit(k) if k else adaptive_k(F.coalesce(F.length(q_text), F.lit(0)))).alias("_k"))
         got = got.select(q_key, F.col("x.key").alias(d_key), "x.shared", "x.score", (F.col("_i") + 1).alias("place"), "_k")
@@ -237,7 +237,7 @@ def best_match(
 
         return find("_t")
 
-    t = tokens.select(F.col(token).alias("_t")).where("_t is not null").distinct()
+    t = spread(tokens.select(F.col(token).alias("_t")).where("_t is not null").distinct())
     found = reduce(DataFrame.unionByName, (t.select("_t", finder(p).alias("x")) for p in packs))
     if len(packs) > 1:
         first = F.struct((-F.col("x.similarity")).alias("s"), F.col("x.place").alias("p"), F.col("x.match").alias("m"))
@@ -336,7 +336,7 @@ def with_best(segments: DataFrame, packs: list, text: str, key_type: T.DataType,
     out = None
     for pack in packs:
         if out is None:
-            out = segments.withColumn("_best", finder(pack))
+            out = spread(segments).withColumn("_best", finder(pack))
         else:
             out = checkpointed(out, segments.sparkSession).withColumn("_new", finder(pack))
             less = F.col("_new").isNull() | (F.col("_best.score") > F.col("_new.score")) | ((F.col("_best.score") == F.col("_new.score")) & (F.col("_best.key") <= F.col("_new.key")))
@@ -351,7 +351,7 @@ def align_phrases(
     """(seg_key, key, start, end, score): the phrase best aligned with each segment, if it reaches the cutoff; ties to the least key.
 
     The dictionary is the stated query set: broadcast in packs of about `pack_chars` characters, each met by all segments
-    without a shuffle. With blocking, phrases of which the cutoff demands trigrams in the segment (`least_shared`, above a
+    in a map. With blocking, phrases of which the cutoff demands trigrams in the segment (`least_shared`, above a
     cutoff of 80) are met by those; all others are scored with every segment. Nothing that reaches the cutoff is missed.
     scorer: a function of (phrases, segment, cutoff) to (start, end, score) for each phrase; with another than the default
     blocking must be justified by it. Each row of segments is one segment; null and empty ones match nothing.

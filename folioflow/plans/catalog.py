@@ -657,7 +657,17 @@ def w5_merge_split_words(t):
     return M.merge_split_words(T.number_words(c).select("project_id", "word_no", "word"), vocabulary, ["project_id"])
 
 
-@query()
+#: Marker rows (turn % 4 = 0) joined with the row after them.
+_MARKERS_SQL = """m AS (SELECT conv_id AS project_id, turn::INTEGER AS seq, CASE WHEN turn % 4 <> 0 THEN text ELSE '' END AS text, CASE WHEN turn % 4 = 0 THEN role END AS function_id,
+  CASE WHEN turn % 4 = 1 THEN role END AS subrubric, CASE WHEN turn % 4 = 2 THEN 'R' || turn END AS rubric, CASE WHEN turn % 4 = 2 THEN turn::VARCHAR END AS rubric_id FROM conversations),
+l AS (SELECT *, function_id IS NOT NULL AND lead(seq) OVER w IS NOT NULL AS leads FROM m WINDOW w AS (PARTITION BY project_id ORDER BY seq)),
+f AS (SELECT *, coalesce(lag(leads) OVER (PARTITION BY project_id ORDER BY seq), false) AS follows FROM l),
+g AS (SELECT *, sum(CASE WHEN follows THEN 0 ELSE 1 END) OVER (PARTITION BY project_id ORDER BY seq) AS n FROM f),
+j AS (SELECT project_id, min(seq) AS seq, coalesce(string_agg(text, ' ' ORDER BY seq) FILTER (trim(text, ' ' || chr(10)) <> ''), '') AS text, NULL::VARCHAR AS ident, min(function_id) AS function_id, NULL::VARCHAR AS subfunction_id,
+  min(subrubric) AS subrubric, min(rubric) AS rubric, min(rubric_id) AS rubric_id FROM g GROUP BY project_id, n)"""
+
+
+@query(f"WITH {_MARKERS_SQL} SELECT * FROM j")
 def w6_merge_markers(t):
     return T.merge_markers(markers_of(t), ["function_id"], ["project_id"], "seq", "text", "ident")
 
@@ -671,7 +681,8 @@ def markers_of(t) -> DataFrame:
     )
 
 
-@query()
+@query(f"""WITH {_MARKERS_SQL}, r AS (SELECT *, last_value(rubric IGNORE NULLS) OVER w AS name, last_value(rubric_id IGNORE NULLS) OVER w AS id FROM j WINDOW w AS (PARTITION BY project_id ORDER BY seq))
+SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY seq)::INTEGER AS seq, text, ident, function_id, subfunction_id, subrubric, coalesce(rubric, name) AS rubric, coalesce(rubric_id, id) AS rubric_id FROM r WHERE trim(text, ' ' || chr(10)) <> ''""")
 def w7_propagate(t):
     return T.propagate(markers_of(t), ["project_id"], "seq", "text", "ident")
 
@@ -886,7 +897,11 @@ def c3_validate_table(t):
     return C.validate_table(r, CONTENT, {"layer.tsv": nations(t)}, "k")
 
 
-@query()
+@query("""WITH b AS (SELECT conv_id AS project_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS page_no, turn, role, text FROM conversations),
+r AS (SELECT project_id, page_no, turn, 0 AS i, '' AS text, role AS rubric FROM b UNION ALL SELECT project_id, page_no, turn, 1, text, NULL FROM b WHERE trim(text, ' ' || chr(10)) <> ''),
+q AS (SELECT *, lag(page_no) OVER w AS lp, lag(turn) OVER w AS lt FROM r WINDOW w AS (PARTITION BY project_id ORDER BY page_no, i)),
+g AS (SELECT *, sum(CASE WHEN lp <> page_no AND lt % 2 = 1 THEN 0 ELSE 1 END) OVER (PARTITION BY project_id ORDER BY page_no, i) AS n FROM q)
+SELECT project_id, n::BIGINT AS seq, string_agg(text, '' ORDER BY page_no, i) AS text, min(rubric) AS rubric, NULL::VARCHAR AS function, NULL::VARCHAR AS subrubric, min(page_no)::INTEGER AS from_page, max(page_no)::INTEGER AS to_page FROM g GROUP BY project_id, n""")
 def c4_load_transcription(t):
     marked = F.concat(F.lit("<red>"), "role", F.lit("</red>"), "text", F.when(F.col("turn") % 2 == 0, "⏎").otherwise(""))
     return load_transcription(t("conversations").select(F.col("conv_id").alias("project_id"), F.col("turn").alias("page_id"), F.col("role").alias("name"), marked.alias("text")))
