@@ -129,7 +129,7 @@ def fuzzy_candidates(
 
         return find(collapsed(F.coalesce(F.col(q_text), F.lit(""))), F.lit(k) if k else adaptive_k(F.coalesce(F.length(q_text), F.lit(0))))
 
-    queries, out = spread(queries.select(q_key, q_text)), None
+    queries, out = spread(queries.select(*dict.fromkeys((q_key, q_text)))), None
     for pack in packs:
         got = queries.select(q_key, F.posexplode(finder(pack)).alias("_i", "x"), (F.lit(k) if k else adaptive_k(F.coalesce(F.length(q_text), F.lit(0)))).alias("_k"))
         got = got.select(q_key, F.col("x.key").alias(d_key), "x.shared", "x.score", (F.col("_i") + 1).alias("place"), "_k")
