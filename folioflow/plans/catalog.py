@@ -848,6 +848,21 @@ def s9_flatten_iiif_manifest(t):
     return S.flatten_iiif_manifest(made).select("manifest_id", F.col("page_no").cast("long"), "label", "image_url")
 
 
+@query(f"""SELECT l_orderkey AS manifest_id, row_number() OVER w AS page_no, CASE WHEN l_linenumber % 3 = 0 THEN 'page_' || row_number() OVER w ELSE 'f' || l_linenumber END AS label,
+ 'http://i/' || l_partkey AS image_url, CASE WHEN l_linenumber % 2 = 0 THEN 'http://s/' || l_partkey END AS service_url FROM {LINES_SQL} WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""")
+def s9_iiif_version_2(t):
+    # labels are texts, first values of a list, or missing; every second image has a service
+    n = F.col("l_linenumber")
+    service = F.when(n % 2 == 0, F.struct(F.concat(F.lit("http://s/"), "l_partkey").alias("@id")))
+    resource = F.struct(F.concat(F.lit("http://i/"), "l_partkey").alias("@id"), service.alias("service"))
+    text = F.to_json(F.struct(F.array(F.struct(resource.alias("resource"))).alias("images")))
+    label = F.when(n % 3 == 1, F.concat(F.lit('"label":"f'), n, F.lit('",'))).when(n % 3 == 2, F.concat(F.lit('"label":[{"@value":"f'), n, F.lit('"}],'))).otherwise("")
+    canvas = F.concat(F.lit("{"), label, F.substring(text, 2, 1 << 20))
+    made = lines_of(t).groupBy(F.col("l_orderkey").alias("manifest_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", canvas.alias("c")))).alias("x"))
+    data = F.concat(F.lit('{"sequences":[{"canvases":['), F.array_join(F.transform("x", lambda x: x["c"]), ","), F.lit("]}]}"))
+    return S.flatten_iiif_manifest(made.select("manifest_id", data.alias("data"))).withColumn("page_no", F.col("page_no").cast("long"))
+
+
 @query(f"SELECT project_id, 'P' || project_id AS project_name, name AS image_name, md5(text) AS text FROM {PAGES_SQL} WHERE trim(text) <> ''")
 def s12_export_transcriptions(t):
     pages = pages_of(t)
