@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from folioflow.llm.common import ALNUM, blocks_of, discard, materialize, refuse, table, text_bytes
 
-WINDOW, SAMPLE, SHARD_BYTES, BLOCK_WORDS = 13, 8, 2_000_000, 2_000_000
+WINDOW, SAMPLE, SHARD_BYTES, BLOCK_WORDS = 13, 8, 1_500_000, 2_000_000
 END, GAP = 0, 1
 
 

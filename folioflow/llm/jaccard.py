@@ -18,7 +18,6 @@ The order of shingles comes from counts in `BUCKETS` hash buckets over all texts
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,9 +140,9 @@ def _prepare(batches):
     yield rows([[task] * PIECES, [None] * PIECES, [-1 - k for k in range(PIECES)], *[[None] * PIECES] * 3, sent])
 
 
-def _sum_counts(key, pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(c, np.int64) for c in pdf["counts"])
-    return pd.DataFrame({"n": [key[0]], "team": [key[1]], "counts": [total.tobytes()]})
+def _sum_counts(key: tuple, rows: pa.Table) -> pa.Table:
+    total = sum(np.frombuffer(c.as_py(), np.int64) for c in rows.column("counts"))
+    return pa.table({"n": pa.array([key[0].as_py()], pa.int64()), "team": pa.array([key[1].as_py()], pa.int64()), "counts": pa.array([total.tobytes()], pa.binary())})
 
 
 def _order(sent: DataFrame, tasks: int) -> np.ndarray:
@@ -151,7 +150,7 @@ def _order(sent: DataFrame, tasks: int) -> np.ndarray:
     out = np.zeros(BUCKETS, np.int64)
     sums = sent.select("n", F.col("doc_id").alias("team"), "counts")
     while True:
-        sums = sums.withColumn("team", F.floor(F.col("team") / TEAM)).groupBy("n", "team").applyInPandas(_sum_counts, "n long, team long, counts binary")
+        sums = sums.withColumn("team", F.floor(F.col("team") / TEAM)).groupBy("n", "team").applyInArrow(_sum_counts, "n long, team long, counts binary")
         tasks = -(-tasks // TEAM)
         if tasks <= 1:
             break

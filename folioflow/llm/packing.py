@@ -13,7 +13,6 @@ import zlib
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -139,21 +138,20 @@ def _pack(ranks_path: str, window: int, open_windows: int):
 
 
 def _merge(window: int):
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["task", "doc_id", "start", "ids_crc32"], na_position="first", kind="stable")
+    def run(key: tuple, held: pa.Table) -> pa.Table:
+        order = lambda r: (r["task"], r["doc_id"] is not None, r["doc_id"] or 0, r["start"], r["ids_crc32"])
         rows = _Rows()
-        seq, filled = (1 << 62) + (int(key[0]) << 36), 0
-        for r in pdf.itertuples():
-            ids = np.frombuffer(r.ids, "<u4")
-            doc, at = (None if pd.isna(r.doc_id) else int(r.doc_id)), 0
+        seq, filled = (1 << 62) + (key[0].as_py() << 36), 0
+        for r in sorted(held.to_pylist(), key=order):
+            ids, at = np.frombuffer(r["ids"], "<u4"), 0
             while at < len(ids):
                 part = ids[at : at + window - filled]
-                rows.emit(seq, filled, doc, int(r.start) + at, part, int(r.doc_tokens))
+                rows.emit(seq, filled, r["doc_id"], r["start"] + at, part, r["doc_tokens"])
                 at += len(part)
                 filled += len(part)
                 if filled == window:
                     seq, filled = seq + 1, 0
-        return pd.DataFrame({n: pd.array(c, "Int64") for n, c in zip(_NAMES, rows.cols, strict=True)})
+        return pa.table({n: pa.array(c, pa.int64()) for n, c in zip(_NAMES, rows.cols, strict=True)})
 
     return run
 
@@ -181,7 +179,7 @@ def pack(
     rest = (
         placed.where("sequence_id < 0")
         .groupBy(F.floor(F.col("task") / merge_tasks).cast("long").alias("team"))
-        .applyInPandas(_merge(window), PIECE)
+        .applyInArrow(_merge(window), PIECE)
     )
     return done.unionByName(rest)
 

@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,12 +98,10 @@ def fit(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> tuple[np.ndarr
     return vectors @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0])
 
 
-def _train(batches):
-    frames = [b for b in batches if len(b)]
-    pdf = pd.concat(frames) if frames else pd.DataFrame({"doc_id": [], BODY: [], "y": []})
-    pdf = pdf.sort_values(["doc_id", BODY], kind="stable")
-    weights, bias = fit(list(pdf[BODY]), pdf["y"].to_numpy(np.int64))
-    yield pd.DataFrame({"weights": [weights.astype("<f8").tobytes()], "bias": [bias]})
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = sorted(tuple(r[c] for c in ("doc_id", BODY, "y")) for b in batches for r in b.to_pylist())
+    weights, bias = fit([body for _, body, _ in rows], np.array([y for *_, y in rows], np.int64))
+    yield pa.RecordBatch.from_arrays([pa.array([weights.astype("<f8").tobytes()], pa.binary()), pa.array([bias])], ["weights", "bias"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, float]:
@@ -128,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .limit(sample_rows)
         .coalesce(1)
     )
-    got = rows.mapInPandas(_train, "weights binary, bias double").first()
+    got = rows.mapInArrow(_train, "weights binary, bias double").first()
     if got is None:  # nothing to learn from
         return fit([], np.zeros(0, np.int64))
     return np.frombuffer(got["weights"], "<f8"), got["bias"]
