@@ -280,7 +280,7 @@ def naive_scores(rows, rates, head):
     assert len(number) >= lm.OWN_CLASS and len(number) < len(counts)
 
     def places(t):
-        x = np.array([number.get(w, lm.HEAD + zlib.crc32(w)) for w in tokens(t)])
+        x = np.array([number.get(w, lm.far_number(w)) for w in tokens(t)])
         leaves = np.array([leaf(w)[0] * 64 + leaf(w)[1] for w in tokens(t)])
         return lm.context_rows(x, np.array([len(x)]), n_rows, leaves).tolist(), [leaf(w) for w in tokens(t)]
 
