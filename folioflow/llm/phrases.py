@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import BODY, bit_filter, blocks_of, byte_view, materialize, mix64, passes, span_hashes, table, with_bytes
+from folioflow.llm.common import BODY, bit_filter, blocks_of, byte_view, discard, materialize, mix64, passes, span_hashes, table, with_bytes
 
 LONGEST, LEAST, TOP, COVER = 4, 30, 2000, 80
 SAMPLE, LOW, FILTER_BITS = 4, 4, 26
@@ -240,7 +240,9 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE,
         filters.append(filter_of(every.where(F.col("k") < LONGEST)))
         found.append(materialize(counts(rows, filters, False).where((F.col("c") >= least) & (F.col("k") > 0))))
     named = rows.mapInArrow(_spell(filter_of(every)), "lang string, k int, phrase string, c long").groupBy("lang", "k", "phrase").agg(F.sum("c").alias("a"))
-    return materialize(named.where(F.col("a") >= least)), n, len(found)
+    phrases = materialize(named.where(F.col("a") >= least))
+    discard(*found[1:])
+    return phrases, n, len(found)
 
 
 def _sub(first: Column, size: Column) -> Column:

@@ -1,6 +1,6 @@
 """The queries of this subpackage and, where SQL can express one, its SQL."""
 
-from folioflow.llm import decontamination, jaccard, language_model, line_dedup, packing, phrases, privacy, quality, secrets, sharding, topk, warc
+from folioflow.llm import conversations, decontamination, jaccard, language_model, line_dedup, packing, phrases, privacy, quality, secrets, sharding, topk, warc
 
 QUERIES = {
     "op1_exact_top_k": topk.op1_exact_top_k,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_quality_classifier": quality.op10_quality_classifier,
     "op11_sharding": sharding.op11_sharding,
     "op12_phrase_collocations": phrases.op12_phrase_collocations,
+    "op13_conversation_repair": conversations.op13_conversation_repair,
 }
 ORACLE: dict[str, str] = {
     "op1_exact_top_k": topk.SQL,
@@ -23,4 +24,5 @@ ORACLE: dict[str, str] = {
     "op8_warc_revisits": warc.SQL,
     "op11_sharding": sharding.SQL,
     "op12_phrase_collocations": phrases.SQL,
+    "op13_conversation_repair": conversations.SQL,
 }
