@@ -2,35 +2,37 @@
 
 A sample of the documents (one of `SAMPLE`, chosen by a hash) proposes phrases: those with `LOW` occurrences or more in it. A
 pass over all documents then counts all words, the proposed phrases, and their negative border: those that are not
-proposed although their first and last words but one are (both parts one word shorter). All counts are exact. Where a word or
-border phrase turns out frequent, what it admits has not been counted; another pass counts that, and so on until
+proposed although both parts one word shorter are. All counts are exact. Where a word or border phrase turns out
+frequent, what it admits has not been counted; another pass counts that, with all that this may admit in turn, and so on until
 nothing frequent was missed. As a phrase occurs no oftener than its parts, nothing is lost.
 
-Which phrases are proposed is told to the tasks by a bit filter of a fixed size. It never misses a member; what passes it
-by chance is merely counted as well, the more the fuller the filter is, so its size bounds memory and not results. Passes count 64-bit hashes, summed in
-each task before they are shuffled. A last pass spells the frequent ones out and counts them anew by their
-text, so hashes that meet by chance in different tasks are told apart.
+Which phrases are proposed is told to the tasks by a bit filter of a fixed size. It never misses a member; what passes it by
+chance is merely counted as well, so its size bounds memory and not results. A phrase is a 64-bit hash of those of
+its first and last parts, so that counts, cuts and covering are found by joins of numbers (two phrases have one hash by chance
+2**-64 a pair). Each task sums its counts up and hands them on as packed runs of hashes, which meet by ranges of the
+hash. Only phrases that reach the result are spelled out, in a last pass.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.common import BODY, bit_filter, blocks_of, byte_view, discard, materialize, mix64, passes, span_hashes, table, with_bytes
+from folioflow.llm.common import BODY, bit_filter, blocks_of, byte_view, materialize, mix64, passes, span_hashes, table, with_bytes
 
 LONGEST, LEAST, TOP, COVER = 4, 30, 2000, 80
 SAMPLE, LOW, FILTER_BITS = 4, 4, 26
 #: Bytes of text whose phrases are hashed at once; hashes that a task holds before it hands them on.
 BLOCK, HELD = 2_000_000, 1 << 20
-#: Copies of a table of phrases of so many words where many others meet one of them.
-FAN = {1: 32, 2: 4}
+#: Ranges of hashes for each partition of the input; copies of a word that many phrases begin or end with, and of a pair.
+RANGES, FAN = 128, (32, 4, 1)
 
 #: Byte -> 0 in words, 1 between words, 2 between pieces.
 _KIND = np.zeros(256, np.uint8)
@@ -64,9 +66,9 @@ class Block:
         """Hashes of the words, by language."""
         return mix64(span_hashes(self.buf, self.starts, self.ends) + lang[self.row])
 
-    def longer(self, shorter: np.ndarray, words: np.ndarray, k: int) -> np.ndarray:
-        """Hashes of the phrases of k words from those of one less; of those that leave a piece as well."""
-        return mix64(shorter[: max(len(words) - k + 1, 0)] * _TURN + words[k - 1 :])
+    def longer(self, shorter: np.ndarray) -> np.ndarray:
+        """Hashes of the phrases of one word more; of those that leave a piece as well."""
+        return mix64(shorter[:-1] * _TURN + shorter[1:])
 
     def whole(self, k: int) -> np.ndarray:
         """Which k words from each on are in one piece."""
@@ -80,124 +82,155 @@ def _lang_hash(lang: str) -> int:
     return (crc32(lang.encode()) << 32 | crc32(lang.encode()[::-1])) & 0xFFFFFFFFFFFFFFFF
 
 
-def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[list[str], Block, np.ndarray]]:
-    """(language of each row, words, hashes of the words) of blocks of a batch."""
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, Block, np.ndarray]]:
+    """(hash of each row's language, words, hashes of the words) of blocks of a batch."""
     body, langs = batch.column(BODY), batch.column("lang").to_pylist()
     for lo, hi in blocks_of(body, BLOCK):
         block = Block(body.slice(lo, hi - lo))
         known = {x: _lang_hash(x) for x in set(langs[lo:hi])}
-        yield langs[lo:hi], block, block.hashes(np.array([known[x] for x in langs[lo:hi]], np.uint64))
+        lang = np.array([known[x] for x in langs[lo:hi]], np.uint64)
+        yield lang, block, block.hashes(lang)
 
 
-def _unique(h: np.ndarray, c: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each hash once, its count, and where it stood first."""
-    order = np.argsort(h, kind="stable")
-    h = h[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, np.int64)
-    c = np.diff(np.append(first, len(h))) if c is None else np.add.reduceat(c[order], first) if len(h) else c
-    return h[first], c, order[first]
-
-
-def _admitted(filters: list[np.ndarray], shorter: np.ndarray, whole: np.ndarray) -> np.ndarray:
-    """Which phrases the last filter admits and none before it: phrases whose parts one word shorter both pass."""
-    n = len(whole)
-    for i, bits in enumerate(reversed(filters)):
-        member = passes(bits, shorter)
-        both = member[:n] & member[1 : n + 1]
-        whole = whole & both if i == 0 else whole & ~both
-    return whole
+def _unique(keys: np.ndarray, c: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Each row of keys once, ordered by the hash in the first column, and its count."""
+    order = np.argsort(keys[:, 0], kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:, 0] != keys[:-1, 0]])) if len(keys) else np.zeros(0, np.int64)
+    c = np.diff(np.append(first, len(keys))) if c is None else np.add.reduceat(c[order], first) if len(keys) else c
+    return keys[first], c.astype(np.int64)
 
 
 class Tally:
-    """Counts by hash that a task sums up before it hands them on."""
+    """Counts of phrases (hash, first part, last part, language) that a task sums up before it hands them on.
+
+    Under no words (k = 0) there are the languages with their numbers of words.
+    """
 
     def __init__(self):
-        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in range(1, LONGEST + 1)}
+        self.parts: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {k: [] for k in range(LONGEST + 1)}
         self.size = 0
 
-    def add(self, k: int, h: np.ndarray) -> None:
-        if len(h):
-            self.parts[k].append(_unique(h, None)[:2])
+    def add(self, k: int, keys: np.ndarray, c: np.ndarray | None = None) -> None:
+        if len(keys):
+            self.parts[k].append(_unique(keys, c))
             self.size += len(self.parts[k][-1][0])
 
     def merge(self) -> None:
         for k, parts in self.parts.items():
             if len(parts) > 1:
-                self.parts[k] = [_unique(*(np.concatenate(x) for x in zip(*parts, strict=True)))[:2]]
+                self.parts[k] = [_unique(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
         self.size = sum(len(p[0][0]) for p in self.parts.values() if p)
 
-    def take(self) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    def take(self, ranges: int) -> Iterator[pa.RecordBatch]:
+        """All counts, a row for each number of words and range of hashes; the hash itself follows from the parts."""
         self.merge()
-        out = [(k, *p[0]) for k, p in self.parts.items() if p]
+        for k, parts in self.parts.items():
+            for keys, c in parts:
+                bits = np.uint64(64 - ranges.bit_length() + 1)
+                at = (keys[:, 0] >> bits).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
+                edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
+                kept = keys[:, [0, 3]] if k < 2 else keys[:, 1:]
+                pairs = list(zip(edges[:-1], edges[1:], strict=True))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(at[edges[:-1]]), pa.array(np.full(len(pairs), k, np.int32)), pa.array([kept[a:b].T.tobytes() for a, b in pairs], pa.binary()), pa.array([c[a:b].tobytes() for a, b in pairs], pa.binary())],
+                    ["range", "k", "keys", "counts"],
+                )
         self.__init__()
-        return out
 
 
-def _counted(k: int, h: np.ndarray, c: np.ndarray, lang: list[str] | None = None) -> pa.RecordBatch:
-    langs = pa.array(lang, pa.string()) if lang is not None else pa.nulls(len(h), pa.string())
-    return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.full(len(h), k, np.int32)), langs, pa.array(c.astype(np.int64))], ["h", "k", "lang", "c"])
+def _keys(k: int, block: Block, shorter: np.ndarray, h: np.ndarray, lang: np.ndarray, take: np.ndarray) -> np.ndarray:
+    at = np.flatnonzero(take)
+    out = np.empty((len(at), 4), np.uint64)
+    out[:, 0] = h[at]
+    out[:, 1], out[:, 2] = (0, 0) if k == 1 else (shorter[at], shorter[at + 1])
+    out[:, 3] = lang[block.row[at]]
+    return out
 
 
-def _count(filters: list, words_too: bool):
-    """(h, k, lang, c): occurrences of admitted phrases by hash, and of all words; k = 0 has the number of words of a language."""
+def _count(ranges: int, now, before, words_too: bool):
+    """Packed counts of all words and of the phrases that are admitted: both parts one word shorter pass the filter `now`.
+
+    With `before`, a filter whose members `now` has all, only what that did not admit, and what this admits in turn. Without filters everything.
+    """
 
     def run(batches):
-        bits = [f.value for f in filters]
-        tally, total = Tally(), Counter()
+        new, old = (x and x.value for x in (now, before))
+        tally = Tally()
         for batch in batches:
-            for langs, block, words in _blocks(batch):
+            for lang, block, h in _blocks(batch):
                 if words_too:
-                    for lang, n in zip(langs, block.counts.tolist(), strict=True):
-                        total[lang] += n
-                    tally.add(1, words)
-                shorter = words
+                    tally.add(1, _keys(1, block, h, h, lang, np.ones(len(h), bool)))
+                    tally.add(0, np.repeat(lang[:, None], 4, axis=1), block.counts)
+                own = np.zeros(len(h), bool)  # counted here first, so not known to the filters
                 for k in range(2, LONGEST + 1):
-                    whole = block.whole(k)
-                    take = _admitted(bits, shorter, whole) if bits else whole  # a sample has no filter yet
-                    shorter = block.longer(shorter, words, k)
-                    tally.add(k, shorter[take])
+                    take, n = block.whole(k), max(len(h) - 1, 0)
+                    if new is not None:
+                        member = passes(new, h) | own
+                        take = take & member[:n] & member[1:]
+                    if old is not None:
+                        known = passes(old, h)
+                        take = take & ~(known[:n] & known[1:])
+                        own = take
+                    shorter, h = h, block.longer(h)
+                    tally.add(k, _keys(k, block, shorter, h, lang, take))
+                    if old is None:
+                        own = np.zeros(len(h), bool)
                 if tally.size > HELD:
                     tally.merge()
                 if tally.size > HELD // 2:
-                    yield from (_counted(*x) for x in tally.take())
-        yield from (_counted(*x) for x in tally.take())
-        yield _counted(0, np.zeros(len(total), np.uint64), np.array(list(total.values()), np.int64), list(total))
+                    yield from tally.take(ranges)
+        yield from tally.take(ranges)
 
     return run
 
 
-def _spell(frequent, most: int = HELD // 2):
-    """(lang, k, phrase, c): occurrences by text of the phrases whose hashes pass the filter."""
+FREQUENT = "h long, k int, p long, s long, g long, a long"
 
-    def run(batches):
-        tally, names = Tally(), {}
 
-        def out():
-            for k, h, c in tally.take():
-                found = [names[x] for x in h.tolist()]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([f[0] for f in found], pa.string()), pa.array(np.full(len(h), k, np.int32)), pa.array([f[1] for f in found], pa.binary()).cast(pa.string()), pa.array(c.astype(np.int64))],
-                    ["lang", "k", "phrase", "c"],
-                )
-            names.clear()
+def _frequent(least: int):
+    """Phrases of a range of hashes with `least` occurrences."""
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        out = []
+        for k in range(LONGEST + 1):
+            keys, counts = [], []
+            for of, packed, c in zip(rows["k"].to_pylist(), rows["keys"], rows["counts"], strict=True):
+                if of == k:
+                    raw = np.frombuffer(packed.as_py(), np.uint64).reshape(2 if k < 2 else 3, -1).T
+                    full = np.zeros((len(raw), 4), np.uint64)
+                    full[:, 3] = raw[:, -1]
+                    if k > 1:
+                        full[:, 1:3] = raw[:, :2]
+                    full[:, 0] = raw[:, 0] if k < 2 else mix64(raw[:, 0] * _TURN + raw[:, 1])
+                    keys.append(full)
+                    counts.append(np.frombuffer(c.as_py(), np.int64))
+            if keys:
+                once, c = _unique(np.concatenate(keys), np.concatenate(counts))
+                often = (c >= least) | (k == 0)
+                once, c = once[often].view(np.int64), c[often]
+                out.append((once[:, 0], np.full(len(once), k, np.int32), once[:, 1], once[:, 2], once[:, 3], c))
+        cols = [np.concatenate(x) for x in zip(*out, strict=True)]
+        return pa.table([pa.array(np.ascontiguousarray(c)) for c in cols], names=["h", "k", "p", "s", "g", "a"])
 
+    return run
+
+
+def _spell(wanted):
+    """(h, phrase) of the phrases whose hashes pass the filter, and of all languages, once in each batch."""
+
+    def run(batches):
         for batch in batches:
-            for langs, block, words in _blocks(batch):
-                h = words
+            names: dict[tuple[int, int], bytes] = {(_lang_hash(x) - (1 << 64) * (_lang_hash(x) >> 63), 0): x.encode() for x in set(batch.column("lang").to_pylist())}
+            for _, block, h in _blocks(batch):
                 for k in range(1, LONGEST + 1):
-                    if k > 1:
-                        h = block.longer(h, words, k)
-                    at = np.flatnonzero(block.whole(k) & passes(frequent.value, h)) if len(h) else h
-                    tally.add(k, h[at])
-                    once, _, first = _unique(h[at], None)
-                    for x, i in zip(once.tolist(), at[first].tolist(), strict=True):
-                        if x not in names:
-                            names[x] = (langs[block.row[i]], block.phrase(i, k))
-                if len(names) > most:
-                    yield from out()
-                elif tally.size > 2 * most:
-                    tally.merge()
-        yield from out()
+                    h = block.longer(h) if k > 1 else h
+                    at = np.flatnonzero(passes(wanted.value, h) & block.whole(k))
+                    for x, i in zip(h[at].view(np.int64).tolist(), at.tolist(), strict=True):
+                        if (x, k) not in names:
+                            names[x, k] = block.phrase(i, k)
+            hashes, sizes = (pa.array(c, t) for c, t in zip(zip(*names, strict=True), (pa.int64(), pa.int32()), strict=True)) if names else (pa.array([], pa.int64()), pa.array([], pa.int32()))
+            yield pa.RecordBatch.from_arrays([hashes, sizes, pa.array(list(names.values()), pa.binary()).cast(pa.string())], ["h", "k", "phrase"])
 
     return run
 
@@ -210,75 +243,85 @@ def _admits(bits):
     return admits
 
 
-def frequent_phrases(docs: DataFrame, least: int = LEAST, sample: int = SAMPLE, low: int = LOW, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame, int]:
-    """((lang, k, phrase, a) of all phrases of up to `LONGEST` words with `least` occurrences, (lang, n), passes).
+def prepared(docs: DataFrame) -> DataFrame:
+    """Language and whole text as bytes; a null language is `und`, a null text empty."""
+    return with_bytes(docs, F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
 
-    docs: lang and text; a null lang is `und`, a null text empty. The sample's size and threshold tell how many passes are
-    needed, never which phrases are found.
-    """
-    spark = docs.sparkSession
-    rows = with_bytes(docs, F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"))
-    broadcast = spark.sparkContext.broadcast
 
-    def counts(part: DataFrame, filters: list, words_too: bool) -> DataFrame:
-        return part.mapInArrow(_count(filters, words_too), "h long, k int, lang string, c long").groupBy("h", "k", "lang").agg(F.sum("c").alias("c"))
+def frequent_phrases(rows: DataFrame, least: int = LEAST, sample: int = SAMPLE, low: int = LOW, filter_bits: int = FILTER_BITS) -> tuple[DataFrame, int]:
+    """((h, k, p, s, g, a) of all phrases of up to `LONGEST` words with `least` occurrences, passes over all rows).
 
-    def filter_of(found: DataFrame):
-        return broadcast(bit_filter(found, F.col("h"), filter_bits))
+    rows: from `prepared`. p and s are the hashes of the parts without the last and without the first word, g that of the
+    language; k = 0 has each language with its number of words. The
+    sample's size and threshold tell how many passes are needed, never which phrases are found.
+    """
+    # a power of two, in proportion to the input, so that what meets in one range stays small
+    ranges = 1 << (rows.rdd.getNumPartitions() * RANGES).bit_length()
 
-    proposed = counts(rows.where(F.pmod(F.xxhash64("lang", BODY), F.lit(sample)) == 0), [], True)
-    filters = [filter_of(proposed.where((F.col("k") > 0) & (F.col("k") < LONGEST) & (F.col("c") >= low)))]
-    found = [materialize(counts(rows, filters, True).where((F.col("c") >= least) | (F.col("k") == 0)))]
-    n = found[0].where("k = 0").select("lang", F.col("c").alias("n"))
-    while True:
-        every = found[0].where("k > 0")
-        for f in found[1:]:
-            every = every.unionByName(f)
-        # frequent phrases that the last filter does not have: what they admit has not been counted
-        if every.where((F.col("k") < LONGEST) & ~_admits(filters[-1])("h")).isEmpty():
-            break
-        filters.append(filter_of(every.where(F.col("k") < LONGEST)))
-        found.append(materialize(counts(rows, filters, False).where((F.col("c") >= least) & (F.col("k") > 0))))
-    named = rows.mapInArrow(_spell(filter_of(every)), "lang string, k int, phrase string, c long").groupBy("lang", "k", "phrase").agg(F.sum("c").alias("a"))
-    phrases = materialize(named.where(F.col("a") >= least))
-    discard(*found[1:])
-    return phrases, n, len(found)
+    def counts(part: DataFrame, now, before, words_too: bool, most: int) -> DataFrame:
+        packed = part.mapInArrow(_count(ranges, now, before, words_too), "range long, k int, keys binary, counts binary")
+        return packed.groupBy("range").applyInArrow(_frequent(most), FREQUENT)
 
+    def filter_of(found: DataFrame) -> np.ndarray:
+        return bit_filter(found.where(F.col("k").between(1, LONGEST - 1)), F.col("h"), filter_bits)
 
-def _sub(first: Column, size: Column) -> Column:
-    """`size` words of `_words` from number `first` (from 1) on."""
-    return F.array_join(F.slice("_words", first, size), " ")
+    broadcast = rows.sparkSession.sparkContext.broadcast
+    proposed = counts(rows.where(F.pmod(F.xxhash64("lang", BODY), F.lit(sample)) == 0), None, None, True, low)
+    bits = filter_of(proposed)
+    now = broadcast(bits)
+    found = [materialize(counts(rows, now, None, True, least))]
+    while True:
+        every = reduce(DataFrame.unionByName, found)
+        # frequent phrases that the filter does not have: what they admit has not been counted
+        failed = found[-1].where(F.col("k").between(1, LONGEST - 1) & ~_admits(now)("h"))
+        # after a further pass these are phrases that it counted, with all that they admit
+        if len(found) > 1 or failed.isEmpty():
+            return every, len(found)
+        bits = bits | filter_of(failed)
+        before, now = now, broadcast(bits)
+        found.append(materialize(counts(rows, now, before, False, least)))
 
 
-def _with_count(side: DataFrame, phrases: DataFrame, part: str, size: str, name: str) -> DataFrame:
-    """side with the count of the phrase in column `part`, of as many words as column `size` says.
+def _with_part(side: DataFrame, shorter: DataFrame, part: str, k: int, **values: str) -> DataFrame:
+    """side with values of the phrase whose hash is in column `part`.
 
-    One word may begin or end a great share of the phrases: short phrases stand `FAN` times in the table, and each row meets one.
+    A word may begin or end a great share of the phrases, so short phrases stand `FAN` times in the table, and each row meets one.
     """
-    fan = lambda k: F.when(k == 1, FAN[1]).when(k == 2, FAN[2]).otherwise(1)
-    salted = phrases.where(F.col("k") < LONGEST).select("lang", F.col("phrase").alias(part), F.col("a").alias(name), F.explode(F.sequence(F.lit(0), fan(F.col("k")) - 1)).alias("_salt"))
-    return side.withColumn("_salt", F.pmod(F.xxhash64("phrase"), fan(F.col(size))).cast("int")).join(salted, ["lang", part, "_salt"]).drop("_salt")
+    fan = FAN[k - 2]
+    copies = F.explode(F.sequence(F.lit(0), F.lit(fan - 1))).alias("_salt")
+    table_ = shorter.select(F.col("h").alias(part), *(F.col(c).alias(name) for name, c in values.items()), copies)
+    return side.withColumn("_salt", F.pmod(F.xxhash64("h"), F.lit(fan)).cast("int")).join(table_, [part, "_salt"]).drop("_salt")
 
 
 def scored(phrases: DataFrame) -> DataFrame:
-    """(lang, phrase, k, a, l, r, score) of the phrases of two words or more: their cut of the least score, then the first."""
-    cuts = phrases.where("k > 1").withColumn("_words", F.split("phrase", " ")).withColumn("_cut", F.explode(F.sequence(F.lit(1), F.col("k") - 1)))
-    cuts = cuts.select("lang", "phrase", "k", "a", "_cut", (F.col("k") - F.col("_cut")).alias("_rest"), _sub(F.lit(1), F.col("_cut")).alias("_left"), _sub(F.col("_cut") + 1, F.col("k") - F.col("_cut")).alias("_right"))
-    both = _with_count(_with_count(cuts, phrases, "_left", "_cut", "l"), phrases, "_right", "_rest", "r")
+    """(h, g, k, a, l, r, score) of the phrases of two words or more: their cut of the least score, then the first."""
+    none = F.array().cast("array<long>")
+    level = phrases.where("k = 1").withColumn("firsts", none).withColumn("lasts", none)
+    out = None
+    for k in range(2, LONGEST + 1):
+        own = _with_part(phrases.where(F.col("k") == k), level, "p", k, _pa="a", _firsts="firsts")
+        own = _with_part(own, level, "s", k, _sa="a", _lasts="lasts")
+        # counts of the first 1, 2, .. words, and of the last ones
+        firsts, lasts = F.concat("_firsts", F.array("_pa")), F.concat("_lasts", F.array("_sa"))
+        level = materialize(own.select(*phrases.columns, firsts.alias("firsts"), lasts.alias("lasts")))
+        out = level if out is None else out.unionByName(level)
+    cut = F.struct(F.col("_j").alias("j"), F.element_at("firsts", F.col("_j")).alias("l"), F.element_at("lasts", F.col("k") - F.col("_j")).alias("r"))
+    cuts = out.select("h", "g", "k", "a", "firsts", "lasts", F.explode(F.sequence(F.lit(1), F.col("k") - 1)).alias("_j")).select("h", "g", "k", "a", cut.alias("_c"))
     # products may pass 64 bits
-    score = F.expr("(cast(a as decimal(20,0)) * 2000000BD) div (cast(l as decimal(20,0)) + r)").cast("long")
-    least = F.min(F.struct(score.alias("score"), "_cut", "l", "r"))
-    return both.groupBy("lang", "phrase", "k", "a").agg(least.alias("_c")).select("lang", "phrase", "k", "a", "_c.l", "_c.r", "_c.score")
+    score = F.expr("(cast(a as decimal(20,0)) * 2000000BD) div (cast(_c.l as decimal(20,0)) + _c.r)").cast("long")
+    best = cuts.groupBy("h", "g", "k", "a").agg(F.min(F.struct(score.alias("score"), F.col("_c.j"), F.col("_c.l"), F.col("_c.r"))).alias("_b"))
+    return best.select("h", "g", "k", "a", "_b.l", "_b.r", "_b.score")
 
 
 def uncovered(candidates: DataFrame, phrases: DataFrame, cover: int = COVER) -> DataFrame:
-    """candidates but those that lie in a longer phrase of at least `cover` percent of their count."""
-    size = F.explode(F.sequence(F.lit(2), F.col("k") - 1)).alias("_size")
-    inner = phrases.where("k > 2").select("lang", "k", "a", F.split("phrase", " ").alias("_words"), size)
-    inner = inner.withColumn("_at", F.explode(F.sequence(F.lit(1), F.col("k") - F.col("_size") + 1)))
-    most = inner.select("lang", _sub(F.col("_at"), F.col("_size")).alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("_most"))
+    """candidates but those that lie in a longer phrase of at least `cover` percent of their count.
+
+    Of the longer phrases that hold one, those of one word more occur most.
+    """
+    longer = phrases.where("k > 2")
+    most = longer.select(F.col("p").alias("h"), "a").unionByName(longer.select(F.col("s").alias("h"), "a")).groupBy("h").agg(F.max("a").alias("_most"))
     wide = lambda c, by: F.col(c).cast("decimal(20,0)") * by
-    return candidates.join(most, ["lang", "phrase"], "left").where(F.col("_most").isNull() | (wide("_most", 100) < wide("a", cover))).drop("_most")
+    return candidates.join(most, "h", "left").where(F.col("_most").isNull() | (wide("_most", 100) < wide("a", cover))).drop("_most")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, cover: int = COVER, sample: int = SAMPLE, low: int = LOW, filter_bits: int = FILTER_BITS) -> DataFrame:
@@ -287,10 +330,17 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, cover: int
     docs: lang (null: `und`) and text (null: empty); other columns are ignored. Repeated rows count each time, texts are
     counted whole, an empty table gives no rows. Ties end with the phrase, in byte order, so no two rows are alike.
     """
-    phrases, n, _ = frequent_phrases(docs.select("lang", "text"), least, sample, low, filter_bits)
-    best = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    ranked = uncovered(scored(phrases), phrases, cover).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top)
-    return ranked.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+    rows = prepared(docs)
+    phrases, _ = frequent_phrases(rows, least, sample, low, filter_bits)
+    by = [F.desc("score"), F.desc("a")]
+    # those that tie for the last place are spelled out as well
+    best = uncovered(scored(phrases), phrases, cover).withColumn("_rank", F.rank().over(Window.partitionBy("g").orderBy(*by)))
+    best = materialize(best.where(F.col("_rank") <= top))
+    wanted = rows.sparkSession.sparkContext.broadcast(bit_filter(best, F.col("h"), filter_bits))
+    names = materialize(rows.mapInArrow(_spell(wanted), "h long, k int, phrase string").groupBy("h", "k").agg(F.min("phrase").alias("phrase")))
+    langs = phrases.where("k = 0").select("g", F.col("a").alias("n")).join(names.where("k = 0").select(F.col("h").alias("g"), F.col("phrase").alias("lang")), "g")
+    ranked = best.join(names.where("k > 0").select("h", "phrase"), "h").withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(*by, "phrase"))).where(F.col("rank") <= top)
+    return ranked.join(langs, "g").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
 def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
