@@ -122,23 +122,38 @@ class Tally:
                 self.parts[k] = [_unique(*(np.concatenate(x) for x in zip(*parts, strict=True)))]
         self.size = sum(len(p[0][0]) for p in self.parts.values() if p)
 
-    def take(self, ranges: int) -> Iterator[pa.RecordBatch]:
-        """All counts, a row for each number of words and range of hashes; the hash itself follows from the parts."""
+    def take(self, ranges: int, slim: bool) -> Iterator[pa.RecordBatch]:
+        """All counts, a row for each number of words and range of hashes.
+
+        keys: the hashes of both parts, from which the phrase's own follows; of words, and where slim, its own hash.
+        """
         self.merge()
+        bits = np.uint64(64 - ranges.bit_length() + 1)
         for k, parts in self.parts.items():
             for keys, c in parts:
-                bits = np.uint64(64 - ranges.bit_length() + 1)
                 at = (keys[:, 0] >> bits).astype(np.int64) if ranges > 1 else np.zeros(len(keys), np.int64)
                 edges = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]]))
-                kept = keys[:, [0, 3]] if k < 2 else keys[:, 1:]
+                langs, lang = np.unique(keys[:, 3], return_inverse=True)
+                kept = keys[:, :1] if slim or k < 2 else keys[:, 1:3]
                 pairs = list(zip(edges[:-1], edges[1:], strict=True))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(at[edges[:-1]]), pa.array(np.full(len(pairs), k, np.int32)), pa.array([kept[a:b].T.tobytes() for a, b in pairs], pa.binary()), pa.array([c[a:b].tobytes() for a, b in pairs], pa.binary())],
-                    ["range", "k", "keys", "counts"],
-                )
+                packed = [[kept[a:b].T.tobytes() for a, b in pairs], [_narrow(c[a:b]) for a, b in pairs], [b"" if slim else _narrow(lang[a:b]) for a, b in pairs], [b"" if slim else langs.tobytes()] * len(pairs)]
+                yield pa.RecordBatch.from_arrays([pa.array(at[edges[:-1]]), pa.array(np.full(len(pairs), k, np.int32)), *(pa.array(x, pa.binary()) for x in packed)], PACKED)
         self.__init__()
 
 
+PACKED = ["range", "k", "keys", "counts", "lang", "langs"]
+
+
+def _narrow(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 as bytes, each of the width that the greatest needs."""
+    most = int(x.max(initial=0))
+    return x.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64).tobytes()
+
+
+def _wide(packed: bytes, n: int) -> np.ndarray:
+    return np.frombuffer(packed, f"u{len(packed) // n}").astype(np.int64)
+
+
 def _keys(k: int, block: Block, shorter: np.ndarray, h: np.ndarray, lang: np.ndarray, take: np.ndarray) -> np.ndarray:
     at = np.flatnonzero(take)
     out = np.empty((len(at), 4), np.uint64)
@@ -148,7 +163,7 @@ def _keys(k: int, block: Block, shorter: np.ndarray, h: np.ndarray, lang: np.nda
     return out
 
 
-def _count(ranges: int, now, before, words_too: bool):
+def _count(ranges: int, now, before, words_too: bool, slim: bool = False):
     """Packed counts of all words and of the phrases that are admitted: both parts one word shorter pass the filter `now`.
 
     With `before`, a filter whose members `now` has all, only what that did not admit, and what this admits in turn. Without filters everything.
@@ -179,8 +194,8 @@ def _count(ranges: int, now, before, words_too: bool):
                 if tally.size > HELD:
                     tally.merge()
                 if tally.size > HELD // 2:
-                    yield from tally.take(ranges)
-        yield from tally.take(ranges)
+                    yield from tally.take(ranges, slim)
+        yield from tally.take(ranges, slim)
 
     return run
 
@@ -188,23 +203,24 @@ def _count(ranges: int, now, before, words_too: bool):
 FREQUENT = "h long, k int, p long, s long, g long, a long"
 
 
-def _frequent(least: int):
-    """Phrases of a range of hashes with `least` occurrences."""
+def _frequent(least: int, slim: bool = False):
+    """Phrases of a range of hashes with `least` occurrences, and all languages; slim: of phrases the hash and count only."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         out = []
         for k in range(LONGEST + 1):
             keys, counts = [], []
-            for of, packed, c in zip(rows["k"].to_pylist(), rows["keys"], rows["counts"], strict=True):
+            for of, *packed in zip(*(rows[c].to_pylist() for c in PACKED[1:]), strict=True):
                 if of == k:
-                    raw = np.frombuffer(packed.as_py(), np.uint64).reshape(2 if k < 2 else 3, -1).T
-                    full = np.zeros((len(raw), 4), np.uint64)
-                    full[:, 3] = raw[:, -1]
-                    if k > 1:
-                        full[:, 1:3] = raw[:, :2]
-                    full[:, 0] = raw[:, 0] if k < 2 else mix64(raw[:, 0] * _TURN + raw[:, 1])
+                    raw = np.frombuffer(packed[0], np.uint64).reshape(1 if slim or k < 2 else 2, -1)
+                    full = np.zeros((raw.shape[1], 4), np.uint64)
+                    full[:, 0] = raw[0] if len(raw) == 1 else mix64(raw[0] * _TURN + raw[1])
+                    if len(raw) == 2:
+                        full[:, 1:3] = raw.T
+                    if not slim:
+                        full[:, 3] = np.frombuffer(packed[3], np.uint64)[_wide(packed[2], len(full))]
                     keys.append(full)
-                    counts.append(np.frombuffer(c.as_py(), np.int64))
+                    counts.append(_wide(packed[1], len(full)))
             if keys:
                 once, c = _unique(np.concatenate(keys), np.concatenate(counts))
                 often = (c >= least) | (k == 0)
@@ -258,15 +274,15 @@ def frequent_phrases(rows: DataFrame, least: int = LEAST, sample: int = SAMPLE,
     # a power of two, in proportion to the input, so that what meets in one range stays small
     ranges = 1 << (rows.rdd.getNumPartitions() * RANGES).bit_length()
 
-    def counts(part: DataFrame, now, before, words_too: bool, most: int) -> DataFrame:
-        packed = part.mapInArrow(_count(ranges, now, before, words_too), "range long, k int, keys binary, counts binary")
-        return packed.groupBy("range").applyInArrow(_frequent(most), FREQUENT)
+    def counts(part: DataFrame, now, before, words_too: bool, most: int, slim: bool = False) -> DataFrame:
+        packed = part.mapInArrow(_count(ranges, now, before, words_too, slim), "range long, k int, keys binary, counts binary, lang binary, langs binary")
+        return packed.groupBy("range").applyInArrow(_frequent(most, slim), FREQUENT)
 
     def filter_of(found: DataFrame) -> np.ndarray:
         return bit_filter(found.where(F.col("k").between(1, LONGEST - 1)), F.col("h"), filter_bits)
 
     broadcast = rows.sparkSession.sparkContext.broadcast
-    proposed = counts(rows.where(F.pmod(F.xxhash64("lang", BODY), F.lit(sample)) == 0), None, None, True, low)
+    proposed = counts(rows.where(F.pmod(F.xxhash64("lang", BODY), F.lit(sample)) == 0), None, None, True, low, slim=True)
     bits = filter_of(proposed)
     now = broadcast(bits)
     found = [materialize(counts(rows, now, None, True, least))]
