@@ -207,20 +207,19 @@ def _frequent(least: int, slim: bool = False):
     """Phrases of a range of hashes with `least` occurrences, and all languages; slim: of phrases the hash and count only."""
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
+        found = {k: ([], []) for k in range(LONGEST + 1)}
+        for k, *packed in zip(*(rows[c].to_pylist() for c in PACKED[1:]), strict=True):
+            raw = np.frombuffer(packed[0], np.uint64).reshape(1 if slim or k < 2 else 2, -1)
+            full = np.zeros((raw.shape[1], 4), np.uint64)
+            full[:, 0] = raw[0] if len(raw) == 1 else mix64(raw[0] * _TURN + raw[1])
+            if len(raw) == 2:
+                full[:, 1:3] = raw.T
+            if not slim:
+                full[:, 3] = np.frombuffer(packed[3], np.uint64)[_wide(packed[2], len(full))]
+            found[k][0].append(full)
+            found[k][1].append(_wide(packed[1], len(full)))
         out = []
-        for k in range(LONGEST + 1):
-            keys, counts = [], []
-            for of, *packed in zip(*(rows[c].to_pylist() for c in PACKED[1:]), strict=True):
-                if of == k:
-                    raw = np.frombuffer(packed[0], np.uint64).reshape(1 if slim or k < 2 else 2, -1)
-                    full = np.zeros((raw.shape[1], 4), np.uint64)
-                    full[:, 0] = raw[0] if len(raw) == 1 else mix64(raw[0] * _TURN + raw[1])
-                    if len(raw) == 2:
-                        full[:, 1:3] = raw.T
-                    if not slim:
-                        full[:, 3] = np.frombuffer(packed[3], np.uint64)[_wide(packed[2], len(full))]
-                    keys.append(full)
-                    counts.append(_wide(packed[1], len(full)))
+        for k, (keys, counts) in found.items():
             if keys:
                 once, c = _unique(np.concatenate(keys), np.concatenate(counts))
                 often = (c >= least) | (k == 0)
