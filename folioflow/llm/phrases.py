@@ -31,8 +31,8 @@ LONGEST, LEAST, TOP, COVER = 4, 30, 2000, 80
 SAMPLE, LOW, FILTER_BITS = 4, 4, 26
 #: Bytes of text whose phrases are hashed at once; hashes that a task holds before it hands them on.
 BLOCK, HELD = 2_000_000, 1 << 20
-#: Ranges of hashes for each partition of the input; copies of a word that many phrases begin or end with, and of a pair.
-RANGES, FAN = 128, (32, 4, 1)
+#: Bytes of text for each range of hashes, so that what meets in one stays small; copies of a word that many phrases begin or end with, and of a pair.
+RANGE_BYTES, FAN = 4 << 20, (32, 4, 1)
 
 #: Byte -> 0 in words, 1 between words, 2 between pieces.
 _KIND = np.zeros(256, np.uint8)
@@ -270,8 +270,8 @@ def frequent_phrases(rows: DataFrame, least: int = LEAST, sample: int = SAMPLE,
     language; k = 0 has each language with its number of words. The
     sample's size and threshold tell how many passes are needed, never which phrases are found.
     """
-    # a power of two, in proportion to the input, so that what meets in one range stays small
-    ranges = 1 << (rows.rdd.getNumPartitions() * RANGES).bit_length()
+    size = rows.agg(F.sum(F.octet_length(BODY))).first()[0] or 0
+    ranges = 1 << max(5, (size // RANGE_BYTES).bit_length())
 
     def counts(part: DataFrame, now, before, words_too: bool, most: int, slim: bool = False) -> DataFrame:
         packed = part.mapInArrow(_count(ranges, now, before, words_too, slim), "range long, k int, keys binary, counts binary, lang binary, langs binary")
