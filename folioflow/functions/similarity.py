@@ -16,9 +16,7 @@ _WINDOW = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("
 
 def lcs_length(a: str, b: str) -> int:
     """Length of the longest common subsequence, one machine word or big integer for each row of the table."""
-    where: dict[str, int] = {}
-    for i, c in enumerate(a):
-        where[c] = where.get(c, 0) | 1 << i
+    where = places(a)
     full = (1 << len(a)) - 1
     row = full
     for c in b:
@@ -62,10 +60,11 @@ def _comb(phrases: np.ndarray, text: np.ndarray) -> np.ndarray:
     return cols
 
 
-def _best_window(came: np.ndarray, m: int, longest: int) -> tuple[int, int, float]:
+def _best_window(came: np.ndarray, m: int, longest: int, head: bool = True, tail: bool = True) -> tuple[int, int, float]:
     """(start, end, score) of the first best window of length m, or cut at an edge, from a phrase's strands.
 
-    The common subsequence of a window is as long as the window less the strands that come in and leave inside it.
+    The common subsequence of a window is as long as the window less the strands that come in and leave inside it. Without
+    head, or tail, the text goes on there, and no window is cut at that edge.
     """
     n = len(came)
     if not n or not m:
@@ -85,10 +84,123 @@ def _best_window(came: np.ndarray, m: int, longest: int) -> tuple[int, int, floa
     at = np.arange(1 - m, n)
     size = np.minimum(n, at + m) - np.maximum(0, at)
     score = 200.0 * (size - lost) / (m + size)
-    k = int(score.argmax())
+    lo, hi = 0 if head else m - 1, n + m - 1 if tail else n
+    k = lo + int(score[lo:hi].argmax())
     return max(0, k + 1 - m), min(n, k + 1), float(score[k])
 
 
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+
+
+def alignment_within(phrase: np.ndarray, text: np.ndarray, parts: list[tuple[int, int]]) -> tuple[int, int, float]:
+    """(start, end, score) of the first best window that lies in one of the parts of the text; only windows at its edges are cut."""
+    best = (0, 0, 0.0)
+    for a, b in parts:
+        came = _comb(phrase[::-1, None], text[a:b])[:, 0]
+        s, e, score = _best_window(came, len(phrase), len(phrase), a == 0, b == len(text))
+        if score > best[2]:
+            best = (a + s, a + e, score)
+    return best
+
+
+class Bounds:
+    """How much any window of a text can be like each of some phrases, from the characters, and pairs of them, that they share.
+
+    Of a phrase of m characters a window of w shares a subsequence of L. L is at most the characters that both have. The
+    m + w - 2L that are not in it split it into at most one run more, and each run of r has r - 1 pairs, so both have
+    B >= 3L - m - w - 1 pairs. Scores are adjusted, so a window cut at an edge has at most 100 L / m as well.
+    """
+
+    STEP = 8
+
+    def __init__(self, phrases: list[str]):
+        codes = [codes_of(p).astype(np.int64) for p in phrases]
+        self.sizes = np.array([len(c) for c in codes], np.int64)
+        self.ones = np.unique(np.concatenate([np.zeros(0, np.int64), *codes]))
+        self.counts = np.zeros((len(phrases), len(self.ones)), np.int32)
+        for i, c in enumerate(codes):
+            np.add.at(self.counts[i], np.searchsorted(self.ones, c), 1)
+        pairs = [self._pairs(c) for c in codes]
+        self.twos = np.unique(np.concatenate([np.zeros(0, np.int64), *pairs]))
+        self.pairs = [np.unique(np.searchsorted(self.twos, p), return_counts=True) for p in pairs]
+
+    @staticmethod
+    def _pairs(codes: np.ndarray) -> np.ndarray:
+        return codes[:-1] << 21 | codes[1:]
+
+    def _sums(self, known: np.ndarray, found: np.ndarray, blocks: int) -> np.ndarray:
+        """(grams, blocks + 1): how often each known gram stands before each block of STEP places."""
+        out = np.zeros((len(known), blocks + 1), np.int32)
+        if len(known) and len(found):
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            hit = known[at] == found
+            flat = at[hit] * blocks + np.flatnonzero(hit) // self.STEP
+            out[:, 1:] = np.bincount(flat, minlength=len(known) * blocks).reshape(len(known), blocks)
+            np.cumsum(out, axis=1, out=out)
+        return out
+
+    def of(self, text: np.ndarray, chosen: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+        """(chosen, blocks): the most that a window that starts in each block of STEP places can score, in percent; and shares of common pairs.
+
+        Where characters alone rule a phrase out, pairs are not looked at.
+        """
+        codes = text.astype(np.int64)
+        blocks = max(1, -(-len(codes) // self.STEP))
+        sums = self._sums(self.ones, codes, blocks)
+        first = np.arange(blocks)
+        sizes = self.sizes[chosen]
+        # a window that starts anywhere in a block ends so many blocks later at most
+        reach = (sizes + self.STEP - 2) // self.STEP + 1
+        out, alike = np.zeros((len(chosen), blocks)), np.zeros(len(chosen))
+        for r in np.unique(reach):
+            own = np.flatnonzero(reach == r)
+            here = sums[:, np.minimum(first + r, blocks)] - sums[:, :blocks]
+            used = self.counts[chosen[own]]
+            some = np.flatnonzero(used.any(axis=0))
+            shared = np.minimum(here[None, some], used[:, some, None]).sum(axis=1)
+            out[own] = 100.0 * shared / sizes[own, None]
+        near = np.flatnonzero(out.max(axis=1, initial=0) >= least)
+        sums = self._sums(self.twos, self._pairs(codes), blocks) if len(near) else sums
+        for i in near.tolist():
+            grams, counts = self.pairs[chosen[i]]
+            own = sums[grams]
+            shared = np.minimum(own[:, np.minimum(first + reach[i], blocks)] - own[:, :blocks], counts[:, None]).sum(axis=0)
+            m = int(sizes[i])
+            alike[i] = shared.max() / m
+            out[i] = np.minimum(out[i], 100.0 * ((shared + 2 * m + 1) / 3) / m)
+        return out, alike
+
+
+def places(text: str) -> dict[str, int]:
+    """The places of each character, as bits."""
+    where: dict[str, int] = {}
+    for i, c in enumerate(text):
+        where[c] = where.get(c, 0) | 1 << i
+    return where
+
+
+def may_hold(where: dict[str, int], m: int, text: str, parts: list[tuple[int, int]], least: float) -> list[tuple[int, int]]:
+    """Of parts of the text, those of a phrase's length and a half, or less, that may hold a window that scores `least`.
+
+    A window shares no longer a subsequence than what it lies in, so a part is halved only where all of it shares enough.
+    """
+    full, out, todo = (1 << m) - 1, [], parts[::-1]
+    while todo:
+        a, b = todo.pop()
+        row = full
+        for c in text[a:b]:
+            u = row & where.get(c, 0)
+            row = ((row + u) | (row - u)) & full
+        if 100.0 * (m - row.bit_count()) / m >= least:
+            if m < 4 or 2 * (b - a) <= 3 * m:
+                out.append((a, b))
+            else:
+                s = (a + b - m) // 2
+                todo += [(s + 1, b), (a, s + m)]
+    return out
+
+
 def alignments(phrases: list[str], text: str, least: float = 0.0) -> list[tuple[int, int, float]]:
     """(start, end, score) of the window of text most like each phrase: of its length, or cut at an edge; the first best.
 
@@ -104,13 +216,13 @@ def alignments(phrases: list[str], text: str, least: float = 0.0) -> list[tuple[
         if p and text and 200.0 * common / (len(p) + common) >= least:
             todo.append(i)
     todo.sort(key=lambda i: len(phrases[i]))
-    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.int32)
+    codes = codes_of(text)
     while todo:
         longest = len(phrases[todo[-1]])
         part, todo = todo[-max(1, CELLS // longest) :], todo[: -max(1, CELLS // longest)]
         grid = np.full((longest, len(part)), -1, np.int32)
         for k, i in enumerate(part):
-            grid[longest - len(phrases[i]) :, k] = np.frombuffer(phrases[i].encode("utf-32-le", "surrogatepass"), np.int32)[::-1]
+            grid[longest - len(phrases[i]) :, k] = codes_of(phrases[i])[::-1]
         came = _comb(grid, codes)
         for k, i in enumerate(part):
             out[i] = _best_window(came[:, k], len(phrases[i]), longest)
@@ -125,11 +237,14 @@ def alignment(phrase: str, text: str, least: float = 0.0) -> tuple[int, int, flo
 def adjusted_alignments(phrases: list[str], text: str, least: float = 0.0) -> list[tuple[int, int, float]]:
     """Alignment scores times min(L/m, m/L) for L the phrase's and m the window's length; 0 where 1.5 * text < phrase."""
     fits = [p if 1.5 * len(text) >= len(p) and 100.0 * len(text) >= least * len(p) - 1e-6 else "" for p in phrases]
-    out = []
-    for p, (s, e, score) in zip(phrases, alignments(fits, text, least), strict=True):
-        m = e - s
-        out.append((s, e, score * min(len(p) / m, m / len(p))) if m else (0, 0, 0.0))
-    return out
+    return [adjusted(len(p), found) for p, found in zip(phrases, alignments(fits, text, least), strict=True)]
+
+
+def adjusted(size: int, found: tuple[int, int, float]) -> tuple[int, int, float]:
+    """An alignment's score times min(L/m, m/L) for a phrase of `size` characters."""
+    s, e, score = found
+    m = e - s
+    return (s, e, score * min(size / m, m / size)) if m else (0, 0, 0.0)
 
 
 def adjusted_alignment(phrase: str, text: str, least: float = 0.0) -> tuple[int, int, float]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
 from math import ceil
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from folioflow.functions.similarity import adjusted_alignments, ratio
+from folioflow.functions.similarity import Bounds, adjusted, adjusted_alignments, alignment_within, codes_of, may_hold, places, ratio
 from folioflow.functions.text import blank, collapsed, ngrams, tokenize
 from folioflow.operators.islands import greedy_pairs, ordered
 from folioflow.operators.lineage import checkpointed, spread
@@ -298,6 +298,11 @@ class PhrasePack:
                     where.setdefault(g, []).append(i)
         self.where = {g: np.array(x, np.int64) for g, x in where.items()}
 
+        self.bounds = Bounds(texts)
+        self.codes, self.places = [codes_of(t) for t in texts], [places(t) for t in texts]
+        #: Cells of phrase by text that were combed, and all that there are.
+        self.combed = self.cells = 0
+
     def best(self, text: str, scorer) -> tuple | None:
         """(key, start, end, score) of the best phrase that reaches the cutoff."""
         shared = np.zeros(len(self.keys), np.int64)
@@ -305,9 +310,57 @@ class PhrasePack:
             if g in self.where:
                 shared[self.where[g]] += 1
         at = np.flatnonzero(shared >= self.least)
-        found = scorer([self.texts[i] for i in at], text, self.cutoff) if len(at) else []
-        k = max(range(len(found)), key=lambda i: found[i][2], default=None)
-        return None if k is None or found[k][2] < self.cutoff else (self.keys[at[k]], *found[k])
+        self.cells += len(text) * int(self.bounds.sizes.sum())
+        found = self._bounded(text, at) if scorer is adjusted_alignments and self.cutoff > 0 else dict(zip(at.tolist(), scorer([self.texts[i] for i in at], text, self.cutoff) if len(at) else [], strict=True))
+        k = min(found, key=lambda i: (-found[i][2], i), default=None)
+        return None if k is None or found[k][2] < self.cutoff else (self.keys[k], *found[k])
+
+    def _bounded(self, text: str, at: np.ndarray) -> dict[int, tuple[int, int, float]]:
+        """Alignments by phrase, without phrases that are worse than the best: likely ones first, and of others only what may reach that."""
+        n, step = len(text), self.bounds.STEP
+        at = at[1.5 * n >= self.bounds.sizes[at]] if n else at[:0]
+        if not len(at):
+            return {}
+        codes = codes_of(text)
+        bound, alike = self.bounds.of(codes, at, self.cutoff - 1e-6)
+        most = bound.max(axis=1)
+        out: dict[int, tuple[int, int, float]] = {}
+        best, todo, take = self.cutoff, np.argsort(-alike, kind="stable"), 1
+        while len(todo):
+            todo = todo[most[todo] >= best - 1e-6]
+            batch, todo, take = todo[:take].tolist(), todo[take:], min(2 * take, 32)
+            whole = []
+            for i in batch:
+                m, k = int(self.bounds.sizes[at[i]]), int(at[i])
+                parts = joined((b * step, min(n, (b + 1) * step + m - 1)) for b in np.flatnonzero(bound[i] >= best - 1e-6).tolist())
+                # a low score is reached nearly everywhere
+                if best >= 70 and take > 2:
+                    parts = may_hold(self.places[k], m, text, parts, best - 1e-6)
+                if not parts:
+                    continue
+                # the best window, before it is adjusted, may be one that is cut at an edge
+                parts = joined([(0, min(n, m + 1)), *parts, (max(0, n - m - 1), n)])
+                size = sum(b - a for a, b in parts)
+                if m >= n or 2 * size > n:
+                    whole.append(k)
+                    self.combed += m * n
+                else:
+                    out[k] = adjusted(m, alignment_within(self.codes[k], codes, parts))
+                    self.combed += m * size
+            out |= zip(whole, adjusted_alignments([self.texts[k] for k in whole], text, best - 1e-6), strict=True)
+            best = max([best, *(out[int(at[i])][2] for i in batch if int(at[i]) in out)])
+        return out
+
+
+def joined(parts: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Half-open parts in order, those that overlap as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(parts):
+        if out and a < out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
 
 
 def phrase_packs(phrases: DataFrame, key: str = "id", text: str = "text", cutoff: float = 75.0, blocking: bool = True, pack_chars: int = PACK_CHARS) -> list:
@@ -331,7 +384,8 @@ def with_best(segments: DataFrame, packs: list, text: str, key_type: T.DataType,
                 rows = [pack.value.best(t, scorer) for t in texts.to_pylist()]
                 yield pa.array([r and dict(zip(("key", "start", "end", "score"), r, strict=True)) for r in rows], arrow)
 
-        return best(F.coalesce(F.col(text), F.lit("")))
+        # taken for deterministic, it would be computed anew by each filter on its result
+        return best.asNondeterministic()(F.coalesce(F.col(text), F.lit("")))
 
     out = None
     for pack in packs:
