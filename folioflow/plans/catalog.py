@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from folioflow.functions import geometry as G
 from folioflow.functions import text as X
 from folioflow.functions.similarity import indel_ratio, partial_alignment, seq_ratio
+from folioflow.functions.tables import register
 from folioflow.operators import joins as J
 from folioflow.operators import layout as L
 from folioflow.operators import match as M
@@ -115,12 +116,25 @@ def f1_apply_fix_rules(t):
     return t("documents").select("doc_id", F.md5(X.apply_fix_rules(F.col("text"), RULES)).alias("fixed"))
 
 
-@query("""SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'rubric' ELSE 'text' END AS kind, md5(CASE WHEN turn % 2 = 0 THEN trim(text, ' ' || chr(10)) ELSE text END) AS part FROM conversations WHERE trim(text, ' ' || chr(10)) <> ''
-UNION ALL SELECT conv_id, turn, 'function', md5(role) FROM conversations""")
+_MARKUP_SQL = """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'rubric' ELSE 'text' END AS kind, md5(CASE WHEN turn % 2 = 0 THEN trim(text, ' ' || chr(10)) ELSE text END) AS part FROM conversations WHERE trim(text, ' ' || chr(10)) <> ''
+UNION ALL SELECT conv_id, turn, 'function', md5(role) FROM conversations"""
+
+
+def _marked(t) -> DataFrame:
+    shown = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<red>"), "text", F.lit("</red>"))).otherwise(F.col("text"))
+    return t("conversations").select("conv_id", "turn", F.concat(shown, F.lit("⏎<func> "), "role", F.lit("</func>")).alias("marked"))
+
+
+@query(_MARKUP_SQL)
 def f2_parse_markup(t):
-    c = t("conversations")
-    marked = F.concat(F.when(F.col("turn") % 2 == 0, F.concat(F.lit("<red>"), "text", F.lit("</red>"))).otherwise(F.col("text")), F.lit("⏎<func> "), "role", F.lit("</func>"))
-    return c.select("conv_id", "turn", F.explode(X.parse_markup(marked)).alias("x")).select("conv_id", "turn", "x.kind", F.md5("x.text").alias("part"))
+    return _marked(t).select("conv_id", "turn", F.explode(X.parse_markup(F.col("marked"))).alias("x")).select("conv_id", "turn", "x.kind", F.md5("x.text").alias("part"))
+
+
+@query(_MARKUP_SQL)
+def u4_markup_rows(t):
+    pages = _marked(t)
+    register(pages.sparkSession)
+    return pages.sparkSession.sql("SELECT conv_id, turn, m.kind, md5(m.text) AS part FROM {pages} AS p, LATERAL markup_rows(p.marked) AS m", pages=pages)
 
 
 def _grams_sql(key: str, table: str) -> str:
@@ -848,9 +862,11 @@ def s9_flatten_iiif_manifest(t):
     return S.flatten_iiif_manifest(made).select("manifest_id", F.col("page_no").cast("long"), "label", "image_url")
 
 
-@query(f"""SELECT l_orderkey AS manifest_id, row_number() OVER w AS page_no, CASE WHEN l_linenumber % 3 = 0 THEN 'page_' || row_number() OVER w ELSE 'f' || l_linenumber END AS label,
- 'http://i/' || l_partkey AS image_url, CASE WHEN l_linenumber % 2 = 0 THEN 'http://s/' || l_partkey END AS service_url FROM {LINES_SQL} WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)""")
-def s9_iiif_version_2(t):
+_V2_SQL = f"""SELECT l_orderkey AS manifest_id, row_number() OVER w AS page_no, CASE WHEN l_linenumber % 3 = 0 THEN 'page_' || row_number() OVER w ELSE 'f' || l_linenumber END AS label,
+ 'http://i/' || l_partkey AS image_url, CASE WHEN l_linenumber % 2 = 0 THEN 'http://s/' || l_partkey END AS service_url FROM {LINES_SQL} WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber)"""
+
+
+def _manifests(t) -> DataFrame:
     # labels are texts, first values of a list, or missing; every second image has a service
     n = F.col("l_linenumber")
     service = F.when(n % 2 == 0, F.struct(F.concat(F.lit("http://s/"), "l_partkey").alias("@id")))
@@ -860,7 +876,19 @@ def s9_iiif_version_2(t):
     canvas = F.concat(F.lit("{"), label, F.substring(text, 2, 1 << 20))
     made = lines_of(t).groupBy(F.col("l_orderkey").alias("manifest_id")).agg(F.array_sort(F.collect_list(F.struct("l_linenumber", canvas.alias("c")))).alias("x"))
     data = F.concat(F.lit('{"sequences":[{"canvases":['), F.array_join(F.transform("x", lambda x: x["c"]), ","), F.lit("]}]}"))
-    return S.flatten_iiif_manifest(made.select("manifest_id", data.alias("data"))).withColumn("page_no", F.col("page_no").cast("long"))
+    return made.select("manifest_id", data.alias("data"))
+
+
+@query(_V2_SQL)
+def s9_iiif_version_2(t):
+    return S.flatten_iiif_manifest(_manifests(t)).withColumn("page_no", F.col("page_no").cast("long"))
+
+
+@query(_V2_SQL)
+def u4_manifest_pages(t):
+    manifests = _manifests(t)
+    register(manifests.sparkSession)
+    return manifests.sparkSession.sql("SELECT manifest_id, CAST(p.page_no AS LONG) AS page_no, p.label, p.image_url, p.service_url FROM {m} AS m, LATERAL manifest_pages(m.data) AS p", m=manifests)
 
 
 @query(f"SELECT project_id, 'P' || project_id AS project_name, name AS image_name, md5(text) AS text FROM {PAGES_SQL} WHERE trim(text) <> ''")

@@ -41,9 +41,14 @@ def read_dictionary_columns(spark: SparkSession, path: str, kind: str = "select"
     return out.select(F.col(quoted(key)).alias("value"), F.col(quoted(display)).alias("label"), F.col(quoted(export)).alias("export_value")).orderBy(F.collate("label", "UNICODE"))
 
 
+def _placed(df: DataFrame) -> DataFrame:
+    """df, just read, with `_file` and `_block` (path, and place in the file of the split read) and `_at`, which grows within them."""
+    return df.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+
+
 def _last(df: DataFrame, key: str, value: str) -> DataFrame:
-    """The last row of each key, in file order."""
-    return df.withColumn("_at", F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(value, "_at").alias(value))
+    """The last row of each key, by file name and place; df was just read."""
+    return _placed(df).groupBy(key).agg(F.max_by(value, F.struct("_file", "_block", "_at")).alias(value))
 
 
 def read_phrases(spark: SparkSession, path: str) -> DataFrame:
@@ -94,37 +99,40 @@ def import_table(spark: SparkSession, path: str, structure: list[ColumnSpec]) ->
     """A header CSV as a table of the structure; headers match by name, else by display name without case, space, _ and -.
 
     Derived columns are left out of the file's match and stay empty. If the numbers of the sequence column are not
-    complete, integer and unique, rows are numbered in file order.
+    complete, integer and unique, rows are numbered by file name and their place in the file.
     """
-    raw = _read(spark, path, separator(_header(spark, path))).withColumn("_at", F.monotonically_increasing_id())
+    raw = _read(spark, path, separator(_header(spark, path)))
     shown = {normalize_header(c): c for c in raw.columns}
-    cols: list[Column] = [F.col("_at")]
+    raw, place = _placed(raw), ("_file", "_block", "_at")
+    cols: list[Column] = [F.col(c) for c in place]
     for s in structure:
         source = s.name if s.name in raw.columns else shown.get(normalize_header(s.display))
         if source is not None and not s.derived:
             cols.append(coerce(F.col(quoted(source)), s).alias(s.name))
-    out = conform(raw.select(*cols), structure, keep=("_at",))
+    out = conform(raw.select(*cols), structure, keep=place)
     seq = next((s.name for s in structure if s.type == "sequence"), None)
     if seq:
         q = out.agg((F.count("*") == F.count(quoted(seq))).alias("a"), (F.count(quoted(seq)) == F.count_distinct(quoted(seq))).alias("b")).first()
         if not (q["a"] and q["b"]):
-            out = numbered(out, "_at", seq)
-    return out.drop("_at")
+            out = numbered(out, "_at", seq, ("_file", "_block"))
+    return out.drop(*place)
 
 
-def numbered(df: DataFrame, at: str, out: str) -> DataFrame:
-    """df with out: its rows numbered from 1 in the order of `at`, made before by monotonically_increasing_id.
+def numbered(df: DataFrame, at: str, out: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """df with out: its rows numbered from 1 in the order of `by`, then of `at`, made before by monotonically_increasing_id.
 
-    Only one count for each partition passes through the driver, so no task sees more than its own rows.
+    Rows alike in `by` stand together in a partition. Partitions hold files by size, not by name, so rows of several files
+    need their names in `by`. Only one count for each file, or split of one, and partition passes through the driver, so no task sees more than its own rows.
     """
-    part, place = F.shiftright(at, 33), F.col(at).bitwiseAND(F.lit((1 << 33) - 1))
-    sizes = df.groupBy(part.alias("_p")).agg((F.max(place) + 1).alias("_n")).orderBy("_p").collect()
+    part, keys = F.shiftright(at, 33), [*by, "_p"]
+    sizes = df.withColumn("_p", part).groupBy(*keys).agg(F.min(at).alias("_first"), (F.max(at) - F.min(at) + 1).alias("_n")).orderBy(*keys).collect()
     before, rows = 0, []
     for r in sizes:
-        rows.append((r["_p"], before))
+        rows.append((*(r[k] for k in keys), r["_first"], before))
         before += r["_n"]
-    offsets = df.sparkSession.createDataFrame(rows, "_p long, _before long")
-    j = df.withColumn("_p", part).join(offsets, "_p").withColumn(out, (F.col("_before") + place + 1).cast("long"))
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema} | {"_p": "long"}
+    offsets = df.sparkSession.createDataFrame(rows, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "_first long", "_before long"]))
+    j = df.withColumn("_p", part).join(offsets, keys).withColumn(out, (F.col("_before") + F.col(at) - F.col("_first") + 1).cast("long"))
     return j.select(df.columns if out in df.columns else [*df.columns, out])
 
 
