@@ -35,9 +35,20 @@ def tokenizer(ranks_path: str):
     return tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={END: len(ranks)})
 
 
-def encode(text: str, enc) -> np.ndarray:
+@lru_cache(2)
+def slow_tokenizer(tokenizer_path: str):
+    """The tokenizer file itself: the same ids, at several times the cost."""
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(tokenizer_path)
+
+
+def encode(text: str, enc, tokenizer_path: str) -> np.ndarray:
     """A text's ids followed by the end id 0."""
-    ids = np.asarray(enc.encode_to_numpy(text, allowed_special="all"), np.uint32)
+    try:
+        ids = np.asarray(enc.encode_to_numpy(text, allowed_special="all"), np.uint32)
+    except ValueError:  # its pattern gives up on runs of some hundred thousand blanks or line breaks
+        ids = np.asarray(slow_tokenizer(tokenizer_path).encode(text, add_special_tokens=False).ids, np.uint32)
     return np.append(ids, np.uint32(0))
 
 
@@ -117,7 +128,7 @@ class _Rows:
         )
 
 
-def _pack(ranks_path: str, window: int, open_windows: int):
+def _pack(ranks_path: str, tokenizer_path: str, window: int, open_windows: int):
     def run(batches):
         enc = tokenizer(ranks_path)
         task = TaskContext.get().partitionId()
@@ -125,7 +136,7 @@ def _pack(ranks_path: str, window: int, open_windows: int):
         packer = Packer(lambda *a: rows.emit(*a), window, open_windows, task << 36)
         for batch in batches:
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                packer.add(doc, encode(text.as_py(), enc))
+                packer.add(doc, encode(text.as_py(), enc, tokenizer_path))
                 if len(rows.ids) >= 4096:
                     yield rows.batch(task)
                     rows = _Rows()
@@ -162,18 +173,21 @@ def pack(
     window: int = WINDOW,
     open_windows: int = OPEN_WINDOWS,
     merge_tasks: int = MERGE_TASKS,
+    tokenizer_path: str | None = None,
 ) -> DataFrame:
     """One row for each piece: its document, place there, digest of its ids, sequence and place in the sequence.
 
     Null and empty texts are the end id alone; a null doc_id is kept as null; repeated rows are packed each on its
-    own; texts longer than a window are cut; other columns are ignored; an empty table gives no pieces.
+    own; texts longer than a window are cut; other columns are ignored; an empty table gives no pieces. Ids come from the
+    rank file, those of texts that its pattern cannot take (very long runs of white space) from the tokenizer file of the same vocabulary.
     """
-    if ranks_path is None:
+    if ranks_path is None or tokenizer_path is None:
         import public_tokenizers
 
-        ranks_path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+        ranks_path = ranks_path or public_tokenizers.path("byte_bpe_50k.tiktoken")
+        tokenizer_path = tokenizer_path or public_tokenizers.path("byte_bpe_50k.json")
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    placed = materialize(rows.mapInArrow(_pack(ranks_path, window, open_windows), f"{PIECE}, ids binary, task long"))
+    placed = materialize(rows.mapInArrow(_pack(ranks_path, tokenizer_path, window, open_windows), f"{PIECE}, ids binary, task long"))
     done = placed.where("sequence_id >= 0").select(*_NAMES)
     # a group holds at most merge_tasks * open_windows part-filled sequences
     rest = (

@@ -36,7 +36,8 @@ def resolve(records: DataFrame) -> DataFrame:
 
     status: resolved, changed (validators disagree), or missing (no earlier full response, or no URL). Among responses of
     one time the greatest record_id is the latest. Rows that are neither type are ignored; revisits with a null time are
-    missing; repeated rows are each resolved; an empty table gives an empty result; other columns are ignored.
+    missing; repeated rows are each resolved; an empty table gives an empty result; other columns are ignored. Names of
+    headers are compared without regard to case.
     """
     r = records.select("record_id", "type", canonical_url(F.col("url")).alias("url"), "ts", "etag", "digest", "headers")
     r = materialize(r.where(F.col("type").isin("response", "revisit")))
@@ -68,8 +69,10 @@ def resolve(records: DataFrame) -> DataFrame:
     no_headers = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<string>"))
     own = F.coalesce("headers", no_headers)
     sent = F.coalesce(F.from_json("of.headers", "map<string,string>"), no_headers)
-    renewed = F.map_filter(own, lambda k, _: k.isin(*PERMITTED))
-    merged = F.map_concat(F.map_filter(sent, lambda k, _: ~F.array_contains(F.map_keys(renewed), k)), renewed)
+    # names of headers are alike in any case; what is sent anew stands as it was sent
+    renewed = F.map_filter(own, lambda k, _: F.lower(k).isin(*PERMITTED))
+    new_names = F.transform(F.map_keys(renewed), F.lower)
+    merged = F.map_concat(F.map_filter(sent, lambda k, _: ~F.array_contains(new_names, F.lower(k))), renewed)
     status = F.when(F.col("of").isNull(), "missing").when(agree, "resolved").otherwise("changed")
     return joined.select(
         "record_id", "url", status.alias("status"),
