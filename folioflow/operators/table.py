@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.functions.text import blank, nonblank, tokenize, trim_all
 from folioflow.operators.islands import fill_forward, greedy_pairs, island, ordered
+from folioflow.operators.scans import Scan
 
 
 def has_transcription(df: DataFrame, text: str = "text") -> DataFrame:
@@ -65,11 +68,19 @@ def sequence_quality(df: DataFrame, seq: str = "seq", keys: tuple[str, ...] = ("
     )
 
 
-def renumber(df: DataFrame, seq: str = "seq", pos: str = "pos", keys: tuple[str, ...] = ("project_id",), preserve: bool = False) -> DataFrame:
+def renumber(df: DataFrame, seq: str = "seq", pos: str = "pos", keys: tuple[str, ...] = ("project_id",), preserve: bool = False, parts: int | None = None) -> DataFrame:
     """Number each group's rows 1..n by (seq, input position), rows without a number last.
 
-    With preserve, groups whose numbers are complete, integer and unique keep them.
+    With preserve, groups whose numbers are complete, integer and unique keep them. With parts, groups of any size are
+    numbered by as many ranges, not each in one task; then (seq, position) must tell a group's rows apart.
     """
+    if parts:
+        rows = Scan(df, list(keys), [F.col(seq).asc_nulls_last(), F.col(pos).asc()], parts).number("_n").rows()
+        if preserve:
+            good = sequence_quality(df, seq, keys).where("complete and integral and unique").select(*(F.col(k).alias(f"_of_{i}") for i, k in enumerate(keys)), F.lit(True).alias("_fine"))
+            rows = rows.join(good, reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"_of_{i}")) for i, k in enumerate(keys))), "left")
+        kept = F.when(F.col("_fine"), F.col(seq).cast("long")).otherwise(F.col("_n")) if preserve else F.col("_n")
+        return rows.withColumn(seq, kept).select(*df.columns)
     number = F.row_number().over(ordered(list(keys), [F.col(seq).asc_nulls_last(), F.col(pos).asc()])).cast("long")
     if not preserve:
         return df.withColumn(seq, number)
@@ -116,8 +127,16 @@ def split_rows(df: DataFrame, selections: DataFrame, key: str = "row_id", text:
     return out.withColumn(seq, number).select(*df.columns)
 
 
-def number_words(df: DataFrame, text: str = "text", key: str = "row_id", keys: tuple[str, ...] = ("project_id",)) -> DataFrame:
-    """(keys, key, word, word_no): all words of a project numbered from 1 in row order, then position."""
+def number_words(df: DataFrame, text: str = "text", key: str = "row_id", keys: tuple[str, ...] = ("project_id",), parts: int | None = None) -> DataFrame:
+    """(keys, key, word, word_no): all words of a project numbered from 1 in row order, then position.
+
+    With parts, a project of any size is numbered by as many ranges of rows, from their counts of words; key must be unique in it.
+    """
+    if parts:
+        words = df.select(*keys, key, tokenize(F.col(text)).alias("_words"))
+        rows = Scan(words, list(keys), [key], parts).total(F.size("_words").cast("long"), "_upto").rows()
+        rows = rows.select(*keys, key, F.posexplode("_words").alias("_at", "word"), (F.col("_upto") - F.size("_words")).alias("_before"))
+        return rows.select(*keys, key, "word", (F.col("_before") + F.col("_at") + 1).cast("long").alias("word_no"))
     words = df.select(*keys, key, F.posexplode(tokenize(F.col(text))).alias("_at", "word"))
     return words.withColumn("word_no", F.row_number().over(ordered(list(keys), [key, "_at"])).cast("long")).drop("_at")
 
@@ -189,14 +208,20 @@ def propagate(df: DataFrame, keys: list[str], order: str, text: str, ident: str)
     return kept.withColumn(order, F.row_number().over(ordered(keys, [order])).cast(df.schema[order].dataType))
 
 
-def stitch_pages(df: DataFrame, keys: list[str], order: str, page: str, page_text: str, text: str = "text") -> DataFrame:
+def stitch_pages(df: DataFrame, keys: list[str], order: str, page: str, page_text: str, text: str = "text", parts: int | None = None) -> DataFrame:
     """Join a row to the one before it if they are of different pages and that page does not end with the break ⏎.
 
-    Texts join without a space; other columns take the first non-blank; `from_page` and `to_page` are kept.
+    Texts join without a space; other columns take the first non-blank; `from_page` and `to_page` are kept. With parts, a
+    group of any size is read as so many ranges of rows.
     """
-    w = ordered(keys, [order])
-    new = (F.lag(page).over(w) != F.col(page)) & ~F.lag(F.coalesce(page_text, F.lit(""))).over(w).endswith("⏎")
-    df = df.withColumn("_row", island(~F.coalesce(new, F.lit(False)), keys, [order]))
+    if parts:
+        scan = Scan(df, keys, [order], parts).previous(F.struct(F.col(page).alias("p"), F.coalesce(page_text, F.lit("")).endswith("⏎").alias("e")), "_last")
+        joins = (F.col("_last.p") != F.col(page)) & ~F.col("_last.e")
+        df = scan.total(F.when(F.coalesce(joins, F.lit(False)), 0).otherwise(1), "_row").rows().drop("_last")
+    else:
+        w = ordered(keys, [order])
+        new = (F.lag(page).over(w) != F.col(page)) & ~F.lag(F.coalesce(page_text, F.lit(""))).over(w).endswith("⏎")
+        df = df.withColumn("_row", island(~F.coalesce(new, F.lit(False)), keys, [order]))
     rest = [c for c in df.columns if c not in (*keys, "_row", order, page, page_text, text)]
     pieces = F.array_sort(F.collect_list(F.struct(order, F.coalesce(text, F.lit("")).alias("t"))))
     first = lambda c: F.min_by(c, F.when(~blank(F.col(c).cast("string")), F.col(order))).alias(c)
@@ -209,12 +234,19 @@ def stitch_pages(df: DataFrame, keys: list[str], order: str, page: str, page_tex
     ).drop("_row")
 
 
-def dehyphenate(df: DataFrame, keys: list[str], order: str, text: str = "text") -> DataFrame:
-    """Lines that end in ¬ lose it and are glued to the next line without its leading space."""
+def dehyphenate(df: DataFrame, keys: list[str], order: str, text: str = "text", parts: int | None = None) -> DataFrame:
+    """Lines that end in ¬ lose it and are glued to the next line without its leading space.
+
+    With parts, a group of any size is read as so many ranges of lines.
+    """
     ends = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\s\p{Z}\x{FEFF}]+$", "").endswith("¬")
-    new = ~F.coalesce(F.lag(ends).over(ordered(keys, [order])), F.lit(False))
-    df = df.withColumn("_line", island(new, keys, [order]))
-    df = df.withColumn("_first", new)
+    if parts:
+        scan = Scan(df, keys, [order], parts).previous(ends, "_open")
+        df = scan.total(F.when(F.coalesce("_open", F.lit(False)), 0).otherwise(1), "_line").rows().withColumn("_first", ~F.coalesce("_open", F.lit(False)))
+    else:
+        new = ~F.coalesce(F.lag(ends).over(ordered(keys, [order])), F.lit(False))
+        df = df.withColumn("_line", island(new, keys, [order]))
+        df = df.withColumn("_first", new)
     body = F.when(ends, F.regexp_replace(F.regexp_replace(F.col(text), r"[\s\p{Z}\x{FEFF}]+$", ""), "¬$", "")).otherwise(F.coalesce(text, F.lit("")))
     body = F.when(F.col("_first"), body).otherwise(F.regexp_replace(body, r"^[\s\p{Z}\x{FEFF}]+", ""))
     pieces = F.array_sort(F.collect_list(F.struct(order, body.alias("t"))))
@@ -257,13 +289,22 @@ def moving_average(df: DataFrame, keys: list[str], order: str, value: str, k: in
     return df.withColumn("average", F.sum(F.coalesce(value, F.lit(0.0))).over(frame) / F.least(F.lit(k), n))
 
 
-def threshold_runs(df: DataFrame, keys: list[str], order: str, value: str, threshold: float, min_len: int = 5) -> DataFrame:
+def threshold_runs(df: DataFrame, keys: list[str], order: str, value: str, threshold: float, min_len: int = 5, parts: int | None = None) -> DataFrame:
     """(keys, start, end, above): runs on one side of the threshold, those shorter than min_len dropped.
 
-    A kept run reaches to the next kept run's start, the last one to the end of its group.
+    A kept run reaches to the next kept run's start, the last one to the end of its group. With parts, a group of any size is read as
+    so many ranges.
     """
     above = F.coalesce(F.col(value) > threshold, F.lit(False))
     df = df.select(*keys, F.col(order).alias("_x"), above.alias("above"))
+    if parts:
+        scan = Scan(df, keys, ["_x"], parts).previous(F.col("above"), "_was")
+        scan = scan.total(F.when(F.coalesce(F.col("_was") == F.col("above"), F.lit(False)), 0).otherwise(1), "_run")
+        runs = scan.rows().groupBy(*keys, "_run", "above").agg(F.min("_x").alias("start"), F.count("*").alias("_n"), (F.max("_x") + 1).alias("_to"))
+        # short runs tell no more than where their group ends
+        runs = Scan(runs, keys, [F.desc("start")], parts).latest(F.when(F.col("_n") >= min_len, F.col("start")), "_kept")
+        runs = runs.previous(F.col("_kept"), "_next").total(F.lit(1), "_place").latest(F.when(F.col("_place") == 1, F.col("_to")), "_end").rows()
+        return runs.where(F.col("_n") >= min_len).select(*keys, "start", F.coalesce("_next", "_end").alias("end"), "above")
     w = ordered(keys, ["_x"])
     df = df.withColumn("_run", island(~F.coalesce(F.lag("above").over(w) == F.col("above"), F.lit(False)), keys, ["_x"]))
     df = df.withColumn("_end", F.max("_x").over(Window.partitionBy(*keys)) + 1)

@@ -636,6 +636,49 @@ def a13_sequence_quality(t):
 # ---- ordered rows ---------------------------------------------------------------------------------------------------
 
 
+
+#: Ranges that a scan of one group is cut into.
+PARTS = 16
+
+
+@query(f"""SELECT supp, row_id, row_number() OVER (ORDER BY seq NULLS LAST, supp, row_id) AS seq FROM {ROWS_SQL}""")
+def w1_one_project(t):
+    # all rows are one project's
+    rows = rows_of(t).withColumn("project_id", F.lit(1)).withColumn("pos", F.struct("supp", "row_id"))
+    return T.renumber(rows, preserve=True, parts=PARTS).select("supp", "row_id", "seq")
+
+
+@query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w)
+SELECT doc_id AS row_id, md5(string_agg(word || row, ' ' ORDER BY i)) AS words FROM (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS row FROM u) GROUP BY doc_id""")
+def w4_one_project(t):
+    words = T.number_words(t("documents").select(F.lit(1).alias("project_id"), F.col("doc_id").alias("row_id"), "text"), parts=PARTS)
+    listed = F.array_sort(F.collect_list(F.struct("word_no", F.concat("word", "word_no").alias("w"))))
+    return words.groupBy("row_id").agg(F.md5(F.array_join(F.transform(listed, lambda x: x["w"]), " ")).alias("words"))
+
+
+@query("""WITH b AS (SELECT *, conv_id * 100 + turn AS pos FROM conversations), s AS (SELECT *, coalesce(CASE WHEN lag(pos) OVER w <> pos AND NOT lag(role = 'user') OVER w THEN 0 END, 1) AS s FROM b WINDOW w AS (ORDER BY pos)),
+r AS (SELECT *, sum(s) OVER (ORDER BY pos) AS r FROM s) SELECT min(pos) AS seq, md5(string_agg(text, '' ORDER BY pos)) AS text, min(pos) AS from_page, max(pos) AS to_page FROM r GROUP BY r""")
+def w8_one_project(t):
+    at = F.col("conv_id") * 100 + F.col("turn")
+    c = t("conversations").select(F.lit(1).alias("project_id"), at.alias("seq"), at.alias("page"), F.when(F.col("role") == "user", "x⏎").otherwise("x").alias("page_text"), "text")
+    return T.stitch_pages(c, ["project_id"], "seq", "page", "page_text", parts=PARTS).select("seq", F.md5("text").alias("text"), "from_page", "to_page")
+
+
+@query("""WITH l AS (SELECT event_id AS n, CASE WHEN event_id % 3 = 0 THEN event_type || 'a' ELSE ' ' || user_id || 'b' END AS t, event_id % 3 = 0 AS h FROM events),
+s AS (SELECT *, CASE WHEN coalesce(lag(h) OVER (ORDER BY n), false) THEN 0 ELSE 1 END AS f FROM l), g AS (SELECT *, sum(f) OVER (ORDER BY n) AS r FROM s)
+SELECT min(n) AS n, string_agg(CASE WHEN f = 1 THEN t ELSE ltrim(t) END, '' ORDER BY n) AS text FROM g GROUP BY r""")
+def w9_one_project(t):
+    text = F.when(F.col("event_id") % 3 == 0, F.concat("event_type", F.lit("a¬ "))).otherwise(F.concat(F.lit(" "), "user_id", F.lit("b")))
+    return T.dehyphenate(t("events").select(F.lit(1).alias("k"), F.col("event_id").alias("n"), text.alias("text")), ["k"], "n", parts=PARTS).select("n", "text")
+
+
+@query("""WITH e AS (SELECT event_id AS x, value > 20 AS a FROM events), s AS (SELECT *, CASE WHEN lag(a) OVER (ORDER BY x) = a THEN 0 ELSE 1 END AS f FROM e),
+r AS (SELECT *, sum(f) OVER (ORDER BY x) AS k, max(x) OVER () + 1 AS last FROM s), u AS (SELECT k, a, last, min(x) AS x FROM r GROUP BY k, a, last HAVING count(*) >= 3)
+SELECT x AS start, coalesce(lead(x) OVER (ORDER BY x), last) AS "end", a AS above FROM u""")
+def w12_one_line(t):
+    e = t("events").select(F.lit(1).alias("g"), "event_id", "value")
+    return T.threshold_runs(e, ["g"], "event_id", "value", 20.0, 3, parts=PARTS).drop("g")
+
 @query(f"""WITH q AS (SELECT *, count(seq) OVER p = count(*) OVER p AND count(DISTINCT seq) OVER p = count(*) OVER p AS fine, row_number() OVER (PARTITION BY project_id ORDER BY seq NULLS LAST, row_id) AS n FROM {ROWS_SQL} WINDOW p AS (PARTITION BY project_id))
 SELECT project_id, row_id, CASE WHEN fine THEN seq ELSE n END AS seq FROM q""")
 def w1_renumber(t):
