@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import combinations
 from math import ceil
 
 import numpy as np
@@ -213,15 +214,54 @@ class WordPack:
         return (self.words[at[k]], float(score[k]), int(self.places[at[k]])) if score[k] >= cutoff else None
 
 
+#: Characters of the longest tokens whose near words are found by keys, and the least cutoff for which these are few.
+KEYED, KEYED_CUTOFF = 9, 80.0
+
+
+def common_keys(word: str, cutoff: float) -> set[str]:
+    """What a word can have in common with a token of at most `KEYED` characters where their ratio reaches the cutoff.
+
+    A subsequence of L characters is the longest common one of a word of n and a token of L at the least, so it takes
+    200 L >= cutoff * (n + L).
+    """
+    n = len(word)
+    least = ceil(cutoff * n / (200.0 - cutoff) - 1e-9)
+    return {"".join(c) for size in range(least, min(n, KEYED) + 1) for c in combinations(word, size)}
+
+
+def _keyed(tokens: DataFrame, vocabulary: DataFrame, cutoff: float) -> DataFrame:
+    """(_t, x) with the best word of each token (column _t) of at most `KEYED` characters, by equality of keys."""
+
+    @F.arrow_udf("array<string>")
+    def keys(words: pa.Array) -> pa.Array:
+        return pa.array([list(common_keys(w, cutoff)) for w in words.to_pylist()], pa.list_(pa.string()))
+
+    longest = int(KEYED * (200.0 - cutoff) / cutoff + 1e-9)
+    t = spread(tokens).select("_t", F.explode(keys("_t")).alias("_key"))
+    v = spread(vocabulary.where(F.length("t") <= longest)).select("t", "k", F.explode(keys("t")).alias("_key"))
+    total = F.length("_t") + F.length("t")
+    # of all keys that two words share the longest tells the ratio
+    score = F.when(total > 0, F.lit(200.0) * F.length("_key") / total).otherwise(100.0)
+    found = t.join(v, "_key").select("_t", "t", "k", score.alias("s")).where(F.col("s") >= cutoff)
+    best = found.groupBy("_t").agg(F.min(F.struct((-F.col("s")).alias("s"), "k", "t")).alias("f"))
+    x = F.struct(F.col("f.t").alias("match"), (-F.col("f.s")).alias("similarity"), F.col("f.k").alias("place"))
+    return tokens.join(best, "_t", "left").select("_t", F.when(F.col("f").isNotNull(), x).alias("x"))
+
+
 def best_match(
-    tokens: DataFrame, vocabulary: DataFrame, token: str = "word", entry: str = "word", cutoff: float = 80.0, scorer: Callable[[str, str], float] | None = None, order: str | None = None, pack_chars: int = PACK_CHARS
+    tokens: DataFrame, vocabulary: DataFrame, token: str = "word", entry: str = "word", cutoff: float = 80.0, scorer: Callable[[str, str], float] | None = None, order: str | None = None, pack_chars: int = PACK_CHARS,
+    keyed: bool = False,
 ) -> DataFrame:
     """(token, match, similarity) for each distinct token; null and 0 where nothing reaches the cutoff.
 
     Of equal words the first in `order` (a column of whole numbers; without one, in order of the words) wins. The vocabulary is
     broadcast in packs; of each, a token meets the words whose length and letters allow the cutoff, whose ratios are
-    computed at once. scorer: a function of two texts giving 0 to 100, no more than the indel ratio.
+    computed at once. scorer: a function of two texts giving 0 to 100, no more than the indel ratio. With keyed (for cutoffs from
+    `KEYED_CUTOFF` on, without a scorer) the vocabulary meets tokens of up to `KEYED` characters in a join by what they may have in
+    common, and is broadcast for longer ones only.
     """
+    if keyed and (scorer is not None or cutoff < KEYED_CUTOFF):
+        raise ValueError(f"keys need the indel ratio and a cutoff of {KEYED_CUTOFF:g} or more")
     v = vocabulary.select(F.col(entry).alias("t"), F.col(order).cast("long").alias("k") if order else F.lit(0).cast("long").alias("k"))
     v = v.where("t is not null").groupBy("t").agg(F.min("k").alias("k"))
     packs = _packed(v, pack_chars, WordPack, "k", "t")
@@ -237,11 +277,19 @@ def best_match(
 
         return find("_t")
 
-    t = spread(tokens.select(F.col(token).alias("_t")).where("_t is not null").distinct())
+    t = tokens.select(F.col(token).alias("_t")).where("_t is not null").distinct()
+    if keyed:
+        t = checkpointed(t, tokens.sparkSession)
+        short, t = t.where(F.length("_t") <= KEYED), t.where(F.length("_t") > KEYED)
+    t = spread(t)
     found = reduce(DataFrame.unionByName, (t.select("_t", finder(p).alias("x")) for p in packs))
     if len(packs) > 1:
         first = F.struct((-F.col("x.similarity")).alias("s"), F.col("x.place").alias("p"), F.col("x.match").alias("m"))
         found = found.groupBy("_t").agg(F.min(F.when(F.col("x").isNotNull(), first)).alias("f")).select("_t", F.struct(F.col("f.m").alias("match"), (-F.col("f.s")).alias("similarity")).alias("x"))
+    if keyed:
+        pick = ["_t", F.col("x.match").alias("match"), F.col("x.similarity").alias("similarity")]
+        both = found.select(*pick).unionByName(_keyed(short, v, cutoff).select(*pick))
+        found = both.select("_t", F.struct("match", "similarity").alias("x"))
     return found.select(F.col("_t").alias(token), F.col("x.match").alias("match"), F.coalesce("x.similarity", F.lit(0.0)).alias("similarity"))
 
 
@@ -253,12 +301,15 @@ def letter_parity(word: str) -> int:
     return bits
 
 
-def merge_split_words(tokens: DataFrame, vocabulary: DataFrame, keys: list[str], order: str = "word_no", cutoff: float = 80.0) -> DataFrame:
-    """(keys, order, word, match, similarity): words joined with the next where that matches better than either alone."""
+def merge_split_words(tokens: DataFrame, vocabulary: DataFrame, keys: list[str], order: str = "word_no", cutoff: float = 80.0, keyed: bool = False) -> DataFrame:
+    """(keys, order, word, match, similarity): words joined with the next where that matches better than either alone.
+
+    keyed: as in `best_match`.
+    """
     w = ordered(keys, [order])
     t = tokens.withColumn("_next", F.lead("word").over(w)).withColumn("_pair", F.concat("word", "_next"))
     pool = t.select("word").union(t.select("_pair")).distinct()
-    best = best_match(pool, vocabulary, "word", "word", cutoff)
+    best = best_match(pool, vocabulary, "word", "word", cutoff, keyed=keyed)
     of = lambda c, p: best.select(F.col("word").alias(c), F.col("similarity").alias(p), F.col("match").alias(f"{p}_match"))
     t = t.join(of("word", "_own"), "word").join(of("_next", "_after"), "_next", "left").join(of("_pair", "_both"), "_pair", "left")
     joins = (F.col("_both") > cutoff) & (F.col("_both") > F.col("_own")) & (F.col("_both") > F.col("_after"))
