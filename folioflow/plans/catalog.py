@@ -23,7 +23,7 @@ from folioflow.operators import table as T
 from folioflow.plans import convert as C
 from folioflow.plans import evaluate as E
 from folioflow.plans.segment import segment_by_phrases
-from folioflow.plans.structures import CONTENT, conform
+from folioflow.plans.structures import CONTENT, ColumnSpec, computed, conform, displayed
 from folioflow.plans.transcription import load_transcription, transcribe_postprocess
 from folioflow.sources import files as S
 from folioflow.streaming.stream import fix_pages
@@ -981,6 +981,24 @@ def c2_convert_structure(t):
     return out.select(F.col("_global_sequence").alias("pos"), "SOURCE", "ITEM", "`PAGE NUMBER (ORIGINAL)`", F.coalesce("GENRE", F.lit("")).alias("GENRE"))
 
 
+#: A column that computes its value, two that show theirs otherwise, one with a check of its own.
+ORDERS = [
+    ColumnSpec("o_orderkey", "Order", "number", shown_as=lambda v: F.concat(F.lit("#"), v.cast("long"))),
+    ColumnSpec("o_orderstatus", "Status", check=lambda v: F.when(v == "P", "Must be settled")),
+    ColumnSpec("size", "Size", "computed", compute=lambda: F.length("o_orderpriority")),
+    ColumnSpec("twice", "Twice", "computed", compute=lambda: F.concat("size", F.lit("/"), F.col("size").cast("int") * 2), shown_as=lambda v: F.concat(F.lit("="), v)),
+]
+
+
+@query("""SELECT '#' || o_orderkey AS o_orderkey, o_orderstatus, length(o_orderpriority)::VARCHAR AS size, '=' || length(o_orderpriority) || '/' || 2 * length(o_orderpriority) AS twice,
+CASE WHEN o_orderstatus = 'P' THEN 'Must be settled' END AS message FROM orders""")
+def u1_column_callables(t):
+    o = computed(t("orders").select("o_orderkey", "o_orderstatus", "o_orderpriority"), ORDERS)
+    wrong = C.validate_table(o, ORDERS, {}, "o_orderkey").select(F.col("o_orderkey").alias("k"), "message")
+    rows = o.join(wrong, F.col("k") == F.col("o_orderkey"), "left").drop("k", "o_orderpriority")
+    return displayed(rows, ORDERS)
+
+
 @query(f"""WITH r AS {ROWS_SQL}, d AS (SELECT project_id * 10 + row_id AS k, project_id, seq, supp FROM r)
 SELECT k, 'sequence_in_ms' AS "column", 'Must not be empty' AS message FROM d WHERE seq IS NULL
 UNION ALL SELECT k, 'sequence_in_ms', 'Sequence must be unique' FROM (SELECT * FROM d WHERE seq IS NOT NULL QUALIFY count(*) OVER (PARTITION BY project_id, seq) > 1)
