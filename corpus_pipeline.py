@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioflow.llm.common import materialize, table
+from folioflow.llm.common import lean, materialize, table
 from folioflow.llm.decontamination import keep_clean
 from folioflow.llm.jaccard import keep_one
 from folioflow.llm.line_dedup import keep_fresh
@@ -12,8 +12,13 @@ from folioflow.llm.packing import pack
 from folioflow.llm.quality import keep_good
 
 
+#: Bytes of an Arrow batch: half of what single operators take, as workers of several stages share an executor.
+BATCH = 4 << 20
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects."""
+    lean(spark, BATCH)  # holds for the stages after it as well
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
