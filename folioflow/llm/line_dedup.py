@@ -140,9 +140,10 @@ def dedup_lines(docs: DataFrame, long_words: int | None = LONG_WORDS) -> DataFra
 
     keyed = docs.withColumn("_row_key", row_key())
     hit = touched("_row_key")
-    # only texts that lose lines are shuffled
-    losing = keyed.where(hit).join(gone.withColumnsRenamed({"row_key": "_row_key", "removed": "_removed"}), "_row_key", "left").drop("_row_key")
-    losing = losing.withColumn("text", cut("text", "_removed"))
+    # only texts that lose lines are shuffled; with the exchange between them, and `cut` called once, a task needs one Python worker
+    ranges = gone.withColumnsRenamed({"row_key": "_row_key", "removed": "_removed"}).hint("merge")
+    losing = keyed.where(hit).join(ranges, "_row_key", "left").drop("_row_key")
+    losing = losing.withColumn("text", cut.asNondeterministic()("text", "_removed"))
     if "n_chars" in docs.columns:
         fitting = F.length("text").cast(docs.schema["n_chars"].dataType)
         losing = losing.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(fitting))
