@@ -297,6 +297,14 @@ def f32_find_replace(t):
     return t("documents").select("doc_id", F.md5(X.find_replace_all(F.col("text"), "th", "$1\\")).alias("replaced"), (F.size(F.split("text", "th", -1)) - 1).cast("long").alias("hits"))
 
 
+@query("""SELECT doc_id, md5(regexp_replace(text, 'tH', '<$1>', 'gi')) AS replaced, len(regexp_extract_all(text, '(?i)tH'))::BIGINT AS hits,
+CASE WHEN regexp_matches(text, '(?i)tH') THEN length(regexp_extract(text, '(?is)^(.*?)tH', 1)) ELSE -1 END AS first_at FROM documents""")
+def f32_find_replace_any_case(t):
+    at = X.occurrences(F.col("text"), "tH", ignore_case=True)
+    replaced = X.find_replace_all(F.col("text"), "tH", "<$1>", ignore_case=True)
+    return t("documents").select("doc_id", F.md5(replaced).alias("replaced"), F.size(at).cast("long").alias("hits"), F.coalesce(F.get(at, F.lit(0)), F.lit(-1)).cast("long").alias("first_at"))
+
+
 @query("""WITH p AS (SELECT event_id, (user_id % 256)::DOUBLE / 255 AS r, (event_id % 256)::DOUBLE / 255 AS g, ((user_id + event_id) % 256)::DOUBLE / 255 AS b FROM events),
 m AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM p), c AS (SELECT *, hi - lo AS d, (hi + lo) / 2 AS l FROM m)
 SELECT event_id, round(CASE WHEN d = 0 THEN 0 WHEN hi = b THEN ((r - g) / d + 4) / 6 WHEN hi = g THEN ((b - r) / d + 2) / 6 ELSE ((g - b) / d + CASE WHEN g < b THEN 6 ELSE 0 END) / 6 END, 9) AS h,
@@ -981,6 +989,34 @@ def c2_convert_structure(t):
     return out.select(F.col("_global_sequence").alias("pos"), "SOURCE", "ITEM", "`PAGE NUMBER (ORIGINAL)`", F.coalesce("GENRE", F.lit("")).alias("GENRE"))
 
 
+@query("""SELECT o_orderkey AS pos, o_custkey::VARCHAR AS rism_id, o_orderpriority AS formula_text_from_ms, CASE WHEN o_orderkey % 2 = 0 THEN '1r' ELSE '3v' END AS where_in_ms_from,
+CASE WHEN o_orderkey % 2 = 0 THEN '2v' ELSE '' END AS where_in_ms_to, o_orderstatus AS comments, coalesce(n_name, '') AS genre, coalesce(n_regionkey::VARCHAR, '') AS function_id
+FROM orders LEFT JOIN nation ON n_nationkey = o_custkey % 50""")
+def c2_usuarium_to_content(t):
+    o = t("orders").select(
+        F.col("o_orderkey").alias("pos"), F.concat(F.lit("RISM:"), "o_custkey").alias("SOURCE"), F.col("o_orderpriority").alias("ITEM"),
+        F.when(F.col("o_orderkey") % 2 == 0, "1r - 2v").otherwise("3v").alias("PAGE NUMBER (ORIGINAL)"), F.col("o_orderstatus").alias("REMARK"), (F.col("o_custkey") % 50).cast("string").alias("GENRE"),
+    )
+    nation = lambda c: t("nation").select(F.col("n_nationkey").cast("string").alias("source"), F.col(c).cast("string").alias("target"))
+    out = C.convert_structure(o, "usuarium", "content", {"genre_to_genre.tsv": nation("n_name"), "genre_to_function_id.tsv": nation("n_regionkey")})
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return out.select(F.col("sequence_in_ms").alias("pos"), "rism_id", "formula_text_from_ms", "where_in_ms_from", *map(text, ("where_in_ms_to",)), "comments", *map(text, ("genre", "function_id")))
+
+
+@query("""SELECT event_id AS pos, event_type AS formula_text_from_ms, user_id || 'r' AS where_in_ms_from, 'CANTUS:' || event_id AS reference_to_other_items,
+coalesce(n_name, '') AS mass_hour, coalesce(r_name, '') AS original_or_added FROM events LEFT JOIN nation ON n_nationkey = user_id % 50 LEFT JOIN region ON r_regionkey = user_id % 10""")
+def c2_cantus_to_content(t):
+    e = t("events").select(
+        F.col("event_id").alias("pos"), F.col("event_type").alias("field_full_text_original"), F.concat("user_id", F.lit("r")).alias("field_folio"), F.col("event_id").cast("string").alias("field_cantus_id"),
+        (F.col("user_id") % 50).cast("string").alias("field_office"), (F.col("user_id") % 10).cast("string").alias("field_marginalia"),
+    )
+    office = t("nation").select(F.col("n_nationkey").cast("string").alias("source"), F.col("n_name").alias("target"))
+    margin = t("region").select(F.col("r_regionkey").cast("string").alias("source"), F.col("r_name").alias("target"))
+    out = C.convert_structure(e, "cantus", "content", {"cantus_office_to_mass_hour.tsv": office, "cantus_marginalia_to_original_or_added.tsv": margin})
+    text = lambda c: F.coalesce(c, F.lit("")).alias(c)
+    return out.select(F.col("sequence_in_ms").alias("pos"), "formula_text_from_ms", "where_in_ms_from", "reference_to_other_items", *map(text, ("mass_hour", "original_or_added")))
+
+
 #: A column that computes its value, two that show theirs otherwise, one with a check of its own.
 ORDERS = [
     ColumnSpec("o_orderkey", "Order", "number", shown_as=lambda v: F.concat(F.lit("#"), v.cast("long"))),
