@@ -42,18 +42,19 @@ def segment_by_phrases(content: DataFrame, phrases: DataFrame, threshold: float
     Each pass looks for the best phrase in every open piece of all projects at once and cuts it into before, match and
     after; pieces without a match are halved at a space as long as they are longer than the shortest phrase. It ends when
     no piece is open: each pass leaves shorter ones. A pass reads and writes only the pieces that the one before left open
-    or closed. Pieces of a project join to its text again.
+    or closed. Pieces of a project join to its text again. Where no phrase has enough in common with any part of a piece,
+    its halves are not searched.
     """
     spark = content.sparkSession
     whole, pages = project_text(content)
     kind = phrases.schema["id"].dataType
     none, zero = F.lit(None).cast(kind), F.lit(None).cast("double")
-    made = fragments(whole, size).select("project_id", "seg_start", "text", none.alias("phrase_id"), zero.alias("similarity"), (~blank(F.col("text"))).alias("open"))
+    made = fragments(whole, size).select("project_id", "seg_start", "text", none.alias("phrase_id"), zero.alias("similarity"), (~blank(F.col("text"))).alias("open"), F.lit(True).alias("hope"))
     shortest = phrases.where(~blank(F.col("text"))).agg(F.min(F.length("text"))).first()[0] or 1
     packs = phrase_packs(phrases, cutoff=threshold, blocking=blocking)
     passes = [checkpointed(made, spark)]
     while not passes[-1].where("open").isEmpty():
-        j = with_best(passes[-1].where("open").select("project_id", "seg_start", "text"), packs, "text", kind)
+        j = with_best(passes[-1].where("open").select("project_id", "seg_start", "text", F.when(F.col("hope"), F.col("text")).alias("_search")), packs, "_search", kind)
         part = lambda a, b: F.substring("text", a + 1, b - a)
         s, e, n = F.col("_best.start"), F.col("_best.end"), F.length("text")
         row = lambda at, text, pid, sim, still: F.struct((F.col("seg_start") + at).cast("long").alias("seg_start"), text.alias("text"), pid.alias("phrase_id"), sim.alias("similarity"), still.alias("open"))
@@ -64,7 +65,7 @@ def segment_by_phrases(content: DataFrame, phrases: DataFrame, threshold: float
         halved = F.when(small, F.array(row(F.lit(0), F.col("text"), none, zero, F.lit(False)))).otherwise(
             F.array(row(F.lit(0), part(F.lit(0), left), none, zero, F.lit(True)), row(left, part(left, n), none, zero, F.lit(True)))
         )
-        new = j.select("project_id", F.explode(F.when(F.col("_best").isNotNull(), matched).otherwise(halved)).alias("x")).select("project_id", "x.*").where("text <> ''")
+        new = j.select("project_id", F.explode(F.when(F.col("_best.key").isNotNull(), matched).otherwise(halved)).alias("x"), F.col("_best.hope").alias("hope")).select("project_id", "x.*", "hope").where("text <> ''")
         passes.append(checkpointed(new.withColumn("open", F.col("open") & ~blank(F.col("text"))), spark))
     done = reduce(DataFrame.unionByName, (p.where("not open") for p in passes)).withColumn("seg_end", F.col("seg_start") + F.length("text"))
     where = segment_pages(done.select("project_id", "seg_start", "seg_end"), pages, ["project_id"])
