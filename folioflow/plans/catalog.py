@@ -20,6 +20,7 @@ from folioflow.operators import layout as L
 from folioflow.operators import match as M
 from folioflow.operators import projects as P
 from folioflow.operators import table as T
+from folioflow.operators.lineage import spread
 from folioflow.plans import convert as C
 from folioflow.plans import evaluate as E
 from folioflow.plans.segment import segment_by_phrases
@@ -172,7 +173,7 @@ SELECT p_partkey, (p_partkey % 7)::INTEGER AS first, (p_partkey % 7 + length(phr
 def f7_partial_alignment(t):
     # each name between marks that no name has, so the best window is known
     dots, lines = F.expr("repeat('.', int(p_partkey % 7))"), F.expr("repeat('-', int(p_partkey % 5))")
-    return t("part").select("p_partkey", partial_alignment("p_name", F.concat(dots, "p_name", lines)).alias("a")).select("p_partkey", F.col("a.start").alias("first"), F.col("a.end").alias("last"), "a.score")
+    return spread(t("part")).select("p_partkey", partial_alignment("p_name", F.concat(dots, "p_name", lines)).alias("a")).select("p_partkey", F.col("a.start").alias("first"), F.col("a.end").alias("last"), "a.score")
 
 
 @query("SELECT p_partkey, length(p_name) AS a, length(p_type) AS b, coalesce(2.0::DOUBLE * (p_partkey % 9) / nullif(length(p_name) + length(p_type), 0), 0.0) AS score FROM part")
