@@ -173,7 +173,7 @@ def _char(number: Column) -> Column:
 
 def decode_byte_tokens(text: Column) -> Column:
     """Runs of <0xHH> as the UTF-8 text they spell; left as they are where they spell none."""
-    runs = F.regexp_extract_all(text, F.lit(r"(?:<0x[0-9A-Fa-f]{2}>)+|(?:(?!<0x[0-9A-Fa-f]{2}>)[\s\S])"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit(r"(?:<0x[0-9A-Fa-f]{2}>)+|[^<]+|<"), F.lit(0))
     spelled = lambda x: F.try_validate_utf8(F.unhex(F.regexp_replace(x, "<0x|>", "")).cast("string"))
     return F.array_join(F.transform(runs, lambda x: F.when(x.rlike("^<0x[0-9A-Fa-f]{2}>"), F.coalesce(spelled(x), x)).otherwise(x)), "")
 
