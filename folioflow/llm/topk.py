@@ -3,8 +3,9 @@
 Vectors become integers, floor(256 * x). An extra coordinate makes all vectors equally long, so that a larger inner product
 is a smaller Euclidean distance. Rows go to the nearest of some pivots (a bounded sample; a pivot's rows beyond
 `SHARD_ROWS` are dealt to several shards). Each shard gets an M-tree: pages of at most `PAGE` entries, routing nodes with
-covering radii, and every entry's distance to its parent. A query's pages are visited in order of their least possible
-distance; entries whose stored parent distance already rules them out by the triangle inequality are not computed.
+covering radii, and every entry's distance to its parent. A query first goes down to its nearest page for a bound; then the
+queries of a block go through the tree together, each only into nodes that its bound leaves open. Entries whose stored
+parent distance already rules them out by the triangle inequality are not computed.
 Scores are integers and decide ties exactly; bounds in floating point have slack.
 
 A query first searches its nearest shard. The k-th score found there then rules out shards by their pivots' distances and
@@ -14,7 +15,6 @@ radii, and bounds the search of the others. Trees travel as rows, a page of entr
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -73,58 +73,99 @@ class MTree:
         return pivot, radius, up, (arrays, kids), None
 
     def search(self, query: np.ndarray, own: int | None, k: int = K, known: int | None = None) -> list[tuple[int, int]]:
-        """(score, id) of the k best, best first, without the row `own`; ids are places in `keys`, whose order breaks ties.
+        """`search_all` for one query."""
+        return self.search_all(query[None], [own], k, [known])[0]
 
-        known: a score that k rows elsewhere reach, so that lower ones need not be found.
+    def search_all(self, queries: np.ndarray, own: list[int | None], k: int = K, known: list[int | None] | None = None) -> list[list[tuple[int, int]]]:
+        """For each query (score, id) of the k best, best first, without its row `own`; ids are places in `keys` from 0, whose order breaks ties.
+
+        known: scores that k rows elsewhere reach, so that lower ones need not be found. Each query first goes down to its nearest
+        page for a bound. Then every node is visited once, by those queries together whose bounds do not rule it out.
         """
-        if self.root is None:
-            return []
-        base = float(query @ query) + self.square
-        small = int(np.abs(query).max(initial=0)) * int(np.abs(self.points).max()) * len(query) < 2**52
-        table, probe = (self.table, query.astype(float)) if small and self.table.dtype == float else (self.points, query)
-        best: list[tuple[int, int]] = []  # heap of (score, -id): the worst first
-        limit = np.inf
-        if known is not None:
-            limit = float(np.sqrt(max(0.0, base - 2.0 * known)))
-            limit += SLACK * (1 + limit)
-
-        def to(points: np.ndarray) -> np.ndarray:
-            self.computed += len(points)
-            return np.sqrt(np.maximum(0.0, base - 2.0 * (table[points] @ probe)))
-
-        d = float(to(np.array([self.root[0]]))[0])
-        queue = [(max(0.0, d - self.root[1]), 0, d, self.root)]
-        count = 1
-        while queue:
-            bound, _, d, node = heapq.heappop(queue)
-            if bound > limit:
-                break
-            _, _, _, inner, leaf = node
+        if self.root is None or not len(queries):
+            return [[] for _ in queries]
+        top = int(np.abs(self.points).max(initial=0)) * queries.shape[1]
+        base = (queries * queries).sum(axis=1).astype(float) + self.square
+        small = self.table.dtype == float and int(np.abs(queries).max(initial=0)) * top < 2**52
+        table, probe = (self.table, queries.astype(float)) if small else (self.points, queries)
+        none = -np.inf if small else np.iinfo(np.int64).min + 1
+        last = np.iinfo(np.int64).max
+        best, best_ids = np.full((len(queries), k), none, probe.dtype), np.full((len(queries), k), last)
+        floor, limit = np.full(len(queries), none, probe.dtype), np.full(len(queries), np.inf)
+        mine = np.array([-1 if x is None else x for x in own], np.int64)
+
+        def bounded(at: np.ndarray, scores: np.ndarray, exact: bool = True) -> None:
+            """k rows reach these scores."""
+            found = np.sqrt(np.maximum(0.0, base[at] - 2.0 * scores))
+            limit[at] = np.minimum(limit[at], found + SLACK * (1 + found))
+            if exact:
+                floor[at] = np.maximum(floor[at], scores)
+
+        told = np.array([i for i, x in enumerate(known or []) if x is not None], np.int64)
+        if len(told):
+            bounded(told, np.array([known[i] for i in told.tolist()], probe.dtype), small)
+
+        def to(points: np.ndarray, at: np.ndarray) -> np.ndarray:
+            self.computed += len(points) * len(at)
+            return np.sqrt(np.maximum(0.0, base[at, None] - 2.0 * (probe[at] @ table[points].T)))
+
+        def scores_of(leaf: tuple, at: np.ndarray, away: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Ids and scores of the entries that the stored distances do not rule out for all queries."""
+            ids, stored, page = leaf
+            low, high = np.searchsorted(stored, [float((away - limit[at]).min()), float((away + limit[at]).max())])
+            ids, page = ids[low : high + 1], page[low : high + 1]
+            self.computed += len(ids) * len(at)
+            scores = probe[at] @ (page if small else page.astype(np.int64)).T
+            scores[mine[at, None] == ids] = none
+            return ids, scores
+
+        everyone = np.arange(len(queries))
+        start = to(np.array([self.root[0]]), everyone)[:, 0]
+        down = [(everyone, start, self.root)]
+        while down:
+            at, away, (_, _, _, inner, leaf) = down.pop()
+            if leaf is not None:
+                scores = scores_of(leaf, at, away)[1]
+                if scores.shape[1] >= k:
+                    kth = np.partition(scores, -k, axis=1)[:, -k]
+                    bounded(at[kth > none], kth[kth > none])
+                continue
+            (pivots, radii, _), kids = inner
+            d = to(pivots, at)
+            nearest = np.maximum(0.0, d - radii).argmin(axis=1)
+            down += [(at[nearest == i], d[nearest == i, i], kids[i]) for i in np.unique(nearest).tolist()]
+        nodes = [(everyone, start, self.root)]
+        while nodes:
+            at, away, (_, radius, _, inner, leaf) = nodes.pop()
+            live = away - radius <= limit[at]
+            at, away = at[live], away[live]
+            if not len(at):
+                continue
             if leaf is not None:
-                ids, away, page = leaf
-                a, b = np.searchsorted(away, [d - limit, d + limit]) if limit < np.inf else (0, len(ids))
-                ids, page = ids[a : b + 1], page[a : b + 1]
-                scores = page @ probe if page.dtype == probe.dtype else page.astype(np.int64) @ query
-                self.computed += len(ids)
-                if len(best) == k:
-                    good = scores >= best[0][0]
-                    ids, scores = ids[good], scores[good]
-                for s, i in zip(scores.astype(np.int64).tolist(), ids.tolist(), strict=True):
-                    if i != own and (len(best) < k or (s, -i) > best[0]):
-                        (heapq.heappush if len(best) < k else heapq.heapreplace)(best, (s, -i))
-                if len(best) == k:
-                    found = float(np.sqrt(max(0.0, base - 2.0 * best[0][0])))
-                    limit = min(limit, found + SLACK * (1 + found))
-            else:
-                (pivots, radii, ups), kids = inner
-                live = np.flatnonzero(np.abs(d - ups) - radii <= limit) if limit < np.inf else np.arange(len(kids))
-                away = to(pivots[live])
-                for k_, x in zip(live.tolist(), away.tolist(), strict=True):
-                    low = max(0.0, x - radii[k_])
-                    if low <= limit:
-                        heapq.heappush(queue, (low, count, x, kids[k_]))
-                        count += 1
-        return sorted(((s, -i) for s, i in best), key=lambda x: (-x[0], x[1]))
+                ids, scores = scores_of(leaf, at, away)
+                good = (scores >= floor[at, None]) & (scores > none)
+                some = np.flatnonzero(good.any(axis=1))
+                if not len(some):
+                    continue
+                at, good = at[some], good[some]
+                both = np.concatenate([best[at], np.where(good, scores[some], none)], axis=1)
+                both_ids = np.concatenate([best_ids[at], np.where(good, ids, last)], axis=1)
+                first = np.lexsort((both_ids, -both))[:, :k]
+                best[at], best_ids[at] = np.take_along_axis(both, first, 1), np.take_along_axis(both_ids, first, 1)
+                full = best_ids[at, -1] != last
+                bounded(at[full], best[at[full], -1])
+                continue
+            (pivots, radii, ups), kids = inner
+            near = np.abs(away[:, None] - ups) - radii <= limit[at, None]
+            asked = np.flatnonzero(near.any(axis=0))
+            d = to(pivots[asked], at)
+            low = np.maximum(0.0, d - radii[asked])
+            # the child that is nearest to most comes first, so it is pushed last
+            for i in np.argsort(-low.mean(axis=0), kind="stable").tolist():
+                to_child = near[:, asked[i]] & (low[:, i] <= limit[at])
+                if to_child.any():
+                    nodes.append((at[to_child], d[to_child, i], kids[asked[i]]))
+        return [[(int(s), i) for s, i in zip(*x, strict=True) if i != last] for x in zip(best.tolist(), best_ids.tolist(), strict=True)]
 
 
 def _ints(column) -> np.ndarray:
@@ -201,8 +242,8 @@ def _search(k: int):
             keys, ids = keys[order], ids[order]
             place = {r: i for i, r in enumerate(keys.tolist())}
             tree = MTree(np.arange(len(keys)), points[order])
-            for row, x, low in zip(asked["row"], _ints(asked["embedding"]), asked["known"], strict=True):
-                found = tree.search(x, place.get(row), k, None if pd.isna(low) else int(low))
+            own, known = [place.get(r) for r in asked["row"].tolist()], [None if pd.isna(x) else int(x) for x in asked["known"]]
+            for row, found in zip(asked["row"].tolist(), tree.search_all(_ints(asked["embedding"]), own, k, known), strict=True):
                 out += [(row, int(ids[i]), int(keys[i]), s) for s, i in found]
         return pd.DataFrame(out, columns=["row", "vec_id", "found", "score"])
 

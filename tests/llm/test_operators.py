@@ -101,6 +101,23 @@ def test_tree_avoids_distances():
     assert tree.computed < 2000
 
 
+@pytest.mark.parametrize("scale", [1, 2**22])
+def test_tree_searches_queries_at_once(scale):
+    """Against all products, with ties, copies and known scores; scores past 2**53 are whole numbers still."""
+    gen = np.random.default_rng(3)
+    points = np.floor(40 * gen.normal(0, 1, (1500, 6))).astype(np.int64) * scale
+    points[200:400] = points[200]
+    tree = topk.MTree(np.arange(1500), points, page=16)
+    asked = [*range(0, 1500, 7), 201]
+    scores = [[int(x) for x in points.astype(object) @ points[i].astype(object)] for i in asked]
+    exp = [[(s[j], j) for j in sorted(set(range(1500)) - {i}, key=lambda j: (-s[j], j))[:5]] for i, s in zip(asked, scores, strict=True)]
+    assert tree.search_all(points[asked], asked) == exp
+    assert tree.search_all(points[asked], [None] * len(asked), 1) == [[(max(s), s.index(max(s)))] for s in scores]
+    known = [x[2][0] if i % 2 else None for i, x in enumerate(exp)]
+    for got, x, low in zip(tree.search_all(points[asked], asked, 5, known), exp, known, strict=True):
+        assert got == x if low is None else got[:3] == x[:3]
+
+
 # -- 2
 
 
