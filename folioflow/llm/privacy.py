@@ -175,17 +175,28 @@ def _frequencies(bits):
     return run
 
 
+def pairs_of(scanned: DataFrame) -> DataFrame:
+    """(value, word, h, together) of the pairs that may disclose.
+
+    A word stands in no fewer texts than it neighbours values in, so most words that are frequent beside values are ruled
+    out before any text is read again for their counts.
+    """
+    near = scanned.select("row_key", F.explode("near").alias("x")).select("row_key", "x.value", "x.word", "x.h").distinct()
+    pairs = near.groupBy("value", "word", "h").agg(F.count("*").alias("together")).where(F.col("together") >= SUPPORT)
+    beside = near.select("row_key", F.col("word").alias("_word")).distinct().groupBy("_word").agg(F.count("*").alias("_texts"))
+    likely = pairs.join(beside, F.col("word") == F.col("_word")).where(F.col("together") / F.greatest("_texts", "together") >= SHARE)
+    return likely.select("value", "word", "h", "together")
+
+
 def disclosing(scanned: DataFrame, docs: DataFrame) -> DataFrame:
     """(value, word, share, told) of the pairs whose word discloses the value; told is a share of the value's information."""
-    near = scanned.select("row_key", F.explode("near").alias("x")).select("row_key", "x.value", "x.word", "x.h")
-    pairs = materialize(
-        near.dropDuplicates(["row_key", "value", "word"]).groupBy("value", "word", "h").agg(F.count("*").alias("together")).where(F.col("together") >= SUPPORT)
-    )
+    pairs = materialize(pairs_of(scanned))
     bits = docs.sparkSession.sparkContext.broadcast(bit_filter(pairs, F.col("h"), 22))
     words = materialize(
         with_bytes(docs).mapInArrow(_frequencies(bits), "word string, c long").groupBy("word").agg(F.sum("c").alias("word_texts"))
     )
-    values = materialize(near.select("row_key", "value").distinct().groupBy("value").agg(F.count("*").alias("value_texts")))
+    near = scanned.select("row_key", F.explode("near").alias("x")).select("row_key", "x.value")
+    values = materialize(near.distinct().groupBy("value").agg(F.count("*").alias("value_texts")))
     texts = docs.count()
     share = F.col("together") / F.greatest("word_texts", "together")
     needed = F.log2(F.lit(float(max(texts, 1))) / F.col("value_texts"))

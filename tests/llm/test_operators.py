@@ -686,6 +686,15 @@ def test_terms_are_those_of_all_pairs(spark, reach):
     assert got == {i: {n[2:] for n in near if n[:2] in told} for i, near in enumerate(places)}
 
 
+def test_words_frequent_beside_values_are_not_counted(spark):
+    """They stand in too many texts for any of their values, as those beside values tell already."""
+    texts = [f"common own{i % 150}x u{i % 150}@mail.example.org" for i in range(300)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("doc_id", F.col("doc_id").alias("row_key"), "text")
+    scanned = df.mapInArrow(privacy._scan(privacy.REACH), "doc_id long, row_key long, spans array<struct<start: long, kind: long, end: long>>, near array<struct<value: string, word: string, h: long, start: long, end: long>>")
+    pairs = {(r.value, r.word): r.together for r in privacy.pairs_of(scanned).collect()}
+    assert pairs == {(f"u{i}@mail.example.org", f"own{i}x"): 2 for i in range(150)}
+
+
 def test_long_texts_of_secrets(spark):
     """No recursion and linear time in every pattern."""
     began = time.time()
