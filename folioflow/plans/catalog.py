@@ -667,9 +667,9 @@ def w1_one_project(t):
 @query(r"""WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS ws FROM documents), u AS (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM w)
 SELECT doc_id AS row_id, md5(string_agg(word || row, ' ' ORDER BY i)) AS words FROM (SELECT *, row_number() OVER (ORDER BY doc_id, i) AS row FROM u) GROUP BY doc_id""")
 def w4_one_project(t):
-    words = T.number_words(t("documents").select(F.lit(1).alias("project_id"), F.col("doc_id").alias("row_id"), "text"), parts=PARTS)
-    listed = F.array_sort(F.collect_list(F.struct("word_no", F.concat("word", "word_no").alias("w"))))
-    return words.groupBy("row_id").agg(F.md5(F.array_join(F.transform(listed, lambda x: x["w"]), " ")).alias("words"))
+    rows = T.numbered_texts(t("documents").select(F.lit(1).alias("project_id"), F.col("doc_id").alias("row_id"), "text"), PARTS)
+    listed = F.array_join(F.transform("words", lambda x: F.concat(x["word"], x["word_no"])), " ")
+    return rows.select("row_id", F.md5(listed).alias("words"))
 
 
 @query("""WITH b AS (SELECT *, conv_id * 100 + turn AS pos FROM conversations), s AS (SELECT *, coalesce(CASE WHEN lag(pos) OVER w <> pos AND NOT lag(role = 'user') OVER w THEN 0 END, 1) AS s FROM b WINDOW w AS (ORDER BY pos)),

@@ -59,3 +59,17 @@ def test_operators_by_parts(rows):
         args = (["k"], "n", "v", 4, least)
         got = T.threshold_runs(rows, *args, parts=6)
         assert same(got, T.threshold_runs(rows, *args)) if least < 50 else not got.count()
+
+
+def test_texts_are_not_shuffled_to_number_their_words(spark, monkeypatch):
+    """Ranges hold counts only, and the words of a row come as one row."""
+    seen = []
+    whole = T.Scan
+    monkeypatch.setattr(T, "Scan", lambda df, *a: seen.append(df.columns) or whole(df, *a))
+    df = spark.createDataFrame([(1, 3, "c d"), (1, 1, "a  b"), (1, 2, " "), (1, None, "z"), (None, 1, None), (None, 2, "e f")], "k int, n int, text string")
+    got = T.numbered_texts(df, 3, key="n", keys=("k",)).collect()
+    words = {(r.k, r.n): [tuple(w) for w in r.words] for r in got}
+    assert words == {(1, None): [("z", 1)], (1, 1): [("a", 2), ("b", 3)], (1, 3): [("c", 4), ("d", 5)], (None, 2): [("e", 1), ("f", 2)]}
+    assert seen == [["k", "n", "_size"]]
+    rows = sorted(map(str, T.number_words(df, key="n", keys=("k",), parts=3).collect()))
+    assert rows == sorted(map(str, T.number_words(df, key="n", keys=("k",)).collect())) and len(rows) == 7
