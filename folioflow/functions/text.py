@@ -20,8 +20,9 @@ def _quote(text: str) -> str:
     return re.sub(r"([\\.\[\]{}()*+?^$|#&~<>=!:-])", r"\\\1", text)
 
 
-def fix_pattern(rules: Iterable[Rule]) -> tuple[str, dict[str, str]]:
-    """One pattern for all rules (longest mistake first, whole words first among equals) and what each match becomes.
+def hit_pattern(rules: Iterable[Rule]) -> tuple[str, str, dict[str, str]]:
+    """One pattern for tags and all rules (longest mistake first, whole words first among equals), characters that its matches start with but
+    `<`, and what each match becomes.
 
     Rules that differ only in being whole-word or in their replacement cannot be told apart and are refused.
     """
@@ -34,7 +35,13 @@ def fix_pattern(rules: Iterable[Rule]) -> tuple[str, dict[str, str]]:
     ordered = sorted(kinds.items(), key=lambda x: (-len(x[0]), not x[1], x[0]))
     parts = [f"(?<!{WORD}){_quote(m)}(?!{WORD})" if whole else _quote(m) for m, whole in ordered]
     firsts = "".join(sorted({_quote(m[0]) for m in kinds}))
-    return f"({'|'.join([TAG, *parts])})|[^<{firsts}]+|[\\s\\S]", becomes
+    return "|".join([TAG, *parts]), firsts, becomes
+
+
+def fix_pattern(rules: Iterable[Rule]) -> tuple[str, dict[str, str]]:
+    """A pattern that cuts a text into matches of `hit_pattern` (group 1) and what lies between, and what each match becomes."""
+    hits, firsts, becomes = hit_pattern(rules)
+    return f"({hits})|[^<{firsts}]+|[\\s\\S]", becomes
 
 
 def apply_fix_rules(text: Column, rules: Iterable[Rule]) -> Column:

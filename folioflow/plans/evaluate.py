@@ -8,19 +8,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.functions.similarity import running_sums, seq_ratio
-from folioflow.functions.text import Rule, apply_fix_rules, fix_pattern, normalise_words, word_error_rate
+from folioflow.functions.text import Rule, apply_fix_rules, hit_pattern, normalise_words, word_error_rate
 
 
 def rule_hits(texts: DataFrame, rules: Iterable[Rule], text: str = "text", context: int = 22) -> DataFrame:
     """(matched, replacement, hits, example): how often each rule fires, with one place and its surroundings."""
-    pattern, becomes = fix_pattern(rules)
+    hits, firsts, becomes = hit_pattern(rules)
     table = F.create_map(*(F.lit(x) for kv in becomes.items() for x in kv))
-    whole, hit = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-    # a match's offset is what stands before it: running lengths over the matches of one text
-    rows = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_t"), whole.alias("_w"), hit.alias("_h"))
-    rows = rows.withColumn("_end", running_sums(F.transform("_w", lambda w: F.length(w))))
-    places = F.transform(F.arrays_zip("_w", "_h", "_end"), lambda x: F.struct((x["_end"] - F.length(x["_w"]) + 1).alias("at"), x["_h"].alias("m")))
-    found = rows.select("_t", F.explode(F.filter(places, lambda x: (x["m"] != "") & ~x["m"].startswith("<"))).alias("x")).select("_t", "x.at", F.col("x.m").alias("matched"))
+    hit = f"(?=[<{firsts}])({hits})"
+    # a hit's offset is what stands before it: each hit is matched with that as well, the lengths are summed over a text; where
+    # no example is wanted, none of this is computed
+    ends = running_sums(F.transform(F.regexp_extract_all("_t", F.lit(f"[\\s\\S]*?(?:{hit}|\\z)"), F.lit(0)), lambda w: F.length(w)))
+    rows = texts.where(F.col(text).isNotNull()).select(F.col(text).alias("_t"))
+    rows = rows.select("_t", ends.alias("_ends"), F.posexplode(F.regexp_extract_all("_t", F.lit(hit), F.lit(1))).alias("_i", "matched"))
+    at = F.get("_ends", F.col("_i")) - F.length("matched") + 1
+    found = rows.where(~F.col("matched").startswith("<")).select("_t", at.alias("at"), "matched")
     around = F.substring("_t", F.greatest(F.col("at") - context, F.lit(1)), F.length("matched") + 2 * context)
     return found.groupBy("matched").agg(F.count("*").alias("hits"), F.min(around).alias("example")).withColumn("replacement", table[F.col("matched")])
 
