@@ -469,16 +469,14 @@ def j7_autofill(t):
 
 @query()
 def j8_best_match(t):
-    words = t("conversations").select(F.explode(X.tokenize(F.col("text"))).alias("word"))
     vocabulary = t("benchmark").select("item_id", F.posexplode(X.tokenize(F.col("text"))).alias("at", "word"))
-    return M.best_match(words, vocabulary.select("word", (F.col("item_id") * (1 << 20) + F.col("at")).alias("n")), order="n")
+    return M.best_match(M.words_of(t("conversations")), vocabulary.select("word", (F.col("item_id") * (1 << 20) + F.col("at")).alias("n")), order="n")
 
 
 @query()
 def j8_keyed_match(t):
-    words = t("documents").select(F.explode(X.tokenize(F.col("text"))).alias("word"))
     vocabulary = t("benchmark").select("item_id", F.posexplode(X.tokenize(F.col("text"))).alias("at", "word"))
-    return M.best_match(words, vocabulary.select("word", (F.col("item_id") * (1 << 20) + F.col("at")).alias("n")), order="n", keyed=True)
+    return M.best_match(M.words_of(t("documents")), vocabulary.select("word", (F.col("item_id") * (1 << 20) + F.col("at")).alias("n")), order="n", keyed=True)
 
 
 @query("""SELECT c.conv_id || ':' || c.turn AS seg, item_id AS id, round(100.0::DOUBLE * (length(b.text) - length(b.text) // 9) / length(b.text), 6) AS score FROM conversations c JOIN benchmark b ON item_id = (c.conv_id + c.turn) % 40""")
